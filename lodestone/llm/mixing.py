@@ -91,7 +91,8 @@ def flight(p: np.ndarray, x: np.ndarray, rng: np.random.Generator, land: bool) -
 
 def _settle(seed: int):
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["h", "doc_id", "size"], na_position="last", kind="stable")
+        # Long documents first: what is left to land is short.
+        g = g.sort_values(["size", "h", "doc_id"], ascending=[False, True, True], na_position="last", kind="stable")
         rng = np.random.default_rng([seed, zlib.crc32(str(key[0]).encode()), int(key[1])])
         g["p"] = flight(g["p"].to_numpy(), g["size"].to_numpy(float), rng, bool(g["groups"].iloc[0] <= 1))
         return g
