@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import mixing, packed_ids, sentencepiece_bpe, warc_zst
+from lodestone.llm import maxscore, mixing, packed_ids, sentencepiece_bpe, vector_neardup, warc_zst
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -18,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = maxscore.from_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    found = maxscore.top_k(vectors, vectors.filter(F.col("id") % 50 == 0), 5)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(mixing.sized(table(spark, sf_dir, "documents")))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
@@ -37,14 +43,29 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_vector_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_maxscore_topk": op1_maxscore_topk,
     "op4_source_mix": op4_source_mix,
     "op6_warc_archive": op6_warc_archive,
     "op8_packed_ids": op8_packed_ids,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_vector_neardup": op10_vector_neardup,
 }
 
 SQL: dict[str, str] = {
+    "op1_maxscore_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+           FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0),
+     s AS (SELECT q.vec_id AS query_id, d.vec_id AS vec_id,
+                  CAST(list_sum(list_transform(list_zip(q.w, d.w), p -> p[1] * p[2])) AS BIGINT) AS score
+           FROM v q JOIN v d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5""",
     "op6_warc_archive": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
      q AS (SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha256(body) AS payload_digest FROM p),
