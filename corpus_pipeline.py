@@ -1,34 +1,51 @@
-"""A training-corpus pipeline over the documents table."""
+"""A training-corpus pipeline over the documents table: toxic documents go, one document of each group of near
+copies stays, sources are mixed to weights, and what is left is encoded.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import mixing, sentencepiece_bpe
+from lodestone.llm import mixing, ngram_join, sentencepiece_bpe, toxicity
 from lodestone.llm.common import staged
 from lodestone.llm.queries import PIECE_MODEL
 
 
-def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't classified as toxic; the model learns from those of docs that are labelled."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = toxicity.score(docs, toxicity.train(docs, labels), into="toxicity__")
+    return scored.filter(F.col("toxicity__") < 0.5).select(*docs.columns)
+
+
+def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by a similarity of 0.8 or more of sets of five-word shingles."""
+    return ngram_join.one_of_each(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources mixed to weights: rows are left out, kept or repeated."""
     return mixing.take(docs, staged(mixing.mix(mixing.sized(docs)), "mixed"))
 
 
-def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's ids, its end id included, and the text they decode to."""
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded): every document's ids, its end id included, and the text they decode to."""
     out = sentencepiece_bpe.encode_decode(docs.select("doc_id", "text"), PIECE_MODEL)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
-STAGES = [("mixing", mix_stage), ("encoding", encode_stage)]
+STAGES = [("toxicity", toxicity_stage), ("ngram-jaccard-join", ngram_stage), ("mixing-sources", mixing_stage), ("sentencepiece", encoding_stage)]
 
 #: Training, balanced sampling and merge rounds are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written as Parquet and read again as the next one's docs."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

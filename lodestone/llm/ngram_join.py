@@ -388,3 +388,22 @@ def _finish(members: DataFrame, sets: DataFrame, edges: DataFrame, roots: DataFr
     more = staged(base.unionByName(probes).groupBy("comp", "block", "slice").applyInArrow(_across(num, den), _EDGES), "ngram-across")
     edges = edges.unionByName(more)
     return components(edges), edges
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """docs with one row of each group of linked documents: that with the smallest key (of rows equal in key,
+    the one whose text has the smallest hash). Rows with a null key or an empty set link with nothing and stay."""
+    found = staged(ngram_components(docs, key, text, n, num, den), "ngram-found")
+    grouped = found.filter(F.col("component_id").isNotNull() & (F.col("n_shingles") > 0))
+    kept = grouped.filter(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias("id__")).agg(F.min("h").alias("h__"), F.count("*").alias("same__"))
+    kept = staged(kept, "ngram-kept")
+    h = F.xxhash64(text)
+    rest = staged(found.filter(F.col("component_id").isNull() | (F.col("n_shingles") == 0)).select(F.col(key).alias("id2__"), F.col("h").alias("h2__")).distinct(), "ngram-alone")
+    rows = docs.withColumn("h3__", h)
+    one = join_checked(rows.withColumn("id__", F.col(key).cast("long")), kept, "id__", limit=2_000_000).filter("h3__ = h__")
+    twins = one.filter("same__ > 1").dropDuplicates(["id__"])
+    out = one.filter("same__ = 1").unionByName(twins).select(*docs.columns)
+    if rest.head(1):
+        alone = rows.join(rest.hint("merge"), F.col(key).cast("long").eqNullSafe(F.col("id2__")) & (F.col("h3__") == F.col("h2__")), "left_semi")
+        out = out.unionByName(alone.select(*docs.columns))
+    return out
