@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import maxscore, mixing, ngram_join, packed_ids, sentencepiece_bpe, toxicity, vector_neardup, warc_zst
+from lodestone.llm import maxent_lm, maxscore, mixing, ngram_join, packed_ids, sentencepiece_bpe, toxicity, vector_neardup, warc_zst
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -41,6 +41,10 @@ def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zst.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op8_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_ids.round_trip(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_source_mix": op4_source_mix,
     "op5_toxicity": op5_toxicity,
     "op6_warc_archive": op6_warc_archive,
+    "op7_maxent_lm": op7_maxent_lm,
     "op8_packed_ids": op8_packed_ids,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_vector_neardup": op10_vector_neardup,
