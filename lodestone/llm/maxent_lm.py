@@ -1,8 +1,8 @@
 """A hashed maximum-entropy language model.
 
 The probability of a token is that of its class times that of the token in its class, both softmaxes of summed
-weights of the context's features: bias, the last word, the last two, and skip features (second and third last
-word alone, last with third last), hashed into tables of fixed size. The HEAD most frequent words form classes
+weights of the context's features: bias, the last word, the last two, and skip features (the second and the third
+last word alone), hashed into tables of fixed size. The HEAD most frequent words form classes
 by frequency; all other words fall into TAIL classes by their first letters, within which the corpus counts
 over all training documents give the probability (with one unseen word in each), so the model is normalised
 over the whole vocabulary.
@@ -30,13 +30,15 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import mix64, staged, text_chunks, word_hashes, word_spans
 from lodestone.llm.toxicity import bucket
 
-CLASSES, TAIL, WIDE = 64, 16, 64
+CLASSES, TAIL, WIDE = 32, 8, 64
 HEAD = (CLASSES - TAIL) * WIDE
 #: Rows of the class table and of the table of words in classes; each row has a weight for each outcome.
 CLASS_ROWS, WORD_ROWS = 1 << 15, 1 << 16
 #: Words whose counts every scorer holds; other words meet their counts in a join.
 KNOWN = 200_000
 ROUNDS, STEP, BATCH = 2, 0.5, 4096
+#: Added to the uses of a row in a batch: rows of rare contexts move less.
+DAMP = 3.0
 #: Scan partitions for each training worker, weight rows of a block, and workers summed at once.
 PER_WORKER, BLOCK, FAN = 3, 2048, 32
 _M = np.uint64
@@ -133,7 +135,7 @@ def context(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
     a, b, c = back(1), back(2), back(3)
     with np.errstate(over="ignore"):
-        return np.stack([mix64(a * _SALT[0]), mix64(a * _SALT[1] + b * _SALT[2]), mix64(b * _SALT[3]), mix64(c * _SALT[4]), mix64(a * _SALT[3] + c * _SALT[0])], axis=1)
+        return np.stack([mix64(a * _SALT[0]), mix64(a * _SALT[1] + b * _SALT[2]), mix64(b * _SALT[3]), mix64(c * _SALT[4])], axis=1)
 
 
 def _rows(features: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +180,7 @@ def _step(table: np.ndarray, met: np.ndarray, rows: np.ndarray, target: np.ndarr
     flat = flat[order]
     first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
     n = np.diff(first, append=len(flat))
-    table[flat[first]] -= (step / n)[:, None].astype(np.float32) * np.add.reduceat(g[order // rows.shape[1]], first, axis=0)
+    table[flat[first]] -= (step / (n + DAMP))[:, None].astype(np.float32) * np.add.reduceat(g[order // rows.shape[1]], first, axis=0)
     met[flat[first]] += n
 
 
@@ -224,10 +226,10 @@ def _copy(model: Model) -> Model:
 
 
 def _averaged(t: pa.Table) -> pa.Table:
-    change, met = np.zeros((BLOCK, CLASSES), np.float64), np.zeros(BLOCK)
+    change, met = np.zeros((BLOCK, len(t.column("change")[0].as_py()) // (2 * BLOCK))), np.zeros(BLOCK)
     for c, m in zip(t.column("change"), t.column("met"), strict=True):
         m = np.frombuffer(m.as_py(), np.float32)
-        change += np.frombuffer(c.as_py(), np.float16).reshape(BLOCK, CLASSES) * m[:, None]
+        change += np.frombuffer(c.as_py(), np.float16).reshape(BLOCK, -1) * m[:, None]
         met += m
     change = (change / np.maximum(met, 1)[:, None]).astype(np.float16)
     return pa.table({"block": t.column("block")[:1], "part": pa.array([t.column("part")[0].as_py() // FAN], pa.int32()), "change": pa.array([change.tobytes()], pa.binary()), "met": pa.array([met.astype(np.float32).tobytes()], pa.binary())})
@@ -265,7 +267,7 @@ def train(docs: DataFrame, counts: DataFrame, text: str = "text", rounds: int =
         model = _copy(model)
         for row in found.toLocalIterator():
             table, k = (model.classes, model.inside)[row.block // 1000], row.block % 1000 * BLOCK
-            table[k : k + BLOCK] += np.frombuffer(row.change, np.float16).reshape(BLOCK, CLASSES)
+            table[k : k + BLOCK] += np.frombuffer(row.change, np.float16).reshape(BLOCK, -1)
     return model
 
 
