@@ -36,9 +36,9 @@ HEAD = (CLASSES - TAIL) * WIDE
 CLASS_ROWS, WORD_ROWS = 1 << 15, 1 << 16
 #: Words whose counts every scorer holds; other words meet their counts in a join.
 KNOWN = 200_000
-ROUNDS, STEP, BATCH = 2, 0.5, 4096
+ROUNDS, STEP, BATCH = 2, 1.0, 4096
 #: Added to the uses of a row in a batch: rows of rare contexts move less.
-DAMP = 3.0
+DAMP = 6.0
 #: Scan partitions for each training worker, weight rows of a block, and workers summed at once.
 PER_WORKER, BLOCK, FAN = 3, 2048, 32
 _M = np.uint64
@@ -175,6 +175,10 @@ def _step(table: np.ndarray, met: np.ndarray, rows: np.ndarray, target: np.ndarr
     """One gradient step: each row moves by the mean gradient of the tokens that use it."""
     g = _softmax(table, rows)
     g[np.arange(len(g)), target] -= 1
+    if (rows[:, 0] == rows[0, 0]).all():  # the bias of all
+        table[rows[0, 0]] -= np.float32(step / (len(g) + DAMP)) * g.sum(axis=0)
+        met[rows[0, 0]] += len(g)
+        rows = rows[:, 1:]
     flat = rows.ravel()
     order = np.argsort(flat, kind="stable")
     flat = flat[order]
