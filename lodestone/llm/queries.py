@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import maxent_lm, maxscore, mixing, ngram_join, packed_ids, sentencepiece_bpe, toxicity, vector_neardup, warc_zst
+from lodestone.llm import html_text, maxent_lm, maxscore, mixing, ngram_join, packed_ids, sentencepiece_bpe, toxicity, vector_neardup, warc_zst
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -24,6 +24,10 @@ def op1_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages").select("page_id", "html"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -61,6 +65,7 @@ def op10_vector_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_maxscore_topk": op1_maxscore_topk,
+    "op2_html_text": op2_html_text,
     "op3_ngram_join": op3_ngram_join,
     "op4_source_mix": op4_source_mix,
     "op5_toxicity": op5_toxicity,
