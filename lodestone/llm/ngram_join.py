@@ -2,9 +2,10 @@
 
 A document is the set of its word n-grams. All n-grams have one global order, rare ones first (by a hashed
 count of documents over the whole corpus, a table of fixed size). Two sets that are similar enough share an
-n-gram among their first few, so only those are compared over the network: sorted by n-gram, neighbours with
-the same n-gram are chained, and the chains' connected components hold every pair that can link. The sets of a
-component then meet in a prefix tree: it stores them in a common order, a depth-first traversal keeps the
+n-gram among their first few, so only those are compared over the network: sorted by n-gram and size, they form
+runs of sets that may link; within a run, histograms of the sets' hashes bound the overlap of each pair, which
+leaves few pairs but near copies. The connected components of these hold every pair that can link. The sets of
+a component then meet in a prefix tree: it stores them in a common order, a depth-first traversal keeps the
 overlap of each node's path with all other sets at once, so that sets below a node share it, and a set leaves
 a subtree as soon as the lengths that remain can't reach the threshold.
 
@@ -34,6 +35,8 @@ from lodestone.llm.common import components, join_checked, join_heavy, local_for
 
 #: Cells of the table of hashed counts (a byte each once it is broadcast), and of one of its blocks.
 CELLS_BITS, BLOCK_BITS = 21, 14
+#: Bins of a set's histogram, and the longest run of sets with a common n-gram whose pairs are all bounded by it.
+BINS, RUN = 64, 512
 #: N-grams of the sets that one task joins.
 GROUP_TOKENS = 250_000
 _M = np.uint64
@@ -108,72 +111,162 @@ def _ordered(s: np.ndarray, level: np.ndarray) -> np.ndarray:
 
 
 def _signed(n: int, num: int, den: int, table):
-    """(id, n, class, first n-grams) of texts."""
+    """(id, n, class, first n-grams, n-grams in each bin of the hash) of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(table.value, np.uint8)
         for b in batches:
             for lo, hi, data, off in text_chunks(b.column(2)):
-                sizes, keys, first = [], [], []
+                sizes, keys, first, bins = [], [], [], []
                 for s in shingle_sets(data, off, n):
                     sizes.append(len(s))
                     keys.append(class_key(s) if len(s) else None)
-                    first.append(_ordered(s, level)[: len(s) + 1 - -(-num * len(s) // den)] if len(s) else s)
+                    k = _ordered(s, level)
+                    first.append(k[: len(s) + 1 - -(-num * len(s) // den)] if len(s) else s)
+                    bins.append(np.bincount((k & _M(BINS - 1)).astype(np.int64), minlength=BINS).astype("<u2").tobytes())
                 at = np.concatenate([[0], np.cumsum([len(f) for f in first])]).astype(np.int32)
                 flat = np.concatenate(first).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["id", "h", "n", "ck", "first"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat)), pa.array(bins, pa.binary())], names=["id", "h", "n", "ck", "first", "bins"])
 
     return run
 
 
-def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of neighbours with one n-gram, as spanning forests, and the outermost rows of a partition."""
-    names, part = ["kind", "part", "t", "a", "b"], TaskContext.get().partitionId()
-    head, last, a, b, held = None, None, [], [], 0
-
-    def rows(kind: int, t: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for k in range(0, len(x), 50_000):
-            m = len(x[k : k + 50_000])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), pa.array(np.full(m, part, np.int32)), pa.array(t[k : k + m]), pa.array(x[k : k + m]), pa.array(y[k : k + m])], names=names)
-
-    def forest() -> tuple[np.ndarray, np.ndarray]:
-        return local_forest(np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-    for batch in batches:
-        t, ck = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-        if not len(t):
-            continue
-        if head is None:
-            head = (t[:1].copy(), ck[:1].copy())
-        if last is not None:
-            t, ck = np.concatenate([last[0], t]), np.concatenate([last[1], ck])
-        last = (t[-1:].copy(), ck[-1:].copy())
-        same = np.flatnonzero((t[1:] == t[:-1]) & (ck[1:] != ck[:-1]))
-        a.append(ck[same])
-        b.append(ck[same + 1])
-        held += len(same)
-        if held > 2_000_000:
-            x, y = forest()
-            a, b, held = [x], [y], 0
-            if len(x) > 1_000_000:
-                yield from rows(0, np.zeros(len(x), np.int64), x, y)
-                a, b = [], []
-    x, y = forest()
-    yield from rows(0, np.zeros(len(x), np.int64), x, y)
-    if head is not None:
-        yield from rows(1, head[0], head[1], head[1])
-        yield from rows(2, last[0], last[1], last[1])
-
-
-def _candidates(first: DataFrame) -> DataFrame:
-    """(a, b) links whose connected components hold every pair of classes with a common first n-gram. Ranges
-    of (n-gram, class) are dealt out, so an n-gram that many classes share is spread; one row for each end of
-    a range is linked on the driver."""
-    tokens = first.select(F.explode("first").alias("t"), "ck").repartitionByRange("t", "ck").sortWithinPartitions("t", "ck")
-    rows = staged(tokens.mapInArrow(_chained, "kind int, part int, t long, a long, b long"), "chains")
-    ends = sorted((r.part, r.kind, r.t, r.a) for r in rows.filter("kind > 0").collect())
+def _chained(num: int, den: int):
+    """From rows (n-gram, size, class) in that order: the runs of sets that share an n-gram and whose sizes allow
+    a link from each to the next (kind 3, one row for each member), links through longer runs (kind 0), and the
+    outermost rows of the partition (kinds 1 and 2), whose n-grams are linked through as a whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, part = ["kind", "part", "t", "a", "b"], TaskContext.get().partitionId()
+        a: list[np.ndarray] = []
+        b: list[np.ndarray] = []
+        runs: list[np.ndarray] = []
+        seen: set[int] = set()
+        head = carry = None
+
+        def rows(kind: int, t: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for k in range(0, len(x), 50_000):
+                m = len(x[k : k + 50_000])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), pa.array(np.full(m, part, np.int32)), pa.array(t[k : k + m]), pa.array(x[k : k + m]), pa.array(y[k : k + m])], names=names)
+
+        def whole(t: np.ndarray, n: np.ndarray, ck: np.ndarray, edge: bool) -> Iterator[pa.RecordBatch]:
+            """Rows of whole n-grams; edge: of the partition's first or last one."""
+            nonlocal a, b, runs
+            if edge:
+                a.append(ck[:-1])
+                b.append(ck[1:])
+                return
+            first = np.concatenate([[True], (t[1:] != t[:-1]) | (den * n[:-1] < num * n[1:])])
+            at = np.flatnonzero(first)
+            lens = np.diff(at, append=len(t))
+            owner = np.repeat(np.arange(len(at)), lens)
+            long = np.flatnonzero((lens[owner] > RUN) & ~first)
+            a.append(ck[long - 1])
+            b.append(ck[long])
+            with np.errstate(over="ignore"):
+                key = mix64(np.add.reduceat(mix64(ck.view(np.uint64)), at)).view(np.int64)
+            good = [i for i, k in zip(np.flatnonzero((lens > 1) & (lens <= RUN)).tolist(), key[(lens > 1) & (lens <= RUN)].tolist(), strict=True) if k not in seen and not seen.add(k)]
+            pick = np.zeros(len(at), bool)
+            pick[good] = True
+            keep = pick[owner]
+            yield from rows(3, key[owner[keep]], ck[keep], ck[keep])
+            if len(seen) > 500_000:
+                seen.clear()
+            if sum(map(len, a)) > 2_000_000:
+                x, y = local_forest(np.concatenate(a), np.concatenate(b))
+                a, b = [x], [y]
+                if len(x) > 1_000_000:
+                    yield from rows(0, np.zeros(len(x), np.int64), x, y)
+                    a, b = [], []
+
+        for batch in batches:
+            now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+            if not len(now[0]):
+                continue
+            if carry is not None:
+                now = [np.concatenate([c, x]) for c, x in zip(carry, now, strict=True)]
+            t = now[0]
+            begin = int(np.searchsorted(t, t[-1]))
+            if head is None and begin:
+                head = int(np.searchsorted(t, t[0], "right"))
+                yield from rows(1, t[:1], now[2][:1], now[2][:1])
+                yield from whole(*(x[:head] for x in now), True)
+                if head < begin:
+                    yield from whole(*(x[head:begin] for x in now), False)
+            elif begin:
+                yield from whole(*(x[:begin] for x in now), False)
+            carry = [x[begin:].copy() for x in now]
+        if carry is not None:
+            if head is None:
+                yield from rows(1, carry[0][:1], carry[2][:1], carry[2][:1])
+            yield from rows(2, carry[0][-1:], carry[2][-1:], carry[2][-1:])
+            yield from whole(*carry, True)
+        if a:
+            x, y = local_forest(np.concatenate(a), np.concatenate(b))
+            yield from rows(0, np.zeros(len(x), np.int64), x, y)
+
+    return run
+
+
+def _bounded(num: int, den: int):
+    """From rows (run, size, class, bins) by run and size: links of pairs whose overlap may be large enough. It is
+    at most the sum over all bins of what both hold, which unrelated sets of one size don't reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a: list[np.ndarray] = []
+        b: list[np.ndarray] = []
+        carry = None
+
+        def whole(r: np.ndarray, n: np.ndarray, ck: np.ndarray, bins: np.ndarray) -> None:
+            for lag in range(1, len(r)):
+                i = np.flatnonzero(r[lag:] == r[:-lag])
+                if not len(i):
+                    break
+                j = i + lag
+                fit = (den * n[i] >= num * n[j]) & (ck[i] != ck[j])
+                i, j = i[fit], j[fit]
+                for k in range(0, len(i), 50_000):
+                    x, y = i[k : k + 50_000], j[k : k + 50_000]
+                    most = np.minimum(bins[x], bins[y]).sum(axis=1, dtype=np.int64)
+                    ok = most >= least_overlap(n[x] + n[y], num, den)
+                    # Bins are 16 bits wide; a set that may overflow one isn't bounded.
+                    ok |= n[x] > 65_000
+                    a.append(ck[x[ok]])
+                    b.append(ck[y[ok]])
+
+        for whole_batch in batches:
+            for at in range(0, whole_batch.num_rows, 20_000):
+                part = whole_batch.slice(at, 20_000)
+                bins = np.frombuffer(b"".join(part.column(3).to_pylist()), "<u2").reshape(-1, BINS)
+                now = [*(part.column(k).to_numpy(zero_copy_only=False) for k in range(3)), bins]
+                if carry is not None:
+                    now = [np.concatenate([c, x]) for c, x in zip(carry, now, strict=True)]
+                begin = int(np.searchsorted(now[0], now[0][-1]))
+                whole(*(x[:begin] for x in now))
+                carry = [x[begin:].copy() for x in now]
+        if carry is not None:
+            whole(*carry)
+        if a:
+            x, y = local_forest(np.concatenate(a), np.concatenate(b))
+            for k in range(0, len(x), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 50_000]), pa.array(y[k : k + 50_000])], names=["a", "b"])
+
+    return run
+
+
+def _candidates(first: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) links whose connected components hold every pair of classes that can link. Ranges of (n-gram, size,
+    class) are dealt out, so an n-gram that many classes share is spread; the ends of the ranges, two rows for
+    each, are linked on the driver."""
+    order = ["t", "n", "ck"]
+    tokens = first.select(F.explode("first").alias("t"), "n", "ck").repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = staged(tokens.mapInArrow(_chained(num, den), "kind int, part int, t long, a long, b long"), "chains")
+    ends = sorted((r.part, r.kind, r.t, r.a) for r in rows.filter("kind IN (1, 2)").collect())
     seams = [(x[3], y[3]) for x, y in zip(ends, ends[1:], strict=False) if x[1] == 2 and y[1] == 1 and x[2] == y[2] and x[3] != y[3]]
     links = rows.filter("kind = 0").select("a", "b")
+    runs = rows.filter("kind = 3").select(F.col("t").alias("run"), F.col("a").alias("ck"))
+    known = runs.join(first.select("ck", "n", "bins").hint("merge"), "ck").select("run", "n", "ck", "bins")
+    links = links.unionByName(known.repartition("run").sortWithinPartitions("run", "n", "ck").mapInArrow(_bounded(num, den), "a long, b long"))
     return links.unionByName(rows.sparkSession.createDataFrame(seams, "a long, b long")) if seams else links
 
 
@@ -338,11 +431,11 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("h"), F.col(text).cast("string").alias("text"))
     table = spark.sparkContext.broadcast(levels(docs.select("text"), n).tobytes())
-    rows = staged(docs.mapInArrow(_signed(n, num, den, table), "id long, h long, n long, ck long, first array<long>"), "ngram-rows")
+    rows = staged(docs.mapInArrow(_signed(n, num, den, table), "id long, h long, n long, ck long, first array<long>, bins binary"), "ngram-rows")
     live = rows.filter("ck IS NOT NULL AND id IS NOT NULL")
     classes = staged(live.groupBy("ck").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n")), "ngram-classes")
-    first = staged(live.select("ck", "first").dropDuplicates(["ck"]), "ngram-first")
-    found = components(_candidates(first))
+    first = staged(live.select("ck", "n", "first", "bins").dropDuplicates(["ck"]), "ngram-first")
+    found = components(_candidates(first, num, den))
     members = found.unionByName(found.select(F.col("component").alias("id"), "component").distinct()).select(F.col("id").alias("ck"), F.col("component").alias("comp"))
     members = staged(classes.join(members.hint("merge"), "ck"), "ngram-members")
     info = members.groupBy("comp").agg(F.sum("n").alias("tokens"), F.max_by("ck", F.struct("copies", "ck")).alias("top"))
