@@ -1 +1 @@
-
+"""Registered queries over the standard tables."""
