@@ -60,7 +60,7 @@ def chunk_recursive(docs: DataFrame, text: str = "text", size: int = 1000, overl
     """One row for each chunk: docs' other columns, chunk_index and chunk_text. Batches go to Python by Arrow."""
     keep = [c for c in docs.columns if c not in (text, "chunk_index", "chunk_text")]
     source = docs.select(text, *keep)
-    schema = source.select(*keep).schema.add("chunk_index", "int", False).add("chunk_text", "string", False)
+    schema = source.select(*keep).schema.add("chunk_index", "integer", False).add("chunk_text", "string", False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -80,7 +80,7 @@ def chunk_recursive(docs: DataFrame, text: str = "text", size: int = 1000, overl
 
 def chunk_fixed(docs: DataFrame, text: str = "text", size: int = 1000, overlap: int = 200) -> DataFrame:
     """Windows of size characters that begin every size - overlap characters, while they hold new text."""
-    stride, n = size - overlap, F.length(text)
+    stride, n = size - overlap, F.coalesce(F.length(text), F.lit(0))
     last = F.when(n == 0, F.lit(-1)).otherwise(F.greatest(F.lit(0), F.ceil((n - overlap) / stride).cast("int") - 1))
     starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
     keep = [c for c in docs.columns if c not in (text, "chunk_index", "chunk_text")]

@@ -179,4 +179,4 @@ SQL["exact_search_bm25"] = f"""WITH {INDEX}, lens AS (SELECT item_id, len({TOKEN
       s AS (SELECT query_id, p.item_id, any_value(hash) AS hash, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 6) AS score
         FROM qt JOIN df USING (term) JOIN posts p USING (term) JOIN lens ON lens.item_id = p.item_id, stats GROUP BY query_id, p.item_id),
       t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) - 1 AS rank FROM s WHERE score > 0 QUALIFY rank < 24)
-      SELECT query_id, arg_min(item_id, rank) AS item_id, CAST(min(rank) AS INTEGER) AS rank, round(max(score), 5) AS score FROM t GROUP BY query_id, hash"""
+      SELECT query_id, arg_min(item_id, rank) AS item_id, CAST(min(rank) AS INTEGER) AS rank, max(score) AS score FROM t GROUP BY query_id, hash"""
