@@ -1,8 +1,8 @@
 """A hashed maximum-entropy language model.
 
 The probability of a token is that of its class times that of the token in its class, both softmaxes of summed
-weights of the context's features: bias, the last word, the last two, and skip features (the second and the third
-last word alone), hashed into tables of fixed size. The HEAD most frequent words form classes
+weights of the context's features: bias, the last word, the last two, and a skip feature (the second last word
+alone), hashed into tables of fixed size. The HEAD most frequent words form classes
 by frequency; all other words fall into TAIL classes by their first letters, within which the corpus counts
 over all training documents give the probability (with one unseen word in each), so the model is normalised
 over the whole vocabulary.
@@ -19,6 +19,7 @@ An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -133,9 +134,9 @@ def context(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         out[k:] = np.where(since[k:] >= k, h[:-k], START)
         return out
 
-    a, b, c = back(1), back(2), back(3)
+    a, b = back(1), back(2)
     with np.errstate(over="ignore"):
-        return np.stack([mix64(a * _SALT[0]), mix64(a * _SALT[1] + b * _SALT[2]), mix64(b * _SALT[3]), mix64(c * _SALT[4])], axis=1)
+        return np.stack([mix64(a * _SALT[0]), mix64(a * _SALT[1] + b * _SALT[2]), mix64(b * _SALT[3])], axis=1)
 
 
 def _rows(features: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -242,7 +243,16 @@ def _averaged(t: pa.Table) -> pa.Table:
 def vocabulary(counts: DataFrame) -> Model:
     """An untrained model of (w, c, tail) counts: weights give the corpus frequencies."""
     total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).head()
-    top = counts.orderBy(F.col("c").desc(), "w").limit(KNOWN).toPandas()
+    # Words are taken down to a count (on a logarithmic scale), so that KNOWN rows at most come to the driver.
+    level = F.floor(F.ln("c") * 64)
+    sizes = sorted(((r.level, r.n) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    cut, held = math.inf, 0
+    for at, n in sizes:
+        held += n
+        if held > KNOWN:
+            break
+        cut = at
+    top = counts.filter(level >= F.lit(float(cut))).toPandas().sort_values(["c", "w"], ascending=[False, True])
     words, c, tail = top["w"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64), top["tail"].to_numpy(np.int64)
     mass = np.full(TAIL, 0.5)
     for r in counts.groupBy("tail").agg((F.sum("c") + 0.5 * F.count("*")).alias("m")).collect():
