@@ -49,7 +49,7 @@ class Shard:
         by = np.lexsort((item, terms))
         terms, item, weights = terms[by], item[by], weights[by]
         self.terms, first = np.unique(terms, return_index=True)
-        ends = np.append(first[1:], len(terms))
+        ends = np.append(first[1:], len(terms)) if len(first) else first
         self.lists, self.low, self.high = [], [], []
         for a, b in zip(first.tolist(), ends.tolist(), strict=True):
             at, w = item[a:b], weights[a:b]

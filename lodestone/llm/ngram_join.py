@@ -35,8 +35,9 @@ from lodestone.llm.common import components, join_checked, join_heavy, local_for
 
 #: Cells of the table of hashed counts (a byte each once it is broadcast), and of one of its blocks.
 CELLS_BITS, BLOCK_BITS = 21, 14
-#: Bins of a set's histogram, and the longest run of sets with a common n-gram whose pairs are all bounded by it.
-BINS, RUN = 64, 512
+#: Bins of a set's histogram, bins of sets with more than LONG n-grams (few bins tell little of those), and the
+#: longest run of sets with a common n-gram whose pairs are all bounded by histograms.
+BINS, FINE, LONG, RUN = 64, 2048, 800, 512
 #: N-grams of the sets that one task joins.
 GROUP_TOKENS = 250_000
 _M = np.uint64
@@ -123,7 +124,8 @@ def _signed(n: int, num: int, den: int, table):
                     keys.append(class_key(s) if len(s) else None)
                     k = _ordered(s, level)
                     first.append(k[: len(s) + 1 - -(-num * len(s) // den)] if len(s) else s)
-                    bins.append(np.bincount((k & _M(BINS - 1)).astype(np.int64), minlength=BINS).astype("<u2").tobytes())
+                    width = BINS if len(s) <= LONG else FINE
+                    bins.append(np.bincount((k & _M(width - 1)).astype(np.int64), minlength=width).astype("<u2").tobytes())
                 at = np.concatenate([[0], np.cumsum([len(f) for f in first])]).astype(np.int32)
                 flat = np.concatenate(first).view(np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat)), pa.array(bins, pa.binary())], names=["id", "h", "n", "ck", "first", "bins"])
@@ -208,6 +210,10 @@ def _chained(num: int, den: int):
     return run
 
 
+def _rows(fine: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.concatenate(fine[at]).reshape(len(at), FINE)
+
+
 def _bounded(num: int, den: int):
     """From rows (run, size, class, bins) by run and size: links of pairs whose overlap may be large enough. It is
     at most the sum over all bins of what both hold, which unrelated sets of one size don't reach."""
@@ -217,7 +223,8 @@ def _bounded(num: int, den: int):
         b: list[np.ndarray] = []
         carry = None
 
-        def whole(r: np.ndarray, n: np.ndarray, ck: np.ndarray, bins: np.ndarray) -> None:
+        def whole(r: np.ndarray, n: np.ndarray, ck: np.ndarray, fine: np.ndarray) -> None:
+            bins = np.array([h if len(h) == BINS else h.reshape(-1, BINS).sum(axis=0) for h in fine], np.uint32).reshape(-1, BINS)
             for lag in range(1, len(r)):
                 i = np.flatnonzero(r[lag:] == r[:-lag])
                 if not len(i):
@@ -229,15 +236,21 @@ def _bounded(num: int, den: int):
                     x, y = i[k : k + 50_000], j[k : k + 50_000]
                     most = np.minimum(bins[x], bins[y]).sum(axis=1, dtype=np.int64)
                     ok = most >= least_overlap(n[x] + n[y], num, den)
+                    both = np.flatnonzero(ok & (n[x] > LONG) & (n[y] > LONG))
+                    for c in range(0, len(both), 4096):
+                        pair = both[c : c + 4096]
+                        most = np.minimum(_rows(fine, x[pair]), _rows(fine, y[pair])).sum(axis=1, dtype=np.int64)
+                        ok[pair] = most >= least_overlap(n[x[pair]] + n[y[pair]], num, den)
                     # Bins are 16 bits wide; a set that may overflow one isn't bounded.
-                    ok |= n[x] > 65_000
+                    ok |= (n[x] > 65_000) | (n[y] > 65_000)
                     a.append(ck[x[ok]])
                     b.append(ck[y[ok]])
 
         for whole_batch in batches:
-            for at in range(0, whole_batch.num_rows, 20_000):
-                part = whole_batch.slice(at, 20_000)
-                bins = np.frombuffer(b"".join(part.column(3).to_pylist()), "<u2").reshape(-1, BINS)
+            for at in range(0, whole_batch.num_rows, 5_000):
+                part = whole_batch.slice(at, 5_000)
+                bins = np.empty(part.num_rows, object)
+                bins[:] = [np.frombuffer(h, "<u2") for h in part.column(3).to_pylist()]
                 now = [*(part.column(k).to_numpy(zero_copy_only=False) for k in range(3)), bins]
                 if carry is not None:
                     now = [np.concatenate([c, x]) for c, x in zip(carry, now, strict=True)]

@@ -34,7 +34,7 @@ from lodestone.llm.sentencepiece_bpe import text_slices
 #: Ids in a block, but for a single longer document.
 BLOCK_IDS = 1 << 18
 #: Words kept between chunks by a worker; beyond it the table starts anew.
-TABLE_WORDS = 500_000
+TABLE_WORDS = 900_000
 _CUT = re.compile(rb"(?<=[a-z0-9])(?=[.,!?;:])")
 _HEAD = struct.Struct("<4sB3xIQ")
 
@@ -77,8 +77,10 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
-        self.mark_id, mark = special[-1] if special else (-1, "")
-        self.mark = mark.encode()
+        # A control character that is one id stands between words that are encoded together.
+        mark = self.tokenizer.encode("\x01", add_special_tokens=False).ids
+        alone = self.tokenizer.encode("a. \x01 b", add_special_tokens=False).ids == [*self.tokenizer.encode("a.", add_special_tokens=False).ids, *mark, *self.tokenizer.encode("b", add_special_tokens=False).ids]
+        self.mark, self.mark_id = (b"\x01", mark[0]) if len(mark) == 1 and alone else (b"", -1)
         # Only a tokenizer that lower-cases and drops white space, and whose special tokens begin with "<|", gets words in that form.
         told = "the CAT, sat 2.5 times!? ok."
         same = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in (told, _CUT.sub(b" ", told.encode().lower()).decode())]
@@ -105,11 +107,12 @@ class WordEncoder:
 
     def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, flat, and each word's number of ids. Words go to the library many at a time,
-        with a special token between them that tells where each ends; words that hold it go alone."""
+        with a mark between them that tells where each ends; words that hold it go alone."""
         odd = [i for i, w in enumerate(words) if self.mark in w] if self.mark else range(len(words))
         alone = {i: self.tokenizer.encode(words[i].decode(), add_special_tokens=False).ids for i in odd}
         plain = [w for w in words if self.mark not in w] if self.mark else []
-        texts = [(self.mark.join(plain[i : i + 512]) + self.mark).decode() for i in range(0, len(plain), 512)]
+        between = b" " + self.mark + b" "
+        texts = [(between.join(plain[i : i + 512]) + between).decode() for i in range(0, len(plain), 512)]
         got = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         flat = np.concatenate([np.zeros(0, np.uint32), *got])
         ends = np.flatnonzero(flat == self.mark_id)
@@ -123,15 +126,20 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None], end: int | None) -> tuple[np.ndarray, np.ndarray]:
         if len(self.table) > TABLE_WORDS:
-            self._trim(TABLE_WORDS // 4)
+            self._trim(TABLE_WORDS // 2)
         table, new, rows, sizes = self.table, [], [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             words = self._split(text)
-            for w in set(words).difference(table):
-                table[w] = len(table)
-                new.append(w)
+            at = list(map(table.get, words))
+            if None in at:
+                for k, w in enumerate(words):
+                    if at[k] is None:
+                        if w not in table:
+                            table[w] = len(table)
+                            new.append(w)
+                        at[k] = table[w]
             sizes[i] = len(words)
-            rows.append(np.fromiter(map(table.__getitem__, words), np.int64, len(words)))
+            rows.append(np.array(at, np.int64))
         if new:
             ids, lens = self._words(new)
             self.at = np.concatenate([self.at, np.cumsum(lens) + self.at[-1]])

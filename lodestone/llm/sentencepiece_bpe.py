@@ -201,11 +201,16 @@ class Model:
             if not text:
                 continue
             words = self.words.findall(SPACE + text.replace(" ", SPACE))
-            for w in set(words).difference(table):
-                table[w] = len(table)
-                new.append(w)
+            at = list(map(table.get, words))
+            if None in at:
+                for k, w in enumerate(words):
+                    if at[k] is None:
+                        if w not in table:
+                            table[w] = len(table)
+                            new.append(w)
+                        at[k] = table[w]
             sizes[i] = len(words)
-            rows.append(np.fromiter(map(table.__getitem__, words), np.int64, len(words)))
+            rows.append(np.array(at, np.int64))
         if new:
             ids, at = self._merge(new)
             self.table_at = np.concatenate([self.table_at, at[1:] + self.table_at[-1]])
