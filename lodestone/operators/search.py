@@ -25,13 +25,13 @@ _LEG = "query_id long, kb_id int, item_id long, score double"
 
 
 def postings(items: DataFrame, partitions: int | None = None) -> DataFrame:
-    """(kb_id, item_id, hash, term, tf) of (kb_id, item_id, hash, text) items.
+    """(item_id, kb_id, term, tf) of (kb_id, item_id, text) items.
 
     Items are dealt by item_id first: the counts by (item, term) here and the scores by (item, query) of the
-    legs then need no further shuffle."""
+    legs then need no further shuffle. Only numbers are aggregated beside the keys, so all of it hashes."""
     dealt = items.repartition(partitions, "item_id") if partitions else items.repartition("item_id")
-    rows = dealt.select("kb_id", "item_id", "hash", F.explode(tokens(F.col("text"))).alias("term"))
-    return rows.groupBy("item_id", "term").agg(F.first("kb_id").alias("kb_id"), F.first("hash").alias("hash"), F.count("*").alias("tf"))
+    rows = dealt.select("item_id", "kb_id", F.explode(tokens(F.col("text"))).alias("term"))
+    return rows.groupBy("item_id", "kb_id", "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequencies(posts: DataFrame) -> DataFrame:
@@ -58,14 +58,18 @@ def ranked_by_kb(hits: DataFrame, scope: DataFrame, cross_kb: str) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)) - 1).select("query_id", "hash", "item_id", "kb_id", "rank", "score")
 
 
-def exact_leg(queries: DataFrame, posts: DataFrame, frequencies: DataFrame, items: int, scope: DataFrame, s: Settings, model: str = "tfidf2", lengths: DataFrame | None = None) -> DataFrame:
-    """Full-text hits over all of a query's knowledge bases, ranked over rows: copies of a text leave gaps.
+def text_scores(queries: DataFrame, posts: DataFrame, frequencies: DataFrame, items: int, model: str = "tfidf2", lengths: DataFrame | None = None) -> DataFrame:
+    """(query_id, item_id, kb_id, exact, sparse) of every query and item with a common term, in one pass.
 
-    model "tfidf2": the sum of tf * idf ** 2 over the query's distinct terms, with idf = log10(items / df) over
-    all items, whatever the scope; "bm25": k1 1.2 and b 0.75, with lengths (item_id, length). A query without
-    a term finds nothing."""
-    terms = query_terms(queries).join(sized(frequencies.join(query_terms(queries).select("term").distinct(), "term", "left_semi")), "term")
-    matched = posts.join(sized(terms), "term")
+    exact, by model "tfidf2": the sum of tf * idf ** 2 over the query's distinct terms, with idf = log10(items /
+    df) over all items, whatever the scope; "bm25": k1 1.2 and b 0.75, with lengths (item_id, length).
+    sparse: the inner product of vectors with weights ln(1 + tf), scaled to unit length; a lexical stand-in for
+    a learned encoder, whose weights can be given as postings."""
+    asked = query_terms(queries)
+    asked = asked.join(sized(frequencies.join(asked.select("term").distinct(), "term", "left_semi")), "term", "left")
+    qw = F.ln(1 + F.col("qtf"))
+    asked = asked.withColumn("qw", qw / F.sqrt(F.sum(qw * qw).over(Window.partitionBy("query_id")))).filter("df IS NOT NULL")
+    matched = posts.join(sized(asked.select("query_id", "term", "df", "qw")), "term")
     if model == "tfidf2":
         weight = F.col("tf") * F.pow(F.log10(F.lit(float(items)) / F.col("df")), 2)
     else:
@@ -73,23 +77,25 @@ def exact_leg(queries: DataFrame, posts: DataFrame, frequencies: DataFrame, item
         matched = matched.join(lengths, "item_id")
         idf = F.ln(1 + (F.lit(float(items)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         weight = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("length") / mean))
-    scored = matched.groupBy("query_id", "item_id").agg(F.first("kb_id").alias("kb_id"), F.first("hash").alias("hash"), F.round(F.sum(weight), 6).alias("score"))
-    scoped = scored.filter("score > 0").join(sized(scope.select("query_id", "kb_id")), ["query_id", "kb_id"], "left_semi")
-    best = top(scoped, ["query_id"], s.pool)
+    w = F.ln(1 + F.col("tf"))
+    sums = matched.groupBy("item_id", "kb_id", "query_id").agg(F.sum(weight).alias("exact"), F.sum(F.col("qw") * w).alias("dot"))
+    norms = posts.groupBy("item_id").agg(F.sqrt(F.sum(w * w)).alias("norm"))
+    return sums.join(norms, "item_id").select("query_id", "item_id", "kb_id", F.round("exact", 6).alias("exact"), F.round(F.col("dot") / F.col("norm"), 6).alias("sparse"))
+
+
+def exact_leg(scores: DataFrame, meta: DataFrame, scope: DataFrame, s: Settings) -> DataFrame:
+    """Full-text hits over all of a query's knowledge bases, ranked over rows: copies of a text leave gaps.
+    scores are those of text_scores, meta is (item_id, hash). A query without a term finds nothing."""
+    scoped = scores.select("query_id", "item_id", "kb_id", F.col("exact").alias("score")).filter("score > 0").join(sized(scope.select("query_id", "kb_id")), ["query_id", "kb_id"], "left_semi")
+    best = sized(top(scoped, ["query_id"], s.pool)).join(meta.select("item_id", "hash"), "item_id")
     return best.groupBy("query_id", "hash").agg(F.min("rank").alias("rank"), F.min_by("item_id", "rank").alias("item_id"), F.min_by("kb_id", "rank").alias("kb_id"), F.max("score").alias("score"))
 
 
-def sparse_leg(queries: DataFrame, posts: DataFrame, scope: DataFrame, s: Settings) -> DataFrame:
-    """Hits by the inner product of sparse vectors with weights ln(1 + tf), scaled to unit length; a lexical
-    stand-in for a learned encoder, whose weights can be given as postings."""
-    w = F.ln(1 + F.col("tf"))
-    norms = posts.groupBy("item_id").agg(F.sqrt(F.sum(w * w)).alias("norm"))
-    q = query_terms(queries).withColumn("qw", F.ln(1 + F.col("qtf")))
-    q = q.withColumn("qw", F.col("qw") / F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(Window.partitionBy("query_id"))))
-    matched = posts.join(norms, "item_id").join(sized(q.select("query_id", "term", "qw")), "term")
-    scored = matched.groupBy("query_id", "item_id").agg(F.first("kb_id").alias("kb_id"), F.first("hash").alias("hash"), F.round(F.sum(F.col("qw") * w / F.col("norm")), 6).alias("score"))
-    scoped = scored.join(sized(scope.select("query_id", "kb_id")), ["query_id", "kb_id"], "left_semi")
-    return ranked_by_kb(top(scoped, ["query_id", "kb_id"], s.pool), scope, s.cross_kb)
+def sparse_leg(scores: DataFrame, meta: DataFrame, scope: DataFrame, s: Settings) -> DataFrame:
+    """Hits by sparse vectors, the best for each query and knowledge base."""
+    scoped = scores.select("query_id", "item_id", "kb_id", F.col("sparse").alias("score")).join(sized(scope.select("query_id", "kb_id")), ["query_id", "kb_id"], "left_semi")
+    hits = sized(top(scoped, ["query_id", "kb_id"], s.pool).drop("rank")).join(meta.select("item_id", "hash"), "item_id")
+    return ranked_by_kb(hits, scope, s.cross_kb)
 
 
 def _unit(rows: list[list[float]], dim: int) -> np.ndarray:
@@ -180,18 +186,26 @@ class Index:
         self.posts = postings(items).persist()
         self.frequencies = document_frequencies(self.posts)
         self.items = items.count()
+        self.meta = items.select("item_id", "hash")
         self.vectors = vectors
 
+    def scores(self, queries: DataFrame) -> DataFrame:
+        return text_scores(queries, self.posts, self.frequencies, self.items)
+
     def search(self, queries: DataFrame, scope: DataFrame, s: Settings | None = None, top_k: int | None = None) -> DataFrame:
         """Hybrid search over the enabled legs. Blank queries find nothing by text."""
         s = s or Settings()
         legs: dict[str, DataFrame] = {}
         if s.dense_enabled and self.vectors is not None:
             legs["dense"] = dense_leg(queries, self.vectors, scope, s)
-        if s.sparse_enabled:
-            legs["sparse"] = sparse_leg(queries, self.posts, scope, s)
-        if s.exact_enabled:
-            legs["exact"] = exact_leg(queries, self.posts, self.frequencies, self.items, scope, s)
+        if s.sparse_enabled or s.exact_enabled:
+            scores = self.scores(queries)
+            if s.sparse_enabled and s.exact_enabled:
+                scores = scores.persist()
+            if s.sparse_enabled:
+                legs["sparse"] = sparse_leg(scores, self.meta, scope, s)
+            if s.exact_enabled:
+                legs["exact"] = exact_leg(scores, self.meta, scope, s)
         if not legs:
             raise ValueError("no leg is enabled")
         return rrf_merge(legs, s, top_k)

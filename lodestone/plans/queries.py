@@ -116,18 +116,17 @@ def doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts = search.postings(S.items(spark, sf_dir)).persist()
-    n = S.table(spark, sf_dir, "documents").count()
-    leg = search.exact_leg(S.search_queries(spark, sf_dir), posts, search.document_frequencies(posts), n, scope_all(spark, sf_dir), Settings())
+    ix = index(spark, sf_dir)
+    leg = search.exact_leg(ix.scores(S.search_queries(spark, sf_dir)), ix.meta, scope_all(spark, sf_dir), Settings())
     return leg.select("query_id", "item_id", F.col("rank").cast("int").alias("rank"), "score")
 
 
 @query
 def exact_search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts = search.postings(S.items(spark, sf_dir)).persist()
-    n = S.table(spark, sf_dir, "documents").count()
+    ix = index(spark, sf_dir)
     lengths = S.items(spark, sf_dir).select("item_id", F.size(T.tokens(F.col("text"))).alias("length"))
-    leg = search.exact_leg(S.search_queries(spark, sf_dir), posts, search.document_frequencies(posts), n, scope_all(spark, sf_dir), Settings(), "bm25", lengths)
+    scores = search.text_scores(S.search_queries(spark, sf_dir), ix.posts, ix.frequencies, ix.items, "bm25", lengths)
+    leg = search.exact_leg(scores, ix.meta, scope_all(spark, sf_dir), Settings())
     return leg.select("query_id", "item_id", F.col("rank").cast("int").alias("rank"), "score")
 
 
@@ -139,7 +138,8 @@ def dense_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sparse_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    leg = search.sparse_leg(S.search_queries(spark, sf_dir), search.postings(S.items(spark, sf_dir)).persist(), scope_own(spark, sf_dir), Settings())
+    ix = index(spark, sf_dir)
+    leg = search.sparse_leg(ix.scores(S.search_queries(spark, sf_dir)), ix.meta, scope_own(spark, sf_dir), Settings())
     return leg.select("query_id", "item_id", "kb_id", F.col("rank").cast("int").alias("rank"), "score")
 
 

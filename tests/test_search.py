@@ -59,10 +59,10 @@ def queries(spark, rows):
 
 
 def test_exact_scores_use_the_whole_table_and_leave_gaps(spark, corpus):
-    posts = search.postings(corpus)
+    ix = search.Index(corpus)
     s = scope(spark, [(1, 0, 0), (1, 1, 1), (2, 0, 0), (3, 0, 0)])
     q = queries(spark, [(1, "Apple pie?", None), (2, "  ", None), (3, "nothing", None)])
-    leg = search.exact_leg(q, posts, search.document_frequencies(posts), 5, s, Settings()).collect()
+    leg = search.exact_leg(ix.scores(q), ix.meta, s, Settings()).collect()
     idf = {t: math.log10(5 / n) for t, n in (("apple", 3), ("pie", 2))}
     got = {(r.query_id, r.hash): (r.rank, r.score, r.item_id) for r in leg}
     assert set(got) == {(1, "h1"), (1, "h2")}
@@ -72,10 +72,10 @@ def test_exact_scores_use_the_whole_table_and_leave_gaps(spark, corpus):
 
 def test_sparse_ranks_by_knowledge_base_first(spark, corpus):
     s = scope(spark, [(1, 1, 0), (1, 0, 1)])
-    q = queries(spark, [(1, "apple tart", None)])
-    leg = search.sparse_leg(q, search.postings(corpus), s, Settings()).orderBy("rank").collect()
+    q, ix = queries(spark, [(1, "apple tart", None)]), search.Index(corpus)
+    leg = search.sparse_leg(ix.scores(q), ix.meta, s, Settings()).orderBy("rank").collect()
     assert [(r.hash, r.rank, r.item_id) for r in leg] == [("h1", 0, 3), ("h2", 1, 2)]
-    leg = search.sparse_leg(q, search.postings(corpus), s, Settings(cross_kb="global")).orderBy("rank").collect()
+    leg = search.sparse_leg(ix.scores(q), ix.meta, s, Settings(cross_kb="global")).orderBy("rank").collect()
     assert [r.hash for r in leg] == ["h2", "h1"]
 
 
