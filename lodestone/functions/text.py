@@ -25,6 +25,24 @@ IDENTITY = (
     "what('s| is)\\s+your\\s+purpose",
     "what\\s+can\\s+you\\s+do",
 )
+#: Markdown and marks that a chat's preview leaves out, in the order of their removal.
+PREVIEW = (
+    ("(?s)<think>.*?</think>", ""),
+    ("\\[citation:\\d+\\]", ""),
+    ("(?m)^#{1,6}\\s+", ""),
+    ("(\\*\\*|__)(.*?)\\1", "$2"),
+    ("(\\*|_)(.*?)\\1", "$2"),
+    ("`([^`]+)`", "$1"),
+    ("\\[([^\\]]+)\\]\\([^)]+\\)", "$1"),
+    ("(?U)\\s+", " "),
+)
+#: The spellings of citation marks, in the order in which they are normalised.
+CITATIONS = (
+    ("\\[\\[[cC]itation", "[citation"),
+    ("[cC]itation:(\\d+)\\]\\]", "citation:$1]"),
+    ("\\[\\[([cC]itation:\\d+)\\]\\](?!\\])", "[$1]"),
+    ("\\[[cC]itation:(\\d+)\\]", "[citation]($1)"),
+)
 TOKEN = "[\\p{L}\\p{N}_]+"
 
 
@@ -118,11 +136,7 @@ def shown_text(content: Column) -> Column:
 def preview(content: Column) -> Column:
     """One line of plain text: reasoning, citations and markdown marks removed."""
     out = shown_text(content)
-    steps = (
-        ("(?s)<think>.*?</think>", ""), ("\\[citation:\\d+\\]", ""), ("(?m)^#{1,6}\\s+", ""), ("(\\*\\*|__)(.*?)\\1", "$2"),
-        ("(\\*|_)(.*?)\\1", "$2"), ("`([^`]+)`", "$1"), ("\\[([^\\]]+)\\]\\([^)]+\\)", "$1"), ("(?U)\\s+", " "),
-    )
-    for pattern, to in steps:
+    for pattern, to in PREVIEW:
         out = F.regexp_replace(out, pattern, to)
     return strip(out)
 
@@ -133,10 +147,9 @@ def shortened(c: Column, n: int = 300) -> Column:
 
 def citation_links(c: Column) -> Column:
     """Citation marks in their various spellings as markdown links to the number."""
-    c = F.regexp_replace(c, "\\[\\[[cC]itation", "[citation")
-    c = F.regexp_replace(c, "[cC]itation:(\\d+)\\]\\]", "citation:$1]")
-    c = F.regexp_replace(c, "\\[\\[([cC]itation:\\d+)\\]\\](?!\\])", "[$1]")
-    return F.regexp_replace(c, "\\[[cC]itation:(\\d+)\\]", "[citation]($1)")
+    for pattern, to in CITATIONS:
+        c = F.regexp_replace(c, pattern, to)
+    return c
 
 
 def think_split(c: Column) -> Column:
