@@ -27,7 +27,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _NONE = np.iinfo(np.int64).max
 #: Words kept between chunks by a worker; beyond it the table starts anew.
-TABLE_WORDS = 500_000
+TABLE_WORDS = 300_000
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
