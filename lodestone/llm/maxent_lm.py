@@ -40,8 +40,9 @@ KNOWN = 200_000
 ROUNDS, STEP, BATCH = 2, 1.0, 4096
 #: Added to the uses of a row in a batch: rows of rare contexts move less.
 DAMP = 6.0
-#: Scan partitions for each training worker, weight rows of a block, and workers summed at once.
-PER_WORKER, BLOCK, FAN = 3, 2048, 32
+#: Tokens for each training worker (every worker sends its changes once a round), weight rows of a block, and
+#: workers summed at once.
+WORKER_TOKENS, BLOCK, FAN = 12_000_000, 2048, 32
 _M = np.uint64
 END, START = _M(0x5851F42D4C957F2D), _M(0x14057B7EF767814F)
 _SALT = [_M(x) for x in (0x2545F4914F6CDD1D, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
@@ -267,7 +268,7 @@ def train(docs: DataFrame, counts: DataFrame, text: str = "text", rounds: int =
     sc = docs.sparkSession.sparkContext
     model = vocabulary(counts)
     rows = docs.select(text, F.pmod(F.xxhash64(text), F.lit(rounds)).alias("round"))
-    workers = max(2, rows.rdd.getNumPartitions() // PER_WORKER)
+    workers = max(2, -(-model.total // WORKER_TOKENS))
     for r in range(rounds):
         shared = sc.broadcast(model)
         part = rows.filter(F.col("round") == r).select(text).coalesce(workers)
