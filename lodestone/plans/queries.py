@@ -316,12 +316,10 @@ def citation_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, context, passages): the first three documents of each query's knowledge base."""
-    docs = S.items(spark, sf_dir).select("kb_id", "item_id", F.left("text", F.lit(200)).alias("text"))
+    """(query_id, context, passages): the whole texts that hybrid search finds in each query's knowledge base."""
+    docs = S.items(spark, sf_dir).select("kb_id", "item_id", "text")
     docs = docs.withColumn("metadata", F.when(F.col("item_id") % 5 == 0, F.create_map(F.lit("page"), F.lit("1"))).otherwise(F.create_map(F.lit("kb_id"), F.col("kb_id").cast("string"), F.lit("document_id"), F.col("item_id").cast("string"))))
-    first = records.first_per(docs, "kb_id", "item_id", 3)
-    picked = scope_own(spark, sf_dir).join(first, "kb_id").select("query_id", "item_id")
-    hits = picked.groupBy("query_id").agg(F.array_sort(F.collect_list("item_id")).alias("x")).select("query_id", F.posexplode("x").alias("rank", "item_id"))
+    hits = index(spark, sf_dir).search(S.search_queries(spark, sf_dir), scope_own(spark, sf_dir)).select("query_id", F.col("rank").cast("int").alias("rank"), "item_id")
     return answers.context(hits, docs)
 
 
