@@ -54,7 +54,7 @@ def doc_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def kb_doc_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.kb_document_counts(S.knowledge_bases(spark, sf_dir), S.documents(spark, sf_dir).filter("id % 3 = 0 OR knowledge_base_id < 10"))
+    return records.kb_document_counts(S.knowledge_bases(spark, sf_dir), S.documents(spark, sf_dir))
 
 
 @query
@@ -175,10 +175,11 @@ def test_retrieval_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rrf_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fusion alone, of three ranked lists made from ids."""
+    """Fusion alone, of three ranked lists made from ids; every document is in each list, in another order."""
     d = S.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"))
-    leg = lambda m, k: d.filter(F.col("item_id") % m == 0).select((F.col("item_id") % 7).alias("query_id"), T.content_hash(F.col("item_id").cast("string")).alias("hash"), "item_id", F.lit(0).alias("kb_id"), F.floor(F.col("item_id") / k).cast("int").alias("rank"))
-    return ranked(search.rrf_merge({"dense": leg(2, 14), "sparse": leg(3, 21), "exact": leg(5, 35)}, Settings(), 24))
+    place = F.floor(F.col("item_id") / 7).cast("int")
+    leg = lambda swap: d.select((F.col("item_id") % 7).alias("query_id"), T.content_hash(F.col("item_id").cast("string")).alias("hash"), "item_id", F.lit(0).alias("kb_id"), place.bitwiseXOR(F.lit(swap)).alias("rank"))
+    return ranked(search.rrf_merge({"dense": leg(0), "sparse": leg(1), "exact": leg(2)}, Settings(), 24))
 
 
 def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -261,7 +262,7 @@ def task_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def document_or_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = S.documents(spark, sf_dir).select("id", "file_name", F.concat(F.lit("kb/"), "file_name").alias("file_path")).filter("id % 2 = 0")
+    docs = S.documents(spark, sf_dir).select("id", "file_name", F.concat(F.lit("kb/"), "file_name").alias("file_path"))
     up = S.uploads(spark, sf_dir).select("id", "file_name", F.concat(F.lit("tmp/"), "file_name").alias("temp_path"))
     return records.document_or_upload(S.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id")), docs, up)
 
