@@ -312,7 +312,7 @@ def think_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def citation_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = S.messages(spark, sf_dir).filter("role = 'assistant'")
-    c = F.concat(F.lit("[[citation:1]] [Citation:2] [[Citation:3]][citation:4]] "), T.shortened(F.col("content")), F.lit(" [citation:"), (F.col("id") % 9).cast("string"), F.lit("]"))
+    c = F.concat(F.lit("[[citation:1]] [Citation:2] [[Citation:3]][citation:4]] "), F.col("content"), F.lit(" [citation:"), (F.col("id") % 9).cast("string"), F.lit("]"))
     return m.select("id", T.citation_links(c).alias("text"))
 
 
@@ -387,7 +387,7 @@ def kb_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def metadata_json_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunk rows of the first schema version brought to the next."""
     d = S.items(spark, sf_dir)
-    meta = F.to_json(F.struct(F.left("text", F.lit(50)).alias("page_content"), (F.col("item_id") % 9).alias("chunk_index"), F.lit("s").alias("source")))
+    meta = F.to_json(F.struct(F.col("text").alias("page_content"), (F.col("item_id") % 9).alias("chunk_index"), F.lit("s").alias("source")))
     return migrate(d.select("item_id", meta.alias("chunk_metadata")), 0, 1).select("item_id", "chunk_text", "chunk_index", "chunk_metadata")
 
 
