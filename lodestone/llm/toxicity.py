@@ -1,9 +1,9 @@
 """Toxicity by compression distance.
 
 Two Zstandard dictionaries are built from labelled text: one from ordinary documents, one from toxic ones.
-The toxic dictionary holds the strings that are far more frequent in toxic documents than in ordinary ones,
-in front of the ordinary dictionary's content, so that ordinary text compresses alike with both and the
-difference of the two lengths of a window of text is what the toxic strings save. A document's windows give
+Both are trained by zstandard; the difference of the two lengths of a window of text is what the toxic one saves.
+A third has a lexicon (word beginnings that are far more frequent in toxic documents than in ordinary ones, if
+the labels suffice to tell) in front of the ordinary content, so that ordinary text compresses alike. A document's windows give
 the features (mean, largest and total saving, windows above thresholds); a logistic function of them, fitted
 on labelled documents that had no part in the dictionaries, calibrates them to a probability.
 
@@ -64,27 +64,31 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
 
 @dataclass
 class Model:
-    """Both dictionaries, and the logistic function of the features."""
+    """The dictionaries, and the logistic function of the features."""
 
     ordinary: bytes = b""
     toxic: bytes = b""
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(8))
-    centre: np.ndarray = field(default_factory=lambda: np.zeros(7))
-    scale: np.ndarray = field(default_factory=lambda: np.ones(7))
+    lexicon: bytes = b""
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(11))
+    centre: np.ndarray = field(default_factory=lambda: np.zeros(10))
+    scale: np.ndarray = field(default_factory=lambda: np.ones(10))
 
     def open(self) -> Model:
         if self.toxic:
-            self._plain, self._toxic = _compressor(self.ordinary), _compressor(self.toxic + self.ordinary)
+            self._plain, self._toxic = _compressor(self.ordinary), _compressor(self.toxic)
+            self._lexicon = _compressor(self.lexicon + self.ordinary) if self.lexicon else self._plain
         return self
 
     def features(self, text: str | None) -> np.ndarray:
         cut = windows(text) if self.toxic else []
         if not cut:
-            return np.zeros(7)
-        plain, toxic = self._plain.compress, self._toxic.compress
-        saved = np.array([len(plain(w)) - len(toxic(w)) for w in cut])
+            return np.zeros(10)
+        plain = np.array([len(self._plain.compress(w)) for w in cut])
+        saved = plain - [len(self._lexicon.compress(w)) for w in cut] if self.lexicon else np.zeros(len(cut))
+        trained = plain - [len(self._toxic.compress(w)) for w in cut]
         n = len(saved)
-        return np.array([saved.mean(), saved.max(), np.log1p(max(0, saved.sum())), *(np.log1p((saved >= t).sum()) for t in (2, 4)), (saved >= 3).sum() / n, (saved >= 5).sum() / n])
+        own = [saved.mean(), saved.max(), np.log1p(max(0, saved.sum())), *(np.log1p((saved >= t).sum()) for t in (2, 4)), (saved >= 3).sum() / n, (saved >= 5).sum() / n]
+        return np.array([*own, trained.mean(), trained.max(), (trained >= 5).sum() / n])
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if not texts:
@@ -114,12 +118,20 @@ def _surprise(a: int, b: int, prior: float) -> float:
     return (a + b) * (q * math.log(q / prior) + ((1 - q) * math.log((1 - q) / (1 - prior)) if b else 0.0))
 
 
+def _dictionary(texts: list[str]) -> bytes:
+    """Content of a trained dictionary; few texts, of which none can be trained, stand for themselves."""
+    try:
+        return zstandard.train_dictionary(2 * ORDINARY_BYTES, [t.encode().translate(_LOWER) for t in texts], k=50, d=6, steps=1, threads=0).as_bytes()[-ORDINARY_BYTES:]
+    except zstandard.ZstdError:
+        return b" ".join(w for t in texts for w in words(t))[-ORDINARY_BYTES:]
+
+
 def fit(toxic: list[str], ordinary: list[str], toxic_share: float) -> Model:
     """A model of labelled texts; toxic_share is the share of label 1 among all labels, which the sample need not have."""
     toxic, ordinary = _distinct(toxic), _distinct(ordinary)
     model = Model()
     model.weights[0] = np.log(max(toxic_share, 1e-9) / max(1 - toxic_share, 1e-9))
-    if len(toxic) < 8 or len(ordinary) < 8:
+    if len(toxic) < 2 or len(ordinary) < 2:  # one to learn from and one to calibrate by
         return model
     fit_t, cal_t, fit_o, cal_o = toxic[::2], toxic[1::2], ordinary[::2], ordinary[1::2]
     in_t, in_o = Counter(), Counter()
@@ -130,14 +142,8 @@ def fit(toxic: list[str], ordinary: list[str], toxic_share: float) -> Model:
     good = sorted((g for g, n in in_t.items() if _surprise(n, in_o[g], prior) >= SURPRISE), key=lambda g: (_surprise(in_t[g], in_o[g], prior), g))
     # A string whose longer form is about as frequent is left out: the longer one holds it.
     held = {h[:n] for h in good for n in range(5, len(h)) if in_t[h] >= 0.6 * in_t[h[:n]]}
-    content = b"".join(g for g in good if g not in held)[-ORDINARY_BYTES:]
-    if not content:
-        return model
-    try:
-        base = zstandard.train_dictionary(2 * ORDINARY_BYTES, [t.encode().translate(_LOWER) for t in fit_o], k=50, d=6, steps=1, threads=0).as_bytes()[-ORDINARY_BYTES:]
-    except zstandard.ZstdError:
-        base = b" ".join(w for t in fit_o for w in words(t))[-ORDINARY_BYTES:]
-    model.ordinary, model.toxic = base, content
+    lexicon = b"".join(g for g in good if g not in held)[-ORDINARY_BYTES:]
+    model.ordinary, model.toxic, model.lexicon = _dictionary(fit_o), _dictionary(fit_t), lexicon
     model.open()
     x = np.stack([model.features(t) for t in cal_t + cal_o])
     y = np.repeat([1.0, 0.0], [len(cal_t), len(cal_o)])
@@ -191,7 +197,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
 
 
 def model_state(model: Model) -> dict:
-    return {k: getattr(model, k) for k in ("ordinary", "toxic", "weights", "centre", "scale")}
+    return {k: getattr(model, k) for k in ("ordinary", "toxic", "lexicon", "weights", "centre", "scale")}
 
 
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
