@@ -1,20 +1,26 @@
 """A hashed maximum-entropy language model.
 
-The probability of a token is that of its class times that of the token in its class, both softmaxes of summed
-weights of the context's features: bias, the last word, the last two, and skip features (second and third last
-word alone, last with third last), hashed into tables of fixed size. The HEAD most frequent words form classes
-by frequency; all other words fall into TAIL classes by their first letters, within which the corpus counts
-over all training documents give the probability (with one unseen word in each), so the model is normalised
-over the whole vocabulary.
-
-Training is data-parallel: in each round workers start from the same weights, take gradient steps over their
+The vocabulary is a tree of classes: its leaves are the KNOWN most frequent words and CELLS cells of all other
+words (by their first letters and a hash), every inner node has up to FAN classes of about equal mass. The
+probability of a token is the product, from the root down, of the softmax over a node's classes, whose weights
+are sums over the features of the context: bias, the last word, the last two, and skip features (second and
+third last word alone, last with third last). A weight row belongs to a feature and a node, hashed into a table.
+In a cell, the corpus counts over all training documents give the probability (with one unseen word in each),
+so the model is normalised over the whole vocabulary.
+
+Training is data-parallel: in each round, workers start from the same weights, take gradient steps over their
 documents of that round, and the changes of a weight row are averaged over the workers that met it, in a tree
-of sums over blocks of rows. Scoring is done in numpy batches. Counts of rare words are joined, not broadcast.
+of sums over blocks of rows. Documents are dealt to workers and ordered by a hash of their content, so that a
+model depends on the rows alone, not on files or partitions (scores agree to rounding of sums). Scoring is done
+in numpy batches. Counts of rare words are joined, not broadcast.
+
+What grows with the corpus: counts of all words, workers, and weight rows, one for every two tokens from
+2**MIN_BITS to 2**MAX_BITS rows; beyond that, contexts share rows, since each worker holds the table.
 
 Contract: null texts count as empty: one end token. Text is lower-cased in A-Z; tokens are the words
 [^\\x20\\x09-\\x0D]+ and one end. Null ids belong to bucket 0. A repeated row is scored (and learned from)
 again. Without training documents the base score of every token is log10(1). Words are known by 64-bit hashes.
-An empty table gives no rows.
+An empty table gives no rows; other columns take no part.
 """
 
 from __future__ import annotations
@@ -31,32 +37,33 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import mix64, staged, text_chunks, word_hashes, word_spans
 from lodestone.llm.toxicity import bucket
 
-CLASSES, TAIL, WIDE = 64, 16, 64
-HEAD = (CLASSES - TAIL) * WIDE
-#: Rows of the class table and of the table of words in classes; each row has a weight for each outcome.
-CLASS_ROWS, WORD_ROWS = 1 << 15, 1 << 16
-#: Words whose counts every scorer holds; other words meet their counts in a join.
+#: Classes of a node of the vocabulary's tree, and the cells of rare words: by letters times by a hash.
+FAN, LETTERS, CELLS = 16, 16, 4096
+#: Words that are leaves of their own, whose counts every scorer holds; other words meet their counts in a join.
 KNOWN = 200_000
-ROUNDS, STEP, BATCH = 2, 1.0, 4096
-#: Added to the uses of a row in a batch: rows of rare contexts move less.
-DAMP = 6.0
-#: Tokens for each training worker (every worker sends its changes once a round), weight rows of a block, and
-#: workers summed at once.
-WORKER_TOKENS, BLOCK, FAN = 12_000_000, 2048, 32
+#: Bounds of the hashed weight rows (as powers of two), each with FAN weights.
+MIN_BITS, MAX_BITS = 16, 20
+#: A row moves by STEP / (uses in the batch + DAMP + HOLD * uses before) times the sum of its gradients.
+ROUNDS, STEP, DAMP, HOLD, BATCH = 2, 1.0, 8.0, 0.1, 4096
+#: Tokens of a worker in a round, as a multiple of the weight rows (every worker sends its changes once a
+#: round); weight rows of a block; workers summed at once.
+WORKER_TOKENS, BLOCK, JOINT = 4, 2048, 32
 _M = np.uint64
 END, START = _M(0x5851F42D4C957F2D), _M(0x14057B7EF767814F)
 _SALT = [_M(x) for x in (0x2545F4914F6CDD1D, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
+_LIMIT = np.float32(60)
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes and tail classes of all tokens, and offsets of each text's tokens; each text ends with END."""
+    """Hashes and cells of all tokens, and offsets of each text's tokens; each text ends with END."""
     h, at = word_hashes(data, offsets)
     starts, ends, _ = word_spans(data, offsets)
     first = data[starts].astype(np.int64) if len(starts) else np.zeros(0, np.int64)
     second = np.where(ends - starts > 1, data[np.minimum(starts + 1, max(0, len(data) - 1))], 0) if len(starts) else first
     low = lambda c: np.where((c >= 65) & (c <= 90), c + 32, c)
-    tail = (low(first) * 31 + low(second.astype(np.int64)) * 17) % TAIL
-    return np.insert(h, at[1:], END), np.insert(tail, at[1:], 0), at + np.arange(len(at))
+    letters = (low(first) * 31 + low(second.astype(np.int64)) * 17) % LETTERS
+    cell = letters * (CELLS // LETTERS) + (mix64(h) % _M(CELLS // LETTERS)).astype(np.int64)
+    return np.insert(h, at[1:], END), np.insert(cell, at[1:], 0), at + np.arange(len(at))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,12 +80,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> Iterator[pa.RecordBatch]:
         w, c, t = held[0]
         for i in range(0, len(w), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (w.view(np.int64), c, t)], names=["w", "c", "tail"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (w.view(np.int64), c, t)], names=["w", "c", "cell"])
 
     for b in batches:
         for _, _, data, off in text_chunks(b.column(0)):
-            h, tail, _ = tokens(data, off)
-            held.append((h, np.ones(len(h), np.int64), tail))
+            h, cell, _ = tokens(data, off)
+            held.append((h, np.ones(len(h), np.int64), cell))
             size += len(h)
             if size > 3_000_000:
                 held[:] = [merged()]
@@ -92,42 +99,94 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def word_counts(train: DataFrame, text: str = "text") -> DataFrame:
-    """(w, c, tail) of every token of all training texts."""
-    got = train.select(text).mapInArrow(_counted, "w long, c long, tail long")
-    return got.groupBy("w").agg(F.sum("c").alias("c"), F.min("tail").alias("tail"))
+    """(w, c, cell) of every token of all training texts."""
+    got = train.select(text).mapInArrow(_counted, "w long, c long, cell long")
+    return got.groupBy("w").agg(F.sum("c").alias("c"), F.min("cell").alias("cell"))
+
+
+def class_tree(mass: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Paths of leaves with these masses, in their order: offsets, and the nodes and classes on each path; and
+    each node's share of mass in every class. A node's leaves are cut into FAN runs of about equal mass."""
+    leaves = len(mass)
+    cum = np.concatenate([[0.0], np.cumsum(mass)])
+    low, high = np.array([0]), np.array([leaves])
+    leaf, node, cls, shares, made = [], [], [], [], 0
+    while len(low):
+        size = high - low
+        own = np.repeat(np.arange(len(low)), size)
+        at = np.arange(size.sum()) + np.repeat(low - np.cumsum(size) + size, size)
+        total = cum[high] - cum[low]
+        place = (cum[at] + mass[at] / 2 - cum[low][own]) / total[own]
+        c = np.where(size[own] <= FAN, at - low[own], np.minimum((place * FAN).astype(np.int64), FAN - 1))
+        leaf.append(at)
+        node.append(made + own)
+        cls.append(c)
+        shares.append(np.bincount(own * FAN + c, weights=mass[at], minlength=len(low) * FAN).reshape(-1, FAN) / total[:, None])
+        made += len(low)
+        run = own * FAN + c
+        first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+        last = np.append(first[1:], len(run)) - 1
+        more = last > first
+        low, high = at[first[more]], at[last[more]] + 1
+    leaf, node, cls = np.concatenate(leaf), np.concatenate(node), np.concatenate(cls)
+    order = np.argsort(leaf, kind="stable")
+    return np.searchsorted(leaf[order], np.arange(leaves + 1)), node[order].astype(np.int32), cls[order].astype(np.int32), np.concatenate(shares)
 
 
 class Model:
-    """Vocabulary and weights; what a worker holds doesn't depend on the size of the corpus."""
+    """Vocabulary and weights; what a worker holds is bounded by KNOWN, CELLS and MAX_BITS."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, tails: np.ndarray, total: int, types: int, tail_mass: np.ndarray):
-        """words: the KNOWN most frequent tokens, most frequent first; tail_mass: summed c + 0.5 of each tail class."""
-        self.total, self.types, self.tail_mass = total, types, tail_mass
-        head = min(HEAD, len(words))
+    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, types: int, cell_mass: np.ndarray):
+        """words: the KNOWN most frequent tokens, most frequent first; cell_mass: summed c + 0.5 of each cell's words."""
+        self.total, self.types, self.cell_mass = total, types, cell_mass
         order = np.argsort(words)
         self.words, self.counts, self.rank = words[order], counts[order], order
-        self.head = head
-        self.classes = np.zeros((CLASS_ROWS, CLASSES), np.float32)
-        self.inside = np.zeros((WORD_ROWS, WIDE), np.float32)
-        weight = np.zeros((CLASSES - TAIL, WIDE))
-        weight.ravel()[:head] = counts[:head] + 0.5
+        self.path_at, self.path_node, self.path_class, shares = class_tree(np.concatenate([counts + 0.5, cell_mass]))
+        self.nodes = len(shares)
+        self.bits = min(MAX_BITS, max(MIN_BITS, (total // 2).bit_length() - 1))
         with np.errstate(divide="ignore"):
-            self.classes[0] = np.maximum(np.log(np.concatenate([tail_mass, weight.sum(axis=1)]) / max(1, total)), -30)
-            self.inside[TAIL:CLASSES] = np.maximum(np.log(weight / np.maximum(weight.sum(axis=1, keepdims=True), 1e-9)), -30)
+            bias = np.maximum(np.log(shares), -30)
+        #: Bias rows of all nodes, then hashed rows; kept in half precision, used in single.
+        self.weights = np.concatenate([bias, np.zeros((1 << self.bits, FAN))]).astype(np.float16)
+        self.met: np.ndarray | None = np.zeros(len(self.weights), np.float32)
 
-    def look_up(self, h: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Class and place in it of each token, and its count (-1: not among the known words)."""
+    def look_up(self, h: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Leaf of each token, and its count (-1: not among the known words)."""
         if not len(self.words):
-            return tail.copy(), np.zeros(len(h), np.int64), np.full(len(h), -1)
+            return cell, np.full(len(h), -1)
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
         found = self.words[at] == h
-        rank = np.where(found, self.rank[at], self.head)
-        is_head = rank < self.head
-        return np.where(is_head, TAIL + rank // WIDE, tail), np.where(is_head, rank % WIDE, 0), np.where(found, self.counts[at], -1)
+        return np.where(found, self.rank[at], len(self.words) + cell), np.where(found, self.counts[at], -1)
+
+    def paths(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For every node on the leaves' paths: position of the leaf, node, class."""
+        n = self.path_at[leaf + 1] - self.path_at[leaf]
+        ends = np.cumsum(n)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.path_at[leaf] - ends + n, n)
+        return np.repeat(np.arange(len(leaf)), n), self.path_node[at], self.path_class[at]
+
+    def rows(self, features: np.ndarray, token: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Weight rows of (features + bias, tokens' nodes)."""
+        out = np.empty((len(features) + 1, len(token)), np.int64)
+        out[0] = node
+        salt = node.astype(np.uint32) * np.uint32(0x9E3779B1)
+        for k, f in enumerate(features):
+            x = (f[token] ^ salt) * np.uint32(0x85EBCA6B)
+            x ^= x >> np.uint32(15)
+            x *= np.uint32(0xC2B2AE35)
+            out[k + 1] = x >> np.uint32(32 - self.bits)
+            out[k + 1] += self.nodes
+        return out
+
+    def scorer(self) -> Model:
+        """The model without what only training needs."""
+        out = object.__new__(Model)
+        out.__dict__ |= self.__dict__ | {"met": None}
+        return out
 
 
 def context(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Feature hashes of each token's context: one row for each token, the bias left out."""
+    """Feature hashes of each token's context: one row for each feature, the bias left out."""
     since = np.arange(len(h)) - np.repeat(offsets[:-1], np.diff(offsets))
 
     def back(k: int) -> np.ndarray:
@@ -137,112 +196,112 @@ def context(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
     a, b, c = back(1), back(2), back(3)
     with np.errstate(over="ignore"):
-        return np.stack([mix64(a * _SALT[0]), mix64(a * _SALT[1] + b * _SALT[2]), mix64(b * _SALT[3]), mix64(c * _SALT[4]), mix64(a * _SALT[3] + c * _SALT[0])], axis=1)
-
-
-def _rows(features: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of both tables for each token; column 0 is the bias."""
-    n = len(features)
-    a = (features % _M(CLASS_ROWS - 1)).astype(np.int64) + 1
-    with np.errstate(over="ignore"):
-        b = (mix64(features + (cls.astype(np.uint64) * _SALT[1])[:, None]) % _M(WORD_ROWS - CLASSES)).astype(np.int64) + CLASSES
-    return np.column_stack([np.zeros(n, np.int64), a]), np.column_stack([cls, b])
-
-
-def _softmax(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = table[rows[:, 0]]
-    for k in range(1, rows.shape[1]):
-        z += table[rows[:, k]]
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
-
-
-def log_probability(model: Model, features: np.ndarray, cls: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """log10 of the probability of each token's class and, for words of the head, of the word in it."""
-    out = np.zeros(len(cls))
-    for i in range(0, len(cls), BATCH):
-        f, c, p = features[i : i + BATCH], cls[i : i + BATCH], place[i : i + BATCH]
-        a, b = _rows(f, c)
-        lp = np.log10(np.maximum(_softmax(model.classes, a)[np.arange(len(c)), c], 1e-30))
-        head = np.flatnonzero(c >= TAIL)
-        if len(head):
-            lp[head] += np.log10(np.maximum(_softmax(model.inside, b[head])[np.arange(len(head)), p[head]], 1e-30))
-        out[i : i + BATCH] = lp
+        features = (a * _SALT[0], a * _SALT[1] + b * _SALT[2], b * _SALT[3], c * _SALT[4], a * _SALT[3] + c * _SALT[0])
+        return np.stack([(mix64(f) >> _M(32)).astype(np.uint32) for f in features])
+
+
+def _exp_sums(table: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Summed weights of each instance's classes, their exponentials, and the sums of these."""
+    z = np.take(table, rows[0], axis=0, mode="clip")
+    part = np.empty_like(z)
+    for r in rows[1:]:
+        z += np.take(table, r, axis=0, out=part, mode="clip")
+    np.clip(z, -_LIMIT, _LIMIT, out=z)
+    np.exp(z, out=part)
+    return z, part, part @ np.ones(FAN, np.float32)
+
+
+def log_probability(model: Model, table: np.ndarray, features: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each token's leaf; table: the model's weights in single precision."""
+    out = np.zeros(len(leaf))
+    for i in range(0, len(leaf), BATCH):
+        part = leaf[i : i + BATCH]
+        token, node, cls = model.paths(part)
+        z, _, sums = _exp_sums(table, model.rows(features[:, i : i + BATCH], token, node))
+        lp = z.ravel()[np.arange(len(cls)) * FAN + cls].astype(np.float64) - np.log(sums.astype(np.float64))
+        out[i : i + BATCH] = np.bincount(token, weights=lp, minlength=len(part)) / math.log(10)
     return out
 
 
-def _step(table: np.ndarray, met: np.ndarray, rows: np.ndarray, target: np.ndarray, step: float) -> None:
-    """One gradient step: each row moves by the mean gradient of the tokens that use it."""
-    g = _softmax(table, rows)
-    g[np.arange(len(g)), target] -= 1
-    if (rows[:, 0] == rows[0, 0]).all():  # the bias of all
-        table[rows[0, 0]] -= np.float32(step / (len(g) + DAMP)) * g.sum(axis=0)
-        met[rows[0, 0]] += len(g)
-        rows = rows[:, 1:]
-    flat = rows.ravel()
-    order = np.argsort(flat, kind="stable")
-    flat = flat[order]
-    first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-    n = np.diff(first, append=len(flat))
-    table[flat[first]] -= (step / (n + DAMP))[:, None].astype(np.float32) * np.add.reduceat(g[order // rows.shape[1]], first, axis=0)
-    met[flat[first]] += n
-
-
-def learn(model: Model, h: np.ndarray, tail: np.ndarray, offsets: np.ndarray, met: tuple[np.ndarray, np.ndarray], step: float) -> None:
-    cls, place, _ = model.look_up(h, tail)
+def _wide(x: np.ndarray) -> np.ndarray:
+    return np.repeat(x.astype(np.float32), FAN).reshape(-1, FAN)
+
+
+def _sums_by_row(g: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows, how often each occurs, and the sum of g over its instances."""
+    n = len(g)
+    bits = _M(max(1, (n - 1).bit_length()))
+    key = ((rows.astype(np.uint64) << bits) | np.arange(n, dtype=np.uint64)).ravel()
+    key.sort()
+    row, at = (key >> bits).astype(np.int64), (key & ((_M(1) << bits) - _M(1))).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    count = np.diff(first, append=len(row))
+    total = np.take(g, at[first], axis=0, mode="clip")
+    k, left = 1, np.flatnonzero(count > 1)
+    while len(left) and k < 6:  # most rows have few instances: these are added one by one, for all rows at once
+        total[left] += np.take(g, at[first[left] + k], axis=0, mode="clip")
+        k += 1
+        left = left[count[left] > k]
+    if len(left):
+        more = count[left] - k
+        ends = np.cumsum(more)
+        rest = np.arange(ends[-1]) + np.repeat(first[left] + k - ends + more, more)
+        total[left] += np.add.reduceat(np.take(g, at[rest], axis=0, mode="clip"), ends - more, axis=0)
+    return row[first], count, total
+
+
+def learn(model: Model, table: np.ndarray, met: np.ndarray, h: np.ndarray, cell: np.ndarray, offsets: np.ndarray, step: float = STEP) -> None:
+    """Gradient steps over batches of tokens: table and met (uses of each row) change."""
+    leaf, _ = model.look_up(h, cell)
     features = context(h, offsets)
     for i in range(0, len(h), BATCH):
-        c = cls[i : i + BATCH]
-        a, b = _rows(features[i : i + BATCH], c)
-        _step(model.classes, met[0], a, c, step)
-        head = np.flatnonzero(c >= TAIL)
-        if len(head):
-            _step(model.inside, met[1], b[head], place[i : i + BATCH][head], step)
+        token, node, cls = model.paths(leaf[i : i + BATCH])
+        rows = model.rows(features[:, i : i + BATCH], token, node)
+        _, g, sums = _exp_sums(table, rows)
+        g *= _wide(1 / sums)
+        g.ravel()[np.arange(len(cls)) * FAN + cls] -= 1
+        row, count, change = _sums_by_row(g, rows)
+        before = met[row]
+        change *= _wide(step / (count + DAMP + HOLD * before))
+        table[row] = np.take(table, row, axis=0, mode="clip") - change
+        met[row] = before + count
 
 
-def _worker(shared, step: float):
-    """Changes of the weights, times how often their row was met, in blocks of rows."""
+_CHANGES = "block int, part int, change binary, met binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _worker(shared):
+    """Changes of the weights and the uses of their rows, in blocks of rows, of one worker's documents."""
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        start = (model.classes, model.inside)
-        model = _copy(model)
-        met = (np.zeros(CLASS_ROWS), np.zeros(WORD_ROWS))
+        table, met = model.weights.astype(np.float32), model.met.copy()
         for b in batches:
             for _, _, data, off in text_chunks(b.column(0)):
-                h, tail, at = tokens(data, off)
-                learn(model, h, tail, at, met, step)
-        part = TaskContext.get().partitionId()
-        for t, (old, new) in enumerate(zip(start, (model.classes, model.inside), strict=True)):
-            for k in range(0, len(old), BLOCK):
-                m = met[t][k : k + BLOCK]
-                if m.any():
-                    change = (new[k : k + BLOCK] - old[k : k + BLOCK]).astype(np.float16)
-                    yield pa.RecordBatch.from_arrays([pa.array([t * 1000 + k // BLOCK], pa.int32()), pa.array([part], pa.int32()), pa.array([change.tobytes()], pa.binary()), pa.array([m.astype(np.float32).tobytes()], pa.binary())], names=["block", "part", "change", "met"])
+                learn(model, table, met, *tokens(data, off))
+        for k in range(0, len(table), BLOCK):
+            uses = met[k : k + BLOCK] - model.met[k : k + BLOCK]
+            if uses.any():
+                change = (table[k : k + BLOCK] - model.weights[k : k + BLOCK]).astype(np.float16)
+                yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK], pa.int32()), pa.array([key[0].as_py()], pa.int32()), pa.array([change.tobytes()], pa.binary()), pa.array([uses.tobytes()], pa.binary())], names=["block", "part", "change", "met"])
 
     return run
 
 
-def _copy(model: Model) -> Model:
-    out = object.__new__(Model)
-    out.__dict__ |= model.__dict__ | {"classes": model.classes.copy(), "inside": model.inside.copy()}
-    return out
-
-
 def _averaged(t: pa.Table) -> pa.Table:
-    change, met = np.zeros((BLOCK, len(t.column("change")[0].as_py()) // (2 * BLOCK))), np.zeros(BLOCK)
+    """Changes of one block, averaged by uses; always summed in the order of the parts."""
+    t = t.sort_by("part")
+    change, met = 0.0, 0.0
     for c, m in zip(t.column("change"), t.column("met"), strict=True):
-        m = np.frombuffer(m.as_py(), np.float32)
-        change += np.frombuffer(c.as_py(), np.float16).reshape(BLOCK, -1) * m[:, None]
-        met += m
+        m = np.frombuffer(m.as_py(), np.float32).astype(np.float64)
+        change = change + np.frombuffer(c.as_py(), np.float16).reshape(-1, FAN) * m[:, None]
+        met = met + m
     change = (change / np.maximum(met, 1)[:, None]).astype(np.float16)
-    return pa.table({"block": t.column("block")[:1], "part": pa.array([t.column("part")[0].as_py() // FAN], pa.int32()), "change": pa.array([change.tobytes()], pa.binary()), "met": pa.array([met.astype(np.float32).tobytes()], pa.binary())})
+    return pa.table({"block": t.column("block")[:1], "part": pa.array([t.column("part")[0].as_py() // JOINT], pa.int32()), "change": pa.array([change.tobytes()], pa.binary()), "met": pa.array([met.astype(np.float32).tobytes()], pa.binary())})
 
 
 def vocabulary(counts: DataFrame) -> Model:
-    """An untrained model of (w, c, tail) counts: weights give the corpus frequencies."""
+    """An untrained model of (w, c, cell) counts: weights give the corpus frequencies."""
     total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).head()
     # Words are taken down to a count (on a logarithmic scale), so that KNOWN rows at most come to the driver.
     level = F.floor(F.ln("c") * 64)
@@ -254,66 +313,69 @@ def vocabulary(counts: DataFrame) -> Model:
             break
         cut = at
     top = counts.filter(level >= F.lit(float(cut))).toPandas().sort_values(["c", "w"], ascending=[False, True])
-    words, c, tail = top["w"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64), top["tail"].to_numpy(np.int64)
-    mass = np.full(TAIL, 0.5)
-    for r in counts.groupBy("tail").agg((F.sum("c") + 0.5 * F.count("*")).alias("m")).collect():
-        mass[r.tail] += r.m
-    head = min(HEAD, len(words))
-    np.subtract.at(mass, tail[:head], c[:head] + 0.5)
-    return Model(words, c, tail, int(total), int(types), mass)
+    words, c, cell = top["w"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64), top["cell"].to_numpy(np.int64)
+    mass = np.full(CELLS, 0.5)
+    for r in counts.groupBy("cell").agg((F.sum("c") + 0.5 * F.count("*")).alias("m")).collect():
+        mass[r.cell] += r.m
+    np.subtract.at(mass, cell, c + 0.5)
+    return Model(words, c, int(total), int(types), mass)
 
 
-def train(docs: DataFrame, counts: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Model:
-    """A model trained on all texts of docs: each takes part in one round."""
+def train(docs: DataFrame, counts: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> Model:
+    """A model trained on all texts of docs: each takes part in one round. Rows are dealt to workers, and
+    ordered, by a hash of key and text."""
     sc = docs.sparkSession.sparkContext
     model = vocabulary(counts)
-    rows = docs.select(text, F.pmod(F.xxhash64(text), F.lit(rounds)).alias("round"))
-    workers = max(2, -(-model.total // WORKER_TOKENS))
+    workers = max(2, -(-model.total // (rounds * WORKER_TOKENS << model.bits)))
+    rows = docs.select(F.col(text).alias("text"), F.xxhash64(key, text).alias("h"))
+    rows = rows.select("text", "h", F.pmod("h", F.lit(rounds)).alias("round"), F.pmod(F.shiftright("h", 8), F.lit(workers)).cast("int").alias("worker"))
     for r in range(rounds):
         shared = sc.broadcast(model)
-        part = rows.filter(F.col("round") == r).select(text).coalesce(workers)
-        found = part.mapInArrow(_worker(shared, STEP / (1 + r)), "block int, part int, change binary, met binary")
+        part = rows.filter(F.col("round") == r).select("text", "h", "worker").repartitionByRange(workers, "worker").sortWithinPartitions("worker", "h", "text")
+        found = part.groupBy("worker").applyInArrow(_worker(shared), _CHANGES)
         n = workers
         while True:
-            found = found.groupBy("block", F.floor(F.col("part") / FAN)).applyInArrow(_averaged, "block int, part int, change binary, met binary")
-            n = -(-n // FAN)
+            found = found.groupBy("block", F.floor(F.col("part") / JOINT)).applyInArrow(_averaged, _CHANGES)
+            n = -(-n // JOINT)
             if n == 1:
                 break
-        model = _copy(model)
+        model = model.scorer()
+        model.weights, model.met = model.weights.copy(), shared.value.met.copy()
         for row in found.toLocalIterator():
-            table, k = (model.classes, model.inside)[row.block // 1000], row.block % 1000 * BLOCK
-            table[k : k + BLOCK] += np.frombuffer(row.change, np.float16).reshape(BLOCK, -1)
-    return model
+            k = row.block * BLOCK
+            model.weights[k : k + BLOCK] += np.frombuffer(row.change, np.float16).reshape(-1, FAN)
+            model.met[k : k + BLOCK] += np.frombuffer(row.met, np.float32)
+        shared.unpersist()
+    return model.scorer()
 
 
 def _scored(shared):
-    names = ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "words", "times", "tails"]
+    names = ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "words", "times", "mass"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
+        table = model.weights.astype(np.float32)
         below, rid = model.total + 0.5 * (model.types + 1), TaskContext.get().partitionId() << 33
         for batch in batches:
             for lo, hi, data, off in text_chunks(batch.column(2)):
-                h, tail, at = tokens(data, off)
-                cls, place, count = model.look_up(h, tail)
-                lp = log_probability(model, context(h, at), cls, place)
+                h, cell, at = tokens(data, off)
+                leaf, count = model.look_up(h, cell)
+                lp = log_probability(model, table, context(h, at), leaf)
                 known = count >= 0
                 base = np.where(known, np.log10((np.maximum(count, 0) + 0.5) / below), 0.0)
-                rare = known & (cls < TAIL)
-                lp[rare] += np.log10((count[rare] + 0.5) / model.tail_mass[cls[rare]])
                 start = at[:-1]
                 sums = [np.add.reduceat(x, start) for x in (known.astype(np.int64), base, lp)]
-                words, times, tails, ends = [], [], [], [0]
+                words, times, mass, ends = [], [], [], [0]
                 far = np.flatnonzero(~known)
                 cut = np.searchsorted(far, at)
                 for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                     w, pick, n = np.unique(h[far[i:j]], return_index=True, return_counts=True)
-                    words.append(w)
+                    words.append(w.view(np.int64))
                     times.append(n)
-                    tails.append(tail[far[i:j]][pick])
+                    mass.append(model.cell_mass[cell[far[i:j]][pick]])
                     ends.append(ends[-1] + len(w))
                 ends = pa.array(np.array(ends, np.int32))
-                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in ([w.view(np.int64) for w in words], times, tails)]
+                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (words, times, mass)]
                 m = hi - lo
                 yield pa.RecordBatch.from_arrays([pa.array(rid + np.arange(m)), batch.column(0).slice(lo, m), batch.column(1).slice(lo, m), pa.array(np.diff(at)), *map(pa.array, sums), *lists], names=names)
                 rid += m
@@ -329,14 +391,13 @@ def scored(docs: DataFrame, held: int = 1, modulus: int = 5, key: str = "doc_id"
     counts = staged(word_counts(train_rows), "word-counts")
     model = train(train_rows, counts)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, words array<long>, times array<long>, tails array<long>"
+    schema = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, words array<long>, times array<long>, mass array<double>"
     near = staged(rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(_scored(shared), schema), "lm-rows")
-    mass = F.get(F.array(*[F.lit(float(x)) for x in model.tail_mass]), F.col("z.tails").cast("int"))
-    far = near.select("rid", F.explode(F.arrays_zip("words", "times", "tails")).alias("z")).select("rid", F.col("z.words").alias("w"), F.col("z.times").alias("n"), mass.alias("mass"))
+    far = near.select("rid", F.explode(F.arrays_zip("words", "times", "mass")).alias("z")).select("rid", F.col("z.words").alias("w"), F.col("z.times").alias("n"), F.col("z.mass").alias("mass"))
     far = far.join(counts.select("w", "c").hint("merge"), "w", "left")
     c = F.coalesce("c", F.lit(0)) + 0.5
     below = float(model.total + 0.5 * (model.types + 1))
     far = far.groupBy("rid").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("n"))).alias("k2"), F.sum(F.col("n") * F.log10(c / below)).alias("b2"), F.sum(F.col("n") * F.log10(c / F.col("mass"))).alias("s2"))
-    out = near.drop("words", "times", "tails").join(far.hint("merge"), "rid", "left")
+    out = near.drop("words", "times", "mass").join(far.hint("merge"), "rid", "left")
     plus = lambda a, b, zero: F.col(a) + F.coalesce(b, F.lit(zero))
     return out.select(F.col("doc_id").alias(key), "held_out", "n_tokens", plus("n_known", "k2", 0).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), plus("base", "b2", 0.0).alias("base_score"), plus("score", "s2", 0.0).alias("score"))

@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from lodestone.llm import maxent_lm
 from lodestone.llm.common import text_chunks
@@ -13,11 +14,43 @@ def features(text):
 
 def test_context_holds_the_skip_features():
     """The word after "a b c" sees a change of a word in two skip features, of b in two, of c in three."""
-    own = features("a b c d")[3]
+    own = features("a b c d")[:, 3]
     assert len(own) == 5
-    changed = [np.flatnonzero(own != features(t)[3]).tolist() for t in ("x b c d", "a x c d", "a b x d")]
+    changed = [np.flatnonzero(own != features(t)[:, 3]).tolist() for t in ("x b c d", "a x c d", "a b x d")]
     assert changed == [[3, 4], [1, 2], [0, 1, 4]]
 
 
-def test_words_in_classes():
-    assert (maxent_lm.CLASSES, maxent_lm.HEAD) == (64, 3072)
+def test_tree_of_classes():
+    """Every leaf has a path of its own, and the shares of a node's classes are those of its leaves."""
+    mass = np.sort(np.random.default_rng(1).zipf(1.3, 3000).astype(float))[::-1]
+    at, node, cls, shares = maxent_lm.class_tree(mass)
+    paths = [tuple(zip(node[a:b].tolist(), cls[a:b].tolist(), strict=True)) for a, b in zip(at[:-1], at[1:], strict=True)]
+    assert len(set(paths)) == 3000 and all(p[0][0] == 0 for p in paths)
+    assert not any(p[: len(q)] == q for p, q in zip(paths[1:], paths, strict=False))
+    product = [np.prod([shares[n, c] for n, c in p]) for p in paths]
+    assert np.allclose(product, mass / mass.sum())
+
+
+@pytest.fixture(scope="module")
+def sentences(spark):
+    """A word is told by the one before it; the last documents are copies of one text."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(1500):
+        word, out = int(rng.integers(400)), []
+        for _ in range(60):
+            out.append(f"w{word}")
+            word = (word * 7 + int(rng.integers(3))) % 400
+        rows.append((i, " ".join(out)))
+    rows += [(2000 + i, rows[3][1]) for i in range(700)] + [(None, rows[5][1]), (None, None), (4000, ""), (4001, "long " * 200_000)]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+
+def test_context_helps_on_held_out_texts(sentences):
+    got = maxent_lm.scored(sentences).filter("held_out AND doc_id < 1500").agg({"score": "sum", "base_score": "sum"}).head()
+    assert got["sum(score)"] > 0.7 * got["sum(base_score)"]
+
+
+def test_scores_do_not_depend_on_partitions(sentences):
+    pick = lambda df: sorted(((r.doc_id is None, r.doc_id or 0, round(r.score, 6)) for r in maxent_lm.scored(df).collect()), key=str)
+    assert pick(sentences) == pick(sentences.repartition(7))

@@ -267,22 +267,26 @@ def test_base_scores_and_folds(spark):
 
 
 def test_probabilities_add_up():
+    """Over all known words and, in each cell, its words and one unseen."""
     rng = np.random.default_rng(2)
-    n = maxent_lm.HEAD + 300
-    w = np.sort(rng.integers(1, 2**62, n)).astype(np.uint64)
+    n, rare = 5000, 700
+    w = np.unique(rng.integers(1, 2**62, n + rare)).astype(np.uint64)
     rng.shuffle(w)
-    c, tail = np.sort(rng.integers(1, 100, n))[::-1].copy(), rng.integers(0, maxent_lm.TAIL, n)
-    mass = np.full(maxent_lm.TAIL, 0.5) + np.bincount(tail[maxent_lm.HEAD :], weights=c[maxent_lm.HEAD :] + 0.5, minlength=maxent_lm.TAIL)
-    m = maxent_lm.Model(w, c, tail, int(c.sum()), n, mass)
-    m.classes += rng.normal(0, 0.3, m.classes.shape).astype(np.float32)
-    m.inside += rng.normal(0, 0.3, m.inside.shape).astype(np.float32)
-    f = np.repeat(maxent_lm.context(w[:3], np.array([0, 3]))[2:3], n, axis=0)
-    cls, place, count = m.look_up(w, tail)
-    p = 10 ** maxent_lm.log_probability(m, f, cls, place)
-    rare = cls < maxent_lm.TAIL
-    p[rare] *= (count[rare] + 0.5) / m.tail_mass[cls[rare]]
-    unseen = 10 ** maxent_lm.log_probability(m, f[: maxent_lm.TAIL], np.arange(maxent_lm.TAIL), np.zeros(maxent_lm.TAIL, int)) * 0.5 / m.tail_mass
-    assert p.sum() + unseen.sum() == pytest.approx(1, abs=1e-4)
+    c = np.sort(rng.integers(1, 100, len(w)))[::-1].copy()
+    cell = rng.integers(0, maxent_lm.CELLS, len(w))
+    far = slice(n, len(w))
+    mass = np.full(maxent_lm.CELLS, 0.5) + np.bincount(cell[far], weights=c[far] + 0.5, minlength=maxent_lm.CELLS)
+    m = maxent_lm.Model(w[:n], c[:n], int(c.sum()), len(w), mass)
+    table = m.weights.astype(np.float32)
+    table[m.nodes :] += rng.normal(0, 0.3, (1 << m.bits, maxent_lm.FAN)).astype(np.float32)
+    leaves = n + maxent_lm.CELLS
+    f = np.repeat(maxent_lm.context(w[:3], np.array([0, 3]))[:, 2:3], leaves, axis=1)
+    p = 10 ** maxent_lm.log_probability(m, table, f, np.arange(leaves))
+    assert p.sum() == pytest.approx(1, abs=1e-4)
+    leaf, count = m.look_up(w, cell)
+    assert (leaf[:n] == np.arange(n)).all() and (count[:n] == c[:n]).all() and (leaf[far] == n + cell[far]).all() and (count[far] == -1).all()
+    shares = p[:n].sum() + (p[leaf[far]] * (c[far] + 0.5) / mass[cell[far]]).sum() + (p[n:] * 0.5 / mass).sum()
+    assert shares == pytest.approx(1, abs=1e-4)
 
 
 # --- packed ids
