@@ -47,7 +47,7 @@ MIN_BITS, MAX_BITS = 16, 20
 ROUNDS, STEP, DAMP, HOLD, BATCH = 2, 1.0, 8.0, 0.1, 4096
 #: Tokens of a worker in a round, as a multiple of the weight rows (every worker sends its changes once a
 #: round); weight rows of a block; workers summed at once.
-WORKER_TOKENS, BLOCK, JOINT = 4, 2048, 32
+WORKER_TOKENS, BLOCK, JOINT = 6, 2048, 32
 _M = np.uint64
 END, START = _M(0x5851F42D4C957F2D), _M(0x14057B7EF767814F)
 _SALT = [_M(x) for x in (0x2545F4914F6CDD1D, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
@@ -117,7 +117,12 @@ def class_tree(mass: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         at = np.arange(size.sum()) + np.repeat(low - np.cumsum(size) + size, size)
         total = cum[high] - cum[low]
         place = (cum[at] + mass[at] / 2 - cum[low][own]) / total[own]
-        c = np.where(size[own] <= FAN, at - low[own], np.minimum((place * FAN).astype(np.int64), FAN - 1))
+        c = np.minimum((place * FAN).astype(np.int64), FAN - 1)
+        # What fits into two levels keeps its first leaves here; the others go into as few runs as hold them.
+        runs = np.maximum(0, -(-(size - FAN) // (FAN - 1)))
+        alone, nth = (np.minimum(size, FAN) - runs)[own], at - low[own]
+        flat = np.where(nth < alone, nth, alone + (nth - alone) * runs[own] // np.maximum(size[own] - alone, 1))
+        c = np.where(size[own] <= FAN * FAN, flat, c)
         leaf.append(at)
         node.append(made + own)
         cls.append(c)
@@ -200,12 +205,23 @@ def context(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return np.stack([(mix64(f) >> _M(32)).astype(np.uint32) for f in features])
 
 
+def _whole(table: np.ndarray) -> np.ndarray:
+    """The rows of a table as single items: numpy takes and puts these several times faster than rows."""
+    return table.view(f"V{table.itemsize * FAN}")[:, 0]
+
+
+def _take(table: np.ndarray, rows: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    out = np.empty((len(rows), FAN), table.dtype) if out is None else out
+    np.take(_whole(table), rows, out=_whole(out), mode="clip")
+    return out
+
+
 def _exp_sums(table: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Summed weights of each instance's classes, their exponentials, and the sums of these."""
-    z = np.take(table, rows[0], axis=0, mode="clip")
+    z = _take(table, rows[0])
     part = np.empty_like(z)
     for r in rows[1:]:
-        z += np.take(table, r, axis=0, out=part, mode="clip")
+        z += _take(table, r, part)
     np.clip(z, -_LIMIT, _LIMIT, out=z)
     np.exp(z, out=part)
     return z, part, part @ np.ones(FAN, np.float32)
@@ -236,17 +252,22 @@ def _sums_by_row(g: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
     row, at = (key >> bits).astype(np.int64), (key & ((_M(1) << bits) - _M(1))).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
     count = np.diff(first, append=len(row))
-    total = np.take(g, at[first], axis=0, mode="clip")
-    k, left = 1, np.flatnonzero(count > 1)
-    while len(left) and k < 6:  # most rows have few instances: these are added one by one, for all rows at once
-        total[left] += np.take(g, at[first[left] + k], axis=0, mode="clip")
-        k += 1
-        left = left[count[left] > k]
-    if len(left):
-        more = count[left] - k
-        ends = np.cumsum(more)
-        rest = np.arange(ends[-1]) + np.repeat(first[left] + k - ends + more, more)
-        total[left] += np.add.reduceat(np.take(g, at[rest], axis=0, mode="clip"), ends - more, axis=0)
+    total = _take(g, at[first])
+    many = np.flatnonzero(count > 1)
+    if len(many):
+        many = many[np.argsort(-count[many], kind="stable")]  # those with more than k instances come first
+        begin, left = first[many], count[many]
+        held = _take(g, at[begin])
+        for k in range(1, 6):  # most rows have few instances: these are added one by one, for all rows at once
+            m = np.searchsorted(-left, -k)
+            held[:m] += _take(g, at[begin[:m] + k])
+        m = np.searchsorted(-left, -6)
+        if m:
+            more = left[:m] - 6
+            ends = np.cumsum(more)
+            rest = np.arange(ends[-1]) + np.repeat(begin[:m] + 6 - ends + more, more)
+            held[:m] += np.add.reduceat(_take(g, at[rest]), ends - more, axis=0)
+        np.put(_whole(total), many, _whole(held), mode="clip")
     return row[first], count, total
 
 
@@ -263,11 +284,23 @@ def learn(model: Model, table: np.ndarray, met: np.ndarray, h: np.ndarray, cell:
         row, count, change = _sums_by_row(g, rows)
         before = met[row]
         change *= _wide(step / (count + DAMP + HOLD * before))
-        table[row] = np.take(table, row, axis=0, mode="clip") - change
+        np.put(_whole(table), row, _whole(_take(table, row) - change), mode="clip")
         met[row] = before + count
 
 
-_CHANGES = "block int, part int, change binary, met binary"
+_CHANGES = "block int, part int, change binary, scale binary, met binary"
+
+
+def _packed(block: int, part: int, change: np.ndarray, met: np.ndarray) -> pa.RecordBatch:
+    """A block of changes, each row as FAN signed bytes and a scale, and the uses of the rows."""
+    scale = (np.abs(change).max(axis=1) / 127).astype(np.float32)
+    small = np.rint(change / np.maximum(scale, 1e-30)[:, None]).astype(np.int8)
+    raw = [pa.array([x.tobytes()], pa.binary()) for x in (small, scale, met.astype(np.float32))]
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part], pa.int32()), *raw], names=["block", "part", "change", "scale", "met"])
+
+
+def _unpacked(change: bytes, scale: bytes, met: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(change, np.int8).reshape(-1, FAN) * np.frombuffer(scale, np.float32)[:, None], np.frombuffer(met, np.float32)
 
 
 def _worker(shared):
@@ -282,8 +315,7 @@ def _worker(shared):
         for k in range(0, len(table), BLOCK):
             uses = met[k : k + BLOCK] - model.met[k : k + BLOCK]
             if uses.any():
-                change = (table[k : k + BLOCK] - model.weights[k : k + BLOCK]).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK], pa.int32()), pa.array([key[0].as_py()], pa.int32()), pa.array([change.tobytes()], pa.binary()), pa.array([uses.tobytes()], pa.binary())], names=["block", "part", "change", "met"])
+                yield _packed(k // BLOCK, key[0].as_py(), table[k : k + BLOCK] - model.weights[k : k + BLOCK], uses)
 
     return run
 
@@ -291,13 +323,12 @@ def _worker(shared):
 def _averaged(t: pa.Table) -> pa.Table:
     """Changes of one block, averaged by uses; always summed in the order of the parts."""
     t = t.sort_by("part")
-    change, met = 0.0, 0.0
-    for c, m in zip(t.column("change"), t.column("met"), strict=True):
-        m = np.frombuffer(m.as_py(), np.float32).astype(np.float64)
-        change = change + np.frombuffer(c.as_py(), np.float16).reshape(-1, FAN) * m[:, None]
-        met = met + m
-    change = (change / np.maximum(met, 1)[:, None]).astype(np.float16)
-    return pa.table({"block": t.column("block")[:1], "part": pa.array([t.column("part")[0].as_py() // JOINT], pa.int32()), "change": pa.array([change.tobytes()], pa.binary()), "met": pa.array([met.astype(np.float32).tobytes()], pa.binary())})
+    total, uses = 0.0, 0.0
+    for raw in zip(*(t.column(c).to_pylist() for c in ("change", "scale", "met")), strict=True):
+        change, met = _unpacked(*raw)
+        met = met.astype(np.float64)
+        total, uses = total + change * met[:, None], uses + met
+    return pa.Table.from_batches([_packed(t.column("block")[0].as_py(), t.column("part")[0].as_py() // JOINT, total / np.maximum(uses, 1)[:, None], uses)])
 
 
 def vocabulary(counts: DataFrame) -> Model:
@@ -343,8 +374,9 @@ def train(docs: DataFrame, counts: DataFrame, key: str = "doc_id", text: str = "
         model.weights, model.met = model.weights.copy(), shared.value.met.copy()
         for row in found.toLocalIterator():
             k = row.block * BLOCK
-            model.weights[k : k + BLOCK] += np.frombuffer(row.change, np.float16).reshape(-1, FAN)
-            model.met[k : k + BLOCK] += np.frombuffer(row.met, np.float32)
+            change, met = _unpacked(row.change, row.scale, row.met)
+            model.weights[k : k + BLOCK] += change.astype(np.float16)
+            model.met[k : k + BLOCK] += met
         shared.unpersist()
     return model.scorer()
 
