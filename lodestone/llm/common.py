@@ -18,12 +18,12 @@ CHUNK_BYTES = 1 << 20
 _M = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 0x20
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 0x20
 _BYTE = np.random.default_rng(20240611).integers(1, 2**64 - 1, 256, dtype=np.uint64)
-_BYTE_LOWER = _BYTE[_LOWER]
+_BYTELOWER = _BYTE[LOWER]
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -96,7 +96,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` in data, and offsets of each text's words."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    word = ~_SPACE[data]
+    word = ~SPACE[data]
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
     last[:-1] &= ~word[1:]

@@ -9,34 +9,45 @@ Spark output and reach every store that Spark reaches)::
 
 Id i of a block stands at bit i * bits, so a range of ids is found by the footer and unpacked by numpy alone.
 
+A file has FILE_BLOCKS blocks at most; a partition begins new files as it needs them. Distinct words are encoded
+once by a worker and kept; each text's ids are put together from its words'.
+
 Contract: files hold documents in ascending order of doc_id (nulls last, equal ids by text), file after file
-by name. Null texts count as empty; a repeated row is a document of its own; an empty table gives no document.
+by the numbers in their names. Null texts count as empty; a repeated row is a document of its own; an empty table gives no document.
 Documents longer than a block get a block of their own. Other columns take no part.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import islice
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import join_checked, shared_path, staged
+from lodestone.llm.common import LOWER, SPACE, join_checked, shared_path, staged, word_spans
 from lodestone.llm.sentencepiece_bpe import text_slices
 
 #: Ids in a block, but for a single longer document.
 BLOCK_IDS = 1 << 18
+#: Text bytes that are encoded at once: the more, the fewer words are distinct.
+ENCODE_BYTES = 2 << 20
+#: Blocks of a file: about 64 MB at 16 bits, so that a file can be read as one row.
+FILE_BLOCKS = 127
 #: Words kept between chunks by a worker; beyond it the table starts anew.
 TABLE_WORDS = 900_000
 _BEFORE, _AFTER = np.zeros(256, bool), np.zeros(256, bool)
 _BEFORE[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
-_AFTER[list(b".,!?;:")] = True
+_AFTER[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = True
+#: Letters that every normal form and lower-casing leaves alone.
+_LETTERS = re.compile("[a-zà-öø-ÿ]+")
 _HEAD = struct.Struct("<4sB3xIQ")
 
 
@@ -68,11 +79,10 @@ def unpack(raw: np.ndarray, bits: int, start: int, stop: int) -> np.ndarray:
     return ((out >> (at & 7).astype(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.uint32)
 
 
-def _cut(raw: bytes) -> bytes:
-    """A space between every letter or digit and punctuation that follows it."""
-    a = np.frombuffer(raw, np.uint8)
-    at = np.flatnonzero(_BEFORE[a[:-1]] & _AFTER[a[1:]]) + 1
-    return np.insert(a, at, 0x20).tobytes() if len(at) else raw
+def _cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts with a space between every ASCII letter or digit and the punctuation that follows it."""
+    at = np.flatnonzero(_BEFORE[data[:-1]] & _AFTER[data[1:]]) + 1
+    return (np.insert(data, at, 0x20), offsets + np.searchsorted(at, offsets)) if len(at) else (data, offsets)
 
 
 class WordEncoder:
@@ -86,15 +96,41 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
         # A control character that is one id stands between words that are encoded together.
-        mark = self.tokenizer.encode("\x01", add_special_tokens=False).ids
-        alone = self.tokenizer.encode("a. \x01 b", add_special_tokens=False).ids == [*self.tokenizer.encode("a.", add_special_tokens=False).ids, *mark, *self.tokenizer.encode("b", add_special_tokens=False).ids]
+        mark = self._ids("\x01")
+        alone = self._ids("a. \x01 b") == [*self._ids("a."), *mark, *self._ids("b")]
         self.mark, self.mark_id = (b"\x01", mark[0]) if len(mark) == 1 and alone else (b"", -1)
         # Only a tokenizer that lower-cases and drops white space, and whose special tokens begin with "<|", gets words in that form.
-        told = "the CAT, sat 2.5 times!? ok."
-        same = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in (told, _cut(told.encode().lower()).decode())]
-        self.plain = same[0] == same[1] and all(t.startswith("<|") for _, t in special)
+        told = "the CAT, sat 2.5 times!? ok& it's (3)-fold"
+        self.plain = all(self._ids(a) == self._ids(b) for a, b in ((told, "the cat , sat 2 .5 times !? ok & it 's (3 )-fold"), ("a9 'S", "a9 's"))) and all(t.startswith("<|") for _, t in special)
+        self._letters_alone(path)
         self._reset()
 
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _letters_alone(self, path: str) -> None:
+        """self.bare: the same tokenizer without normalisation and pattern, which words of _LETTERS don't
+        need, if a probe of all these letters agrees; self.last tells ids that end a word."""
+        import json
+
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.bare, self.last = None, np.zeros(0, bool)
+        with open(path) as f:
+            spec = json.load(f)
+        suffix = spec["model"].get("end_of_word_suffix")
+        if spec["model"]["type"] != "BPE" or not suffix:
+            return
+        bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None}))
+        bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.last = np.zeros(bare.get_vocab_size(), bool)
+        self.last[[i for t, i in bare.get_vocab().items() if t.endswith(suffix)]] = True
+        letters = [c for c in map(chr, range(0x61, 0x100)) if _LETTERS.fullmatch(c)]
+        probe = [*letters, *(f"{a}{b}" for a, b in zip(letters, letters[1:], strict=False)), *(f"th{c}ing" for c in letters), "".join(letters)]
+        got = bare.encode(" ".join(probe), add_special_tokens=False).ids
+        if got == self._ids(" ".join(probe)) and np.array_equal(np.flatnonzero(self.last[got]) + 1, np.cumsum([len(self._ids(w)) for w in probe])):
+            self.bare = bare
+
     def _reset(self) -> None:
         self.table: dict[bytes, int] = {}
         self.ids, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
@@ -105,24 +141,15 @@ class WordEncoder:
         self.at = self.at[: n + 1]
         self.ids = self.ids[: self.at[-1]]
 
-    def _split(self, text: str | None) -> list[bytes]:
-        """Words of a text, with A-Z lower-cased (as the tokenizer does) and punctuation cut off letters and
-        digits (where its pattern cuts, too): that leaves fewer distinct words. White space carries no id."""
-        raw = (text or "").encode()
-        if self.plain and b"<|" not in raw:
-            raw = _cut(raw.lower())
-        return raw.split()
-
-    def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words, flat, and each word's number of ids. Words go to the library many at a time,
-        with a mark between them that tells where each ends; words that hold it go alone."""
+    def _marked(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, flat, and each word's number of ids. Words go to the library many at a time, with a
+        mark between them that tells where each ends; words that hold it go alone."""
         odd = [i for i, w in enumerate(words) if self.mark in w] if self.mark else range(len(words))
-        alone = {i: self.tokenizer.encode(words[i].decode(), add_special_tokens=False).ids for i in odd}
+        alone = {i: self._ids(words[i].decode()) for i in odd}
         plain = [w for w in words if self.mark not in w] if self.mark else []
         between = b" " + self.mark + b" "
         texts = [(between.join(plain[i : i + 512]) + between).decode() for i in range(0, len(plain), 512)]
-        got = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        flat = np.concatenate([np.zeros(0, np.uint32), *got])
+        flat = self._batch(self.tokenizer, texts)
         ends = np.flatnonzero(flat == self.mark_id)
         lens = np.diff(ends, prepend=-1) - 1
         flat = flat[flat != self.mark_id]
@@ -132,31 +159,68 @@ class WordEncoder:
             flat, lens = np.concatenate(parts), np.array([len(p) for p in parts])
         return flat, lens
 
-    def encode(self, texts: list[str | None], end: int | None) -> tuple[np.ndarray, np.ndarray]:
+    @staticmethod
+    def _batch(tokenizer, texts: list[str]) -> np.ndarray:
+        got = [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *got])
+
+    def _add(self, words: list[bytes]) -> None:
+        """Put new words into the table: those of letters alone first, as they need least of the library."""
+        read = [w.decode() for w in words]
+        letters = [self.bare is not None and _LETTERS.fullmatch(w) is not None for w in read]
+        easy, hard = [w for w, own in zip(read, letters, strict=True) if own], [w for w, own in zip(words, letters, strict=True) if not own]
+        flat = self._batch(self.bare, [" ".join(easy[i : i + 512]) for i in range(0, len(easy), 512)]) if easy else np.zeros(0, np.uint32)
+        ends = np.flatnonzero(self.last[flat]) + 1 if easy else np.zeros(0, np.int64)
+        rest, lens = self._marked(hard)
+        for w in (*(x.encode() for x in easy), *hard):
+            self.table[w] = len(self.table)
+        self.at = np.concatenate([self.at, ends + self.at[-1], np.cumsum(lens) + len(flat) + self.at[-1]])
+        self.ids = np.concatenate([self.ids, flat, rest])
+
+    def _words(self, texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """Words of all texts, and offsets of each text's words. A-Z are lower-cased (as the tokenizer does)
+        and punctuation is cut off letters and digits (where its pattern cuts, too): that leaves fewer
+        distinct words. White space carries no id."""
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        n, (_, off, data) = len(texts), texts.buffers()
+        offsets = np.frombuffer(off, np.int64)[texts.offset : texts.offset + n + 1]
+        data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
+        offsets = offsets - offsets[0]
+        if self.plain:
+            data, offsets = _cut(LOWER[data], offsets)
+        starts, ends, at = word_spans(data, offsets)
+        index = np.concatenate([[0], np.cumsum(ends - starts)])
+        letters = data[~SPACE[data]]
+        flat = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(index.astype(np.int64)), pa.py_buffer(letters)])
+        return flat.dictionary_encode(), at
+
+    def encode(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, flat, and offsets of each text's ids; end, if given, closes each."""
+        odd = np.flatnonzero(pc.match_substring(pc.fill_null(texts, ""), "<|").to_numpy(zero_copy_only=False)) if self.plain else []
+        whole = [(i, np.array(self._ids(texts[i].as_py()), np.uint32)) for i in np.asarray(odd).tolist()]
+        if whole:  # texts that may hold a special token go to the library as they are
+            texts = pc.if_else(pc.match_substring(texts, "<|"), "", texts)
         if len(self.table) > TABLE_WORDS:
             self._trim(TABLE_WORDS // 2)
-        table, new, rows, sizes = self.table, [], [], np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            words = self._split(text)
-            at = list(map(table.get, words))
-            if None in at:
-                for k, w in enumerate(words):
-                    if at[k] is None:
-                        if w not in table:
-                            table[w] = len(table)
-                            new.append(w)
-                        at[k] = table[w]
-            sizes[i] = len(words)
-            rows.append(np.array(at, np.int64))
-        if new:
-            ids, lens = self._words(new)
-            self.at = np.concatenate([self.at, np.cumsum(lens) + self.at[-1]])
-            self.ids = np.concatenate([self.ids, ids])
-        word = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        words, at = self._words(texts)
+        distinct = words.dictionary.to_pylist()
+        place = np.fromiter(map(self.table.get, distinct, repeat(-1)), np.int64, len(distinct))
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            new = [distinct[i] for i in missing.tolist()]
+            self._add(new)
+            place[missing] = np.fromiter(map(self.table.__getitem__, new), np.int64, len(new))
+        word = place[words.indices.to_numpy()]
         begin, lens = self.at[word], self.at[word + 1] - self.at[word]
         ends = np.concatenate([[0], np.cumsum(lens)])
         flat = self.ids[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], lens)]
-        offsets = ends[np.concatenate([[0], np.cumsum(sizes)])]
+        offsets = ends[at]
+        if whole:
+            spots = np.repeat([offsets[i] for i, _ in whole], [len(x) for _, x in whole])
+            flat = np.insert(flat, spots, np.concatenate([x for _, x in whole]))
+            more = np.zeros(len(offsets), np.int64)
+            more[[i + 1 for i, _ in whole]] = [len(x) for _, x in whole]
+            offsets = offsets + np.cumsum(more)
         if end is not None:
             flat = np.insert(flat, offsets[1:], end)
             offsets = offsets + np.arange(len(texts) + 1)
@@ -173,10 +237,10 @@ def _block(bits: int, docs: list[int | None], lens: np.ndarray, ids: np.ndarray)
 
 
 class _FileWriter:
-    """Blocks and footer of one file."""
+    """Blocks and footers of files: a footer follows every FILE_BLOCKS blocks and the last one."""
 
-    def __init__(self, bits: int):
-        self.bits, self.bytes, self.total, self.index = bits, 0, 0, []
+    def __init__(self, bits: int, file_blocks: int):
+        self.bits, self.file_blocks, self.bytes, self.total, self.index = bits, file_blocks, 0, 0, []
         self.docs, self.parts, self.lens = [], [], []
         self.held = 0
 
@@ -184,25 +248,32 @@ class _FileWriter:
         for k, d in enumerate(docs):
             n = int(off[k + 1] - off[k])
             if self.held and self.held + n > BLOCK_IDS:
-                yield self._flush()
+                yield from self._flush()
             self.docs.append(d)
             self.lens.append(n)
             self.parts.append(flat[off[k] : off[k + 1]])
             self.held += n
 
-    def _flush(self) -> bytes:
+    def _flush(self) -> Iterator[bytes]:
         out = _block(self.bits, self.docs, np.array(self.lens), np.concatenate(self.parts))
         self.index.append((self.bytes, self.total))
         self.bytes += len(out) + 1
         self.total += self.held
         self.docs, self.parts, self.lens, self.held = [], [], [], 0
-        return out
+        yield out
+        if len(self.index) == self.file_blocks:
+            yield self._footer()
+
+    def _footer(self) -> bytes:
+        body = b"TIDF" + struct.pack("<I", len(self.index)) + np.array(self.index, "<u8").tobytes()
+        self.bytes, self.total, self.index = 0, 0, []
+        return body + struct.pack("<I", len(body) + 4)
 
     def close(self) -> Iterator[bytes]:
         if self.docs:
-            yield self._flush()
-        body = b"TIDF" + struct.pack("<I", len(self.index)) + np.array(self.index, "<u8").tobytes()
-        yield body + struct.pack("<I", len(body) + 4)
+            yield from self._flush()
+        if self.index:
+            yield self._footer()
 
 
 def footer(content: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -237,8 +308,9 @@ def read_range(content: bytes, start: int, stop: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def write_ids(df: DataFrame, path: str, tokenizer_path: str, key: str = "doc_id", text: str = "text", end: int | None = 2) -> None:
-    """Encode df's texts and write them to files under path, ordered by key."""
+def write_ids(df: DataFrame, path: str, tokenizer_path: str, key: str = "doc_id", text: str = "text", end: int | None = 2, file_blocks: int = FILE_BLOCKS) -> None:
+    """Encode df's texts and write them to files under path, ordered by key, each of file_blocks blocks at
+    most: the writer begins a file after as many rows as there are blocks and a footer."""
     import json
 
     with open(tokenizer_path) as f:
@@ -249,11 +321,11 @@ def write_ids(df: DataFrame, path: str, tokenizer_path: str, key: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer_path not in _encoders:
             _encoders[tokenizer_path] = WordEncoder(tokenizer_path)
-        encoder, out = _encoders[tokenizer_path], _FileWriter(bits)
+        encoder, out = _encoders[tokenizer_path], _FileWriter(bits, file_blocks)
         row = lambda b: pa.RecordBatch.from_arrays([pa.array([b], pa.binary())], names=["value"])
         for whole in batches:
-            for b in text_slices(whole, 1):
-                flat, off = encoder.encode(b.column(1).to_pylist(), end)
+            for b in text_slices(whole, 1, ENCODE_BYTES):
+                flat, off = encoder.encode(b.column(1), end)
                 for x in out.add(b.column(0).to_pylist(), flat, off):
                     yield row(x)
         for x in out.close():
@@ -261,7 +333,7 @@ def write_ids(df: DataFrame, path: str, tokenizer_path: str, key: str = "doc_id"
 
     order = [F.col(key).asc_nulls_last(), F.col(text).asc_nulls_first()]
     dealt = df.select(F.col(key).cast("long").alias(key), F.col(text).alias(text)).repartitionByRange(order[0]).sortWithinPartitions(*order)
-    dealt.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.text(path)
+    dealt.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("maxRecordsPerFile", file_blocks + 1).text(path)
 
 
 def read_ids(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
@@ -288,11 +360,14 @@ def read_ids(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
 
 
 def with_starts(docs: DataFrame) -> DataFrame:
-    """docs, as read_ids gives them, and start: the ids of all documents before. Counts per file are the
-    only thing that is ordered in one task: one row for each file."""
+    """docs, as read_ids gives them, and start: the ids of all documents before. Files come in the order of the
+    two numbers in their names, partition and file of it. Counts per file are the only thing that is ordered in
+    one task: one row for each file."""
     docs = staged(docs, "packed-docs")
-    sizes = docs.groupBy("file").agg(F.sum("n_tokens").alias("n__"))
-    before = sizes.select("file", F.coalesce(F.sum("n__").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before__"))
+    number = lambda pattern: F.regexp_extract("file", pattern, 1).cast("long")
+    sizes = docs.groupBy("file").agg(F.sum("n_tokens").alias("n__")).withColumn("part__", number(r"part-(\d+)[^/]*$")).withColumn("nth__", number(r"-c(\d+)[^/]*$"))
+    order = Window.orderBy("part__", F.col("nth__").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("file", F.coalesce(F.sum("n__").over(order), F.lit(0)).alias("before__"))
     return join_checked(docs, before, "file").withColumn("start", F.col("before__") + F.col("local_start")).drop("before__")
 
 

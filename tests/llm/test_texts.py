@@ -307,6 +307,40 @@ def test_widths():
         packed_ids.pack(np.array([4]), 2)
 
 
+def test_starts_follow_file_numbers(spark):
+    """Names end in numbers of different lengths; a partition can have several files."""
+    files = ["part-99998-a-c000.txt", "part-99999-a-c000.txt", "part-99999-a-c001.txt", "part-100000-a-c000.txt", "part-100000-a-c1000.txt"]
+    rows = [(f"file:/x/{f}", 10 * i + k, k, 1, 0) for i, f in enumerate(files) for k in range(2)]
+    got = packed_ids.with_starts(spark.createDataFrame(rows[::-1], "file string, doc_id long, local_start long, n_tokens long, ids_crc32 long")).orderBy("doc_id").collect()
+    assert [r.start for r in got] == list(range(10))
+
+
+def test_word_encoder_equals_the_library():
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, library, rng = packed_ids.WordEncoder(path), Tokenizer.from_file(path), random.Random(3)
+    assert encoder.plain and encoder.bare is not None
+    texts = ["".join(rng.choice("aAbt\u00e99 .,'s\u2019\"<|>#*\x01\u00f1\u00c9\u00df\u0301\u0130-\n\t\u65e5_\u00a0") for _ in range(rng.randrange(30))) for _ in range(3000)]
+    texts += [None, "", "<|endoftext|> a", "a<|startoftext|>b<|", "it's WE'RE", "x" * 5000]
+    for part in (texts[:7], texts):
+        flat, off = encoder.encode(pa.array(part, pa.string()), 2)
+        for t, ids in zip(part, np.split(flat, off[1:-1]), strict=True):
+            assert ids.tolist() == [*library.encode(t or "", add_special_tokens=False).ids, 2], t
+
+
+def test_files_of_few_blocks(spark, tmp_path, monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    df = spark.createDataFrame([(i, "one two three " * 40_000) for i in range(9)], "doc_id long, text string")
+    packed_ids.write_ids(df.coalesce(1), str(tmp_path / "f"), path, file_blocks=2)
+    docs = packed_ids.with_starts(packed_ids.read_ids(spark, str(tmp_path / "f"), ids=False))
+    got = docs.orderBy("doc_id").collect()
+    assert len({r.file for r in got}) >= 3
+    assert [r.start for r in got] == [i * 120_001 for i in range(9)] and {r.n_tokens for r in got} == {120_001}
+
+
 def test_packed_files(spark, tmp_path):
     from tokenizers import Tokenizer
 
