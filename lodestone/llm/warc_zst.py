@@ -3,7 +3,11 @@
 An archive is a ``.warc.zst`` stream: a skippable frame (magic 0x184D2A5D) with a Zstandard dictionary built
 from records of that archive, then one frame for each record. The text writer of Spark stores the bytes, so
 archives commit like any other Spark output; the newline byte that it adds after each row is the content of a
-one-byte skippable frame, so every archive is a plain sequence of Zstandard frames.
+one-byte skippable frame, so every archive is a plain sequence of Zstandard frames. A task ends an archive and
+begins the next, with a dictionary of its own, after ARCHIVE_ROWS rows of about CHUNK_BYTES.
+
+Record ids are unique: they name the page, the task and the record's number in it. A revisit names its page's
+response by page (WARC-Refers-To-Page), as that record's number isn't known where the revisit is written.
 
 Contract: every row is archived, null html as an empty payload. Of the rows with equal payloads of at least
 ``min_revisit`` bytes, those with the smallest page_id (null only if all are null) are response records, all
@@ -19,6 +23,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,16 +35,20 @@ ZSTD_MAGIC = 0xFD2FB528
 DICTIONARY_BYTES, SAMPLE_BYTES = 64 << 10, 2 << 20
 #: Copies of each repeated payload's row, over which its revisits are dealt out.
 SALTS = 32
+#: Rows of an archive, each with about CHUNK_BYTES of compressed records.
+ARCHIVE_ROWS = 64
+#: Revisits (an id and a digest each) that are broadcast; beyond, both sides shuffle.
+TWINS = 200_000
 
 
-def _record(page: int | None, url: str | None, payload: bytes, digest: str, refers: int | None, revisit: bool, date: str) -> bytes:
+def _record(page: int | None, url: str | None, payload: bytes, digest: str, refers: int | None, revisit: bool, date: str, number: str) -> bytes:
     name = "null" if page is None else str(page)
     head = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{name}>", f"WARC-Date: {date}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{name}:{number}>", f"WARC-Page: {name}", f"WARC-Date: {date}",
         f"WARC-Target-URI: {(url or '').translate({10: '%0A', 13: '%0D'})}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}",
     ]
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Page: {refers}"]
     body = b"" if revisit else payload
     head += ["Content-Type: text/html", f"Content-Length: {len(body)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
@@ -67,55 +76,54 @@ def build_dictionary(records: list[bytes]) -> bytes:
         return b""
 
 
-def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", level: int = 3) -> None:
-    """Write (page_id, url, payload, payload_digest, refers_to, revisit) rows to archives under path, one for each partition."""
+def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", level: int = 3, archive_rows: int = ARCHIVE_ROWS) -> None:
+    """Write (page_id, url, payload, payload_digest, refers_to, revisit) rows to archives under path, as many
+    for each partition as their size asks for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, packer, out, made = [], 0, None, [], 0
-
-        def rows(end: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal out, made
-            if out and (end or made >= CHUNK_BYTES):
-                out.append(struct.pack("<II", SPARE_FRAME, 1))
-                yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], names=["value"])
-                out, made = [], 0
-
-        def start() -> zstandard.ZstdCompressor:
-            nonlocal made
-            raw = build_dictionary(held)
-            out.append(struct.pack("<II", DICTIONARY_FRAME, len(raw)) + raw)
-            made += len(raw)
-            d = zstandard.ZstdCompressionDict(raw) if raw else None
-            if d:
-                d.precompute_compress(level)
-            return zstandard.ZstdCompressor(level=level, dict_data=d)
-
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                raw = _record(*row, date)
+        task, number = TaskContext.get().partitionId(), 0
+        held, size, packer, out, made, rows = [], 0, None, [], 0, 0
+
+        def row() -> pa.RecordBatch:
+            nonlocal out, made, rows
+            out.append(struct.pack("<II", SPARE_FRAME, 1))
+            b = pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], names=["value"])
+            out, made, rows = [], 0, rows + 1
+            return b
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            """Compress what is held; an archive begins with the dictionary of what is held then."""
+            nonlocal held, size, packer, made, rows
+            todo, held, size = held, [], 0
+            for n, raw in enumerate(todo):
                 if packer is None:
-                    held.append(raw)
-                    size += len(raw)
-                    if size < 2 * SAMPLE_BYTES:
-                        continue
-                    packer = start()
-                    todo, held = held, []
-                else:
-                    todo = [raw]
-                for x in todo:
-                    out.append(packer.compress(x))
-                    made += len(out[-1])
-                    yield from rows(False)
-        if held:
-            packer = start()
-            for x in held:
-                out.append(packer.compress(x))
+                    dictionary = build_dictionary(todo[n:])
+                    out.append(struct.pack("<II", DICTIONARY_FRAME, len(dictionary)) + dictionary)
+                    made += len(dictionary)
+                    d = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+                    if d:
+                        d.precompute_compress(level)
+                    packer = zstandard.ZstdCompressor(level=level, dict_data=d)
+                out.append(packer.compress(raw))
                 made += len(out[-1])
-                yield from rows(False)
-        yield from rows(True)
+                if made >= CHUNK_BYTES:
+                    yield row()
+                    if rows == archive_rows:
+                        packer, rows = None, 0
+
+        for b in batches:
+            for fields in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                held.append(_record(*fields, date, f"{task}-{number}"))
+                number += 1
+                size += len(held[-1])
+                if packer is not None or size >= 2 * SAMPLE_BYTES:
+                    yield from packed()
+        yield from packed()
+        if out:
+            yield row()
 
     columns = pages.select("page_id", "url", "payload", "payload_digest", "refers_to", "revisit")
-    columns.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.text(path)
+    columns.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("maxRecordsPerFile", archive_rows).text(path)
 
 
 def _ends(content: bytes) -> list[tuple[int, int]]:
@@ -148,7 +156,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     must equal its header's."""
     names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
-    page = lambda uri: None if uri == "<urn:page:null>" else int(uri[10:-1])
+    page = lambda name: None if name == "null" else int(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -165,7 +173,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     digest, revisit = f["WARC-Payload-Digest"].removeprefix("sha256:"), f["WARC-Type"] == "revisit"
                     if not revisit and (hashlib.sha256(body).hexdigest() != digest or len(body) != int(f["X-Payload-Length"])):
                         raise ValueError(f"{f['WARC-Record-ID']}: the payload doesn't match its digest")
-                    rows.append((page(f["WARC-Record-ID"]), f["WARC-Target-URI"], f["WARC-Type"], int(f["X-Payload-Length"]), digest, page(f["WARC-Refers-To"]) if revisit else None, None if revisit else body))
+                    rows.append((page(f["WARC-Page"]), f["WARC-Target-URI"], f["WARC-Type"], int(f["X-Payload-Length"]), digest, page(f["WARC-Refers-To-Page"]) if revisit else None, None if revisit else body))
                     size += len(body)
                     if size > CHUNK_BYTES:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
@@ -188,10 +196,11 @@ def with_revisits(pages: DataFrame, min_revisit: int = 100) -> DataFrame:
     keys = staged(rows.filter(F.length("payload") >= min_revisit).select("page_id", F.unhex("payload_digest").alias("digest")), "digests")
     firsts = keys.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     twins = keys.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(firsts.hint("merge"), ["digest", "salt"]).filter(~F.col("page_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull())
-    twins = twins.select(F.col("page_id").alias("id2"), F.hex("digest").alias("digest2"), F.col("first").alias("refers_to")).dropDuplicates(["id2", "digest2"])
+    twins = staged(twins.select(F.col("page_id").alias("id2"), F.hex("digest").alias("digest2"), F.col("first").alias("refers_to")).dropDuplicates(["id2", "digest2"]), "twins")
+    twins = F.broadcast(twins) if twins.count() <= TWINS else twins.hint("merge")  # then payloads needn't move
     # A null page_id can be a revisit too: the join key is null-safe.
     match = F.col("page_id").eqNullSafe(F.col("id2")) & (F.upper("payload_digest") == F.col("digest2"))
-    return rows.join(twins.hint("merge"), match, "left").select("page_id", "url", "payload", "payload_digest", "refers_to", F.col("digest2").isNotNull().alias("revisit"))
+    return rows.join(twins, match, "left").select("page_id", "url", "payload", "payload_digest", "refers_to", F.col("digest2").isNotNull().alias("revisit"))
 
 
 def round_trip(pages: DataFrame, min_revisit: int = 100) -> DataFrame:

@@ -243,6 +243,31 @@ def test_archives_are_plain_zstandard_frames(spark, tmp_path):
     assert whole.count(b"WARC/1.1\r\n") == 100 and b"common text of all pages" in whole
 
 
+def test_archives_of_bounded_size(spark, tmp_path, monkeypatch):
+    """A task writes several archives, each with its dictionary; record ids are unique; both joins agree."""
+    rng = np.random.default_rng(8)
+    rows = [(i % 390, None if i % 7 else f"u{i}", "<p>common text</p>" * 20 + "".join(map(chr, rng.integers(0x4E00, 0x9000, 20_000)))) for i in range(400)]
+    rows += [(1000 + i, "u", rows[0][2]) for i in range(50)] + [(None, "u", None), (5, "u", "x" * 3_000_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc_zst.write_archives(warc_zst.with_revisits(df).coalesce(1), str(tmp_path / "w"), archive_rows=2)
+    files = [p for p in sorted((tmp_path / "w").glob("part-*")) if p.stat().st_size]
+    assert len(files) >= 3 and all(p.read_bytes()[:4] == bytes.fromhex("5d2a4d18") for p in files)
+    got = warc_zst.read_archives(spark, str(tmp_path / "w")).collect()
+    want = sorted((i is None, i or 0, hashlib.sha256((h or "").encode()).hexdigest()) for i, _, h in rows)
+    assert sorted((r.page_id is None, r.page_id or 0, r.payload_digest) for r in got) == want
+    ids = set()
+    for p in files:
+        raw = p.read_bytes()
+        d = zstandard.ZstdCompressionDict(raw[8 : 8 + int.from_bytes(raw[4:8], "little")]) if raw[4:8] != bytes(4) else None
+        text = zstandard.ZstdDecompressor(dict_data=d).stream_reader(raw, read_across_frames=True).read()
+        ids |= set(re.findall(rb"WARC-Record-ID: (\S+)", text))
+    assert len(ids) == len(rows)
+    pick = lambda: sorted(map(str, warc_zst.round_trip(df).drop("payload").collect()))
+    near = pick()
+    monkeypatch.setattr(warc_zst, "TWINS", 0)
+    assert pick() == near and sum("revisit" in r for r in near) == 50
+
+
 # --- language model
 
 
