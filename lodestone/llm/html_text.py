@@ -3,13 +3,17 @@
 A tokenizer feeds a tree builder that follows the rules of HTML for implied tags: items, cells, rows, options
 and paragraphs end where the next one or their container begins, tables get their rows, and stray end tags are
 ignored. A renderer walks the tree: what isn't visible (head, scripts, styles, templates, hidden elements,
-elements styled away, closed details) is left out, blocks begin on lines of their own with one blank line
-around paragraphs, headings, lists and tables, list items carry a bullet or their number and are indented by
-depth, preformatted text keeps its white space, and the cells of a table stand in aligned columns.
+elements styled away, closed details, fallbacks of media, unselected options) is left out, blocks begin on
+lines of their own with one blank line around paragraphs, headings, lists and tables, list items carry a bullet
+or their number and are indented by depth, preformatted text keeps its white space, and the cells of a table
+stand in aligned columns. visibility is inherited and can be set again inside; display can't.
 
 Contract: null and empty pages give empty text. Any byte sequence of text is a page: broken markup never
-fails. Nesting deeper than DEPTH is flattened. Pages are processed whole, row by row; repeated rows give equal
-results and an empty table gives none. Other columns are kept, but for one named as the output.
+fails, and no page takes more than about linear time: the tree is walked with a stack of its own at any depth,
+tags are scanned without backtracking. Of deep layouts only the shape is bounded, never the text: indentation
+stops at INDENT characters, tables inside TABLES others aren't aligned, spans reach to column COLUMNS. Pages are
+processed whole, row by row; repeated rows give equal results and an empty table gives none. Other columns are
+kept, but for one named as the output.
 """
 
 from __future__ import annotations
@@ -24,11 +28,11 @@ from pyspark.sql import DataFrame
 
 from lodestone.llm.sentencepiece_bpe import text_slices
 
-DEPTH = 150
+INDENT, TABLES, COLUMNS = 120, 16, 1000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Content up to the matching end tag is text, not markup.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes title datalist object audio video canvas svg math area param source track link meta base select".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes title datalist audio video canvas area param source track link meta base defs desc metadata symbol clippath mask annotation annotation-xml".split())
 BLOCK = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol optgroup option p pre search section summary table ul caption thead tbody tfoot tr".split())
 #: Blocks with a blank line before and after them.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir pre blockquote table figure hr".split())
@@ -44,9 +48,13 @@ IMPLIED = {
     "rt": ({"rt", "rp"}, {"ruby"}), "rp": ({"rt", "rp"}, {"ruby"}), "body": ({"head"}, set()), "a": ({"a"}, {"td", "th", "table", "li", "div"}),
 }
 _SCOPE = frozenset({"table", "td", "th", "caption", "html", "template", "button", "object"})
-_TOKEN = re.compile(r"<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|(?P<end>/)?(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[!?/][^>]*(?:>|\Z))", re.S)
-_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_GONE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+_NAME = re.compile(r"[A-Za-z][^\s/>]*+")
+#: Attributes up to the end of a tag; it stops early only before the value of a quote that nothing closes.
+_ATTRS = re.compile(r"""(?:[\s/]++|(?:=(?!\s*+["']))?+[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|(?=>)|\Z))?+|=(?!\s*+["']))*+""")
+_ATTR = re.compile(r"([^\s=/>\"']++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+")
+_COMMENT = re.compile("--!?>")
+_GONE = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+_SEEN = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)\b", re.I)
 _WS = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -64,23 +72,43 @@ def _attributes(raw: str) -> dict[str, str]:
     return out
 
 
+class _Open:
+    """The open elements, and for each name where it stands among them."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.stack[-1].kids.append(node)
+        self.at.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def nearest(self, tags: set[str] | frozenset[str]) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def cut(self, i: int) -> None:
+        """Close the elements from place i on."""
+        while len(self.stack) > i:
+            self.at[self.stack.pop().tag].pop()
+
+    def close(self, tags: set[str] | frozenset[str], beyond: set[str] | frozenset[str]) -> None:
+        """Close open elements of these names down to the nearest one that they don't reach beyond."""
+        limit = self.nearest(beyond)
+        while (i := self.nearest(tags)) > limit:
+            self.cut(i)
+
+
+_CELLS, _OUT_OF_CELLS = frozenset({"td", "th", "caption"}), frozenset({"table", "tr", "tbody", "thead", "tfoot", "html", "body"})
+
+
 def parse(page: str) -> Node:
     """The tree of a page."""
     root = Node("#root")
-    stack = [root]
-
-    def close(tags: set[str] | frozenset[str], beyond: set[str] | frozenset[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                return close(tags, beyond)
-            if stack[i].tag in beyond:
-                return None
+    opened = _Open(root)
+    stack = opened.stack
 
-    def add(node: Node) -> None:
-        stack[-1].kids.append(node)
-        if len(stack) < DEPTH:
-            stack.append(node)
+    def text(t: str) -> None:
+        stack[-1].kids.append(html.unescape(t) if "&" in t else t)
 
     at, n = 0, len(page)
     while at < n:
@@ -88,58 +116,74 @@ def parse(page: str) -> Node:
         if begin < 0:
             begin = n
         if begin > at:
-            stack[-1].kids.append(html.unescape(page[at:begin]) if "&" in page[at:begin] else page[at:begin])
+            text(page[at:begin])
         if begin == n:
             break
-        m = _TOKEN.match(page, begin)
-        if m is None:
-            stack[-1].kids.append("<")
-            at = begin + 1
+        mark = page[begin + 1 : begin + 2]
+        if page.startswith("<!--", begin):
+            end = _COMMENT.search(page, begin + 2 if page.startswith("<!-->", begin) else begin + 4)
+            at = end.end() if end else n
+            continue
+        name = _NAME.match(page, begin + 1 + (mark == "/"))
+        if name is None:
+            if mark and mark in "!?/":
+                end = page.find(">", begin)
+                at = end + 1 if end >= 0 else n
+            else:
+                stack[-1].kids.append("<")
+                at = begin + 1
             continue
+        m = _ATTRS.match(page, name.end())
         at = m.end()
-        if m["name"] is None:
+        if at < n and page[at] != ">":  # an open quote: all before it is text
+            text(page[begin:at])
             continue
-        tag = m["name"].lower()
-        if m["end"]:
-            if tag in ("br", "p") and not any(x.tag == tag for x in stack):
+        at = min(n, at + 1)
+        tag = name[0].lower()
+        if mark == "/":
+            i = opened.nearest({tag})
+            if tag in ("br", "p") and not i:
                 if tag == "br":
                     stack[-1].kids.append(Node("br"))
-                continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("td", "th", "caption") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "html", "body"):
-                    break  # an end tag doesn't reach out of a cell
+            elif tag in _OUT_OF_CELLS or i >= opened.nearest(_CELLS):  # other end tags don't reach out of a cell
+                opened.cut(i or len(stack))
             continue
-        attrs = _attributes(m["attrs"]) if m["attrs"].strip() else {}
+        attrs = _attributes(m[0]) if m[0].strip() else {}
         if tag in ENDS_P:
-            close({"p"}, _SCOPE)
+            opened.close({"p"}, _SCOPE)
         if tag in IMPLIED:
-            close(*IMPLIED[tag])
+            opened.close(*IMPLIED[tag])
         if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
-            add(Node("tr"))
-        if tag in ("html", "body") and any(x.tag == tag for x in stack):
+            opened.push(Node("tr"))
+        if tag in ("html", "body") and opened.nearest({tag}):
             continue
         node = Node(tag, attrs)
         if tag in VOID:
             stack[-1].kids.append(node)
         elif tag in RAW:
-            end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>?", re.I).search(page, at)
+            end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*+>?", re.I).search(page, at)
             raw = page[at : end.start() if end else n]
             node.kids.append(html.unescape(raw) if tag in ("textarea", "title") else raw)
             stack[-1].kids.append(node)
             at = end.end() if end else n
-        elif not m["attrs"].rstrip().endswith("/") or tag not in ("svg", "math", "path", "circle", "rect", "g"):
-            add(node)
+        elif not m[0].rstrip().endswith("/") or tag not in ("svg", "math", "path", "circle", "rect", "g"):
+            opened.push(node)
+        else:
+            stack[-1].kids.append(node)
     return root
 
 
-def _visible(node: Node) -> bool:
+def _there(node: Node) -> bool:
+    """Whether an element takes part in the layout at all."""
     a = node.attrs
-    if node.tag in HIDDEN or "hidden" in a:
+    if node.tag in HIDDEN or "hidden" in a or node.tag == "object" and a.get("data"):
         return False
-    return not (node.tag == "input" and a.get("type", "").lower() == "hidden") and not _GONE.search(a.get("style", ""))
+    return not (node.tag == "input" and a.get("type", "").lower() == "hidden") and not ("style" in a and _GONE.search(a["style"]))
+
+
+def _seen(node: Node, seen: bool) -> bool:
+    found = _SEEN.search(node.attrs["style"]) if "style" in node.attrs else None
+    return found[1].lower() == "visible" if found else seen
 
 
 def _width(text: str) -> int:
@@ -156,6 +200,9 @@ class _Page:
         self.line: list[str] = []
         self.blank, self.space, self.indent, self.mark = 0, False, "", ""
 
+    def deeper(self, by: str) -> str:
+        return self.indent + by if len(self.indent) + len(by) <= INDENT else self.indent
+
     def text(self, s: str) -> None:
         s = _WS.sub(" ", s)
         if not s:
@@ -193,166 +240,219 @@ class _Page:
         self.blank = 1
 
 
-def _inline(nodes: list, out: _Page, pre: bool, depth: int) -> None:
+#: A renderer yields the renderers of what it holds, which _run works off, so that depth costs no call stack.
+Steps = Iterator["Steps"]
+
+
+def _run(steps: Steps) -> None:
+    stack = [steps]
+    while stack:
+        inner = next(stack[-1], None)
+        if inner is None:
+            stack.pop()
+        else:
+            stack.append(inner)
+
+
+def _inline(nodes: list, out: _Page, pre: bool, depth: int, tables: int, seen: bool) -> Steps:
     for k in nodes:
         if isinstance(k, str):
-            out.raw(k.replace("\r\n", "\n")) if pre else out.text(k)
-        elif _visible(k):
-            _element(k, out, pre, depth)
+            if seen:
+                out.raw(k.replace("\r\n", "\n")) if pre else out.text(k)
+        elif _there(k):
+            yield _element(k, out, pre, depth, tables, _seen(k, seen))
 
 
-def _element(node: Node, out: _Page, pre: bool, depth: int) -> None:
+def _element(node: Node, out: _Page, pre: bool, depth: int, tables: int, seen: bool) -> Steps:
     tag = node.tag
     if tag == "br":
         out.end(True)
-        return
-    if tag == "hr":
+    elif tag == "hr":
         out.gap()
-        out.line.append("---")
+        if seen:
+            out.line.append("---")
         out.gap()
-        return
-    if tag == "img":
-        if node.attrs.get("alt"):
+    elif tag == "img":
+        if seen and node.attrs.get("alt"):
             out.text(node.attrs["alt"])
-        return
-    if tag == "input":
-        if node.attrs.get("type", "text").lower() in ("submit", "button", "reset") and node.attrs.get("value"):
+    elif tag == "input":
+        if seen and node.attrs.get("type", "text").lower() in ("submit", "button", "reset") and node.attrs.get("value"):
             out.text(node.attrs["value"])
-        return
-    if tag == "details" and "open" not in node.attrs:
+    elif tag == "select":
+        yield _select(node, out, depth, tables, seen)
+    elif tag == "details" and "open" not in node.attrs:
         out.end()
-        _inline([k for k in node.kids if isinstance(k, Node) and k.tag == "summary"][:1], out, pre, depth)
+        yield _inline([k for k in node.kids if isinstance(k, Node) and k.tag == "summary"][:1], out, pre, depth, tables, seen)
         out.end()
-        return
-    if tag == "table":
+    elif tag == "table":
         out.gap()
-        _table(node, out, depth)
+        yield _table(node, out, depth, tables, seen)
         out.gap()
-        return
-    if tag not in BLOCK:
-        _inline(node.kids, out, pre, depth)
-        return
+    elif tag not in BLOCK:
+        yield _inline(node.kids, out, pre, depth, tables, seen)
+    else:
+        yield _block(node, out, pre, depth, tables, seen)
+
+
+def _block(node: Node, out: _Page, pre: bool, depth: int, tables: int, seen: bool) -> Steps:
+    tag = node.tag
     spaced = tag in SPACED and not (tag in LISTS and depth)
     out.gap() if spaced else out.end()
     if tag in LISTS:
-        _list(node, out, pre, depth)
+        yield _list(node, out, pre, depth, tables, seen)
     elif tag in ("blockquote", "dd"):
-        old, out.indent = out.indent, out.indent + "    "
-        _inline(node.kids, out, pre, depth)
+        old, out.indent = out.indent, out.deeper("    ")
+        yield _inline(node.kids, out, pre, depth, tables, seen)
         out.end()
         out.indent = old
     elif tag == "pre":
         kids = list(node.kids)
         if kids and isinstance(kids[0], str):
             kids[0] = kids[0].removeprefix("\r").removeprefix("\n")
-        _inline(kids, out, True, depth)
+        yield _inline(kids, out, True, depth, tables, seen)
         out.end()
     else:
-        _inline(node.kids, out, pre, depth)
+        yield _inline(node.kids, out, pre, depth, tables, seen)
     out.gap() if spaced else out.end()
 
 
-def _list(node: Node, out: _Page, pre: bool, depth: int) -> None:
+def _select(node: Node, out: _Page, depth: int, tables: int, seen: bool) -> Steps:
+    """The selected option, or the first one; all options of a list box."""
+    options, todo = [], node.kids[::-1]
+    while todo:
+        k = todo.pop()
+        if isinstance(k, Node) and _there(k):
+            options.append(k) if k.tag == "option" else todo.extend(k.kids[::-1])
+    box = "multiple" in node.attrs or _span(node, "size") > 1
+    shown = options if box else ([k for k in options if "selected" in k.attrs][-1:] or options[:1])
+    for k in shown:
+        if box:
+            out.end()
+        yield _inline(k.kids, out, False, depth, tables, _seen(k, seen))
+        if box:
+            out.end()
+
+
+def _list(node: Node, out: _Page, pre: bool, depth: int, tables: int, seen: bool) -> Steps:
     number = node.attrs.get("start", "")
     number = int(number) if re.fullmatch(r"-?\d{1,9}", number) else 1
     for k in node.kids:
-        if isinstance(k, str) or not _visible(k):
-            if isinstance(k, str) and k.strip():
+        if isinstance(k, str) or not _there(k):
+            if isinstance(k, str) and k.strip() and seen:
                 out.text(k)
             continue
+        own = _seen(k, seen)
         if k.tag != "li":
-            _element(k, out, pre, depth + 1)
+            yield _element(k, out, pre, depth + 1, tables, own)
             continue
         out.end()
         if re.fullmatch(r"-?\d{1,9}", k.attrs.get("value", "")):
             number = int(k.attrs["value"])
         bullet = f"{number}. " if node.tag == "ol" else "- "
         number += 1
-        old, out.mark = out.indent, out.indent + bullet
-        out.indent = old + " " * len(bullet)
-        _inline(k.kids, out, pre, depth + 1)
+        old, out.mark = out.indent, out.indent + bullet if own else ""
+        out.indent = out.deeper(" " * len(bullet))
+        yield _inline(k.kids, out, pre, depth + 1, tables, own)
         out.end()
         out.indent, out.mark = old, ""
 
 
 def _span(node: Node, name: str) -> int:
     v = node.attrs.get(name, "")
-    return min(int(v), 1000) if re.fullmatch(r"[1-9]\d{0,5}", v) else 1
+    return min(int(v), COLUMNS) if re.fullmatch(r"[1-9]\d{0,5}", v) else 1
 
 
-def _table(node: Node, out: _Page, depth: int) -> None:
-    """Cells in a grid with spans, each column as wide as its widest line; two spaces between columns."""
+def _parts(node: Node) -> tuple[list[tuple[Node, bool]], list[Node], list]:
+    """A table's rows (head, body, foot, each with its own visibility rules), captions, and misplaced content."""
     captions, rows, loose = [], {"thead": [], "tbody": [], "tfoot": []}, []
-
-    def gather(n: Node, part: str) -> None:
-        for k in n.kids:
-            if isinstance(k, str):
-                if k.strip():
-                    loose.append(k)
-            elif not _visible(k) or k.tag in ("col", "colgroup"):
-                continue
-            elif k.tag == "caption":
-                captions.append(k)
-            elif k.tag in rows:
-                gather(k, k.tag)
-            elif k.tag == "tr":
-                rows[part].append(k)
-            else:
+    todo = [(k, "tbody", None) for k in node.kids[::-1]]
+    while todo:
+        k, part, seen = todo.pop()
+        if isinstance(k, str):
+            if k.strip():
                 loose.append(k)
-
-    gather(node, "tbody")
+        elif not _there(k) or k.tag in ("col", "colgroup"):
+            continue
+        elif k.tag == "caption":
+            captions.append(k)
+        elif k.tag in rows:
+            todo += [(x, k.tag, _seen(k, seen)) for x in k.kids[::-1]]
+        elif k.tag == "tr":
+            rows[part].append((k, _seen(k, seen)))
+        else:
+            loose.append(k)
+    return rows["thead"] + rows["tbody"] + rows["tfoot"], captions, loose
+
+
+def _table(node: Node, out: _Page, depth: int, tables: int, seen: bool) -> Steps:
+    """Cells in a grid with spans, each column as wide as its widest line; two spaces between columns."""
+    rows, captions, loose = _parts(node)
     for c in captions:
-        _inline(c.kids, out, False, depth)
+        yield _inline(c.kids, out, False, depth, tables, _seen(c, seen))
         out.end()
     if loose:  # misplaced content stands before the table
-        _inline(loose, out, False, depth)
+        yield _inline(loose, out, False, depth, tables, seen)
         out.end()
     grid: list[dict[int, tuple[list[str], int]]] = []
-    held: dict[int, int] = {}  # columns that cells from above still fill
-    for tr in rows["thead"] + rows["tbody"] + rows["tfoot"]:
+    held: dict[int, int] = {}  # columns that cells from above still fill, and for how many rows
+    for tr, row_seen in rows:
         line, col, after = {}, 0, {c: n - 1 for c, n in held.items() if n > 1}
         for td in tr.kids:
-            if not isinstance(td, Node) or td.tag not in ("td", "th") or not _visible(td):
-                if isinstance(td, str) and not td.strip():
-                    continue
-                if isinstance(td, Node) and not _visible(td):
-                    continue
-                td_kids = [td]
-                wide, tall = 1, 1
-            else:
-                td_kids, wide, tall = td.kids, _span(td, "colspan"), _span(td, "rowspan")
+            if isinstance(td, str) and not td.strip() or isinstance(td, Node) and not _there(td):
+                continue
+            cell = isinstance(td, Node) and td.tag in ("td", "th")
             while col in held:
                 col += 1
-            inner = _Page()
-            _inline(td_kids, inner, False, depth + 1)
-            inner.end()
-            line[col] = (inner.lines or [""], wide)
+            wide, tall = (_span(td, "colspan"), _span(td, "rowspan")) if cell and col < COLUMNS else (1, 1)
+            wide = max(1, min(wide, COLUMNS - col))
+            own = seen if row_seen is None else row_seen
+            kids, own = (td.kids, _seen(td, own)) if cell else ([td], own)
+            if tables >= TABLES:
+                yield _inline(kids, out, False, depth + 1, tables, own)
+                out.space = True
+            else:
+                inner = _Page()
+                yield _inline(kids, inner, False, depth + 1, tables + 1, own)
+                inner.end()
+                line[col] = (inner.lines or [""], wide)
             if tall > 1:
                 after |= {c: tall - 1 for c in range(col, col + wide)}
             col += wide
         held = after
         grid.append(line)
+        if tables >= TABLES:
+            out.end()
+    if tables < TABLES:
+        _aligned(grid, out)
+
+
+def _aligned(grid: list[dict[int, tuple[list[str], int]]], out: _Page) -> None:
     width: dict[int, int] = {}
     for line in grid:
         for c, (text, wide) in line.items():
             if wide == 1:
                 width[c] = max(width.get(c, 0), max(map(_width, text)))
+    spans = sorted(((wide, c, max(map(_width, text))) for line in grid for c, (text, wide) in line.items() if wide > 1))
+    for wide, c, need in spans:  # the last column of a span takes what its columns lack
+        room = sum(width[i] + 2 for i in range(c, c + wide) if i in width) - 2
+        if need > max(0, room):
+            last = c + wide - 1
+            width[last] = width.get(last, 0) + need - max(0, room) - (2 if room >= 0 and last not in width else 0)
+            width[last] = max(0, width[last])
+    begin, at = {}, 0
+    for c in range(max([*width, *(c for line in grid for c in line)], default=-1) + 1):
+        begin[c] = at
+        at += width[c] + 2 if c in width else 0
     for line in grid:
-        ends = [c + w for c, (_, w) in line.items()]
-        if not ends:
-            continue
-        for k in range(max(len(t) for t, _ in line.values())):
-            at, text = 0, ""
-            for c, (cell, wide) in sorted(line.items()):
-                while at < c:
-                    text += " " * (width.get(at, 0) + 2 if at in width else 0)
-                    at += 1
-                room = sum(width.get(i, 0) for i in range(c, c + wide)) + 2 * (wide - 1)
-                part = cell[k] if k < len(cell) else ""
-                text += part + " " * (max(0, room - _width(part)) + 2)
-                at = c + wide
-            out.line.append(text.rstrip(" "))
-            out.end(bool(text.strip()))
+        for k in range(max((len(t) for t, _ in line.values()), default=0)):
+            text, filled = [], 0
+            for c, (cell, _) in sorted(line.items()):
+                if k < len(cell) and cell[k]:
+                    text.append(" " * (begin[c] - filled) + cell[k])
+                    filled = max(filled, begin[c]) + _width(cell[k])
+            row = "".join(text).rstrip(" ")
+            out.line.append(row)
+            out.end(bool(row.strip()))
 
 
 def extract(page: str | None) -> str:
@@ -360,14 +460,15 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     out = _Page()
-    _inline(parse(page).kids, out, False, 0)
+    _run(_inline(parse(page).kids, out, False, 0, 0, True))
     out.end()
     lines = [x.rstrip(" ") for x in out.lines]
-    while lines and not lines[-1]:
-        lines.pop()
-    while lines and not lines[0]:
-        lines.pop(0)
-    return "\n".join(lines)
+    begin, end = 0, len(lines)
+    while end and not lines[end - 1]:
+        end -= 1
+    while begin < end and not lines[begin]:
+        begin += 1
+    return "\n".join(lines[begin:end])
 
 
 def extracted(pages: DataFrame, column: str = "html", into: str = "text") -> DataFrame:
