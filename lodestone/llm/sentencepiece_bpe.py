@@ -3,6 +3,8 @@
 All new words of a chunk of texts lie in one flat numpy symbol array. A round finds each word's lowest pair
 rank (a segmented minimum), merges that pair's leftmost non-overlapping occurrences in all words at once,
 compacts the array, and looks up only the pairs that changed; words without a pair left leave the array.
+A stretch of more than LONG symbols that pieces can span takes a heap of its pairs instead, since rounds could
+be as many as its symbols: its time is n log n.
 
 Contract: null texts count as empty and encode to the end id alone (or to nothing without it). Texts of any
 length are whole; rows are independent, so repeated rows give repeated results and an empty table gives none.
@@ -11,8 +13,10 @@ Columns other than the text are passed through untouched, but for names that the
 
 from __future__ import annotations
 
+import heapq
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +32,8 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _NONE = np.iinfo(np.int64).max
 #: Words kept between chunks by a worker; beyond it the table starts anew.
 TABLE_WORDS = 300_000
+#: Symbols of a word that merge rounds take.
+LONG = 512
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -111,6 +117,7 @@ class Model:
         self.surface_at = np.concatenate([[0], np.cumsum([len(s) for s in surface])])
         self.leads = np.array([kinds[i] == NORMAL and p[:1] == SPACE for i, p in enumerate(pieces)])
         self.silent = np.array([k == CONTROL for k in kinds])
+        self._by_pair: dict[int, int] = {}
         self._reset()
 
     def _reset(self) -> None:
@@ -123,6 +130,38 @@ class Model:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, at, -1)
 
+    def _merge_long(self, symbols: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols, and where each begins, after all merges of one long word: the lowest rank first, the
+        leftmost of equal ones. It holds about 60 bytes for each character."""
+        if not self._by_pair:
+            self._by_pair = dict(zip(self.keys.tolist(), range(len(self.keys)), strict=True))
+        find, rank, merged, base = self._by_pair.get, self.rank, self.merged, self.base
+        n = len(symbols)
+        sym, pair, after, before = array("i"), array("i"), array("i"), array("i")
+        for held, x in ((sym, symbols), (pair, pairs), (after, np.arange(1, n + 1)), (before, np.arange(-1, n - 1))):
+            held.frombytes(x.astype(np.int32).tobytes())
+        heap = [(int(rank[p]) << 40) | i for i, p in enumerate(pair) if p >= 0]
+        heapq.heapify(heap)
+        while heap:
+            top = heapq.heappop(heap)
+            i = top & ((1 << 40) - 1)
+            p = pair[i]
+            if p < 0 or int(rank[p]) != top >> 40:
+                continue
+            j = after[i]
+            sym[i], sym[j], pair[j] = int(merged[p]), -1, -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+            for a, b in ((i, k), (before[i], i)):
+                if a >= 0:
+                    pair[a] = find(sym[a] * base + sym[b], -1) if b < n else -1
+                    if pair[a] >= 0:
+                        heapq.heappush(heap, (int(rank[pair[a]]) << 40) | a)
+        left = np.frombuffer(sym, np.int32).astype(np.int64)
+        at = np.flatnonzero(left >= 0)
+        return left[at], at
+
     def _merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, flat, and each word's offset."""
         text = "".join(words)
@@ -139,6 +178,17 @@ class Model:
         pos = np.arange(len(sym))  # where the symbol begins: it orders the results
         pair = np.full(len(sym), -1)
         pair[:-1] = np.where(first[1:], -1, self._lookup(sym[:-1], sym[1:]))
+        begin = np.flatnonzero(first)
+        sizes = np.diff(begin, append=len(sym))
+        for k in np.flatnonzero(sizes > LONG).tolist():
+            lo, n = int(begin[k]), int(sizes[k])
+            got, at = self._merge_long(sym[lo : lo + n], pair[lo : lo + n])
+            out_sym.append(got)
+            out_pos.append(at + lo)
+            pos[lo : lo + n] = -1
+        stay = pos >= 0
+        if not stay.all():
+            sym, pos, pair, first = sym[stay], pos[stay], pair[stay], first[stay]
         while len(sym):
             starts = np.flatnonzero(first)
             rank = np.where(pair >= 0, self.rank[pair], _NONE)

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -58,6 +59,71 @@ def test_html_visibility_and_broken_markup():
     assert "deep" in extract("<div>" * 5000 + "deep")
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<div hidden>" + "<div>" * 200 + "secret" + "</div>" * 200 + "</div>ok", "ok"),
+        ("<div>" * 300 + "<span hidden>secret</span>x", "x"),
+        ('<div style="visibility:hidden">a<b style="visibility: visible">b</b>c</div>d', "b\nd"),
+        ("<select><option>x<option selected>y</select> <select multiple><option>x<option>y</select>z", "y\nx\ny\nz"),
+        ("<svg><title>t</title><text>drawn</text></svg><object>fallback</object><object data=x>no</object><video>no</video>", "drawnfallback"),
+        ("<table><tr><td>a<td>b<td>c<tr><td colspan=2>a long cell here<td>d</table>", "a  b              c\na long cell here  d"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+        ("a<!-->b<!-- c -- > --!>d<!- e>f</ g>h", "abdfh"),
+        ("<a title='>'>x</a><a b = \"c>\"d='e'>y</a><p =f>z", "xy\n\nz"),
+    ],
+)
+def test_layout(page, want):
+    assert extract(page) == want
+
+
+_HALF = 500_000
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 150_000 + end for end in ('"', '="', "")]
+    + ["<a" + " " * _HALF, "<!-- -->" * 60_000, "<p><button>" + "<div>" * 90_000, "<b>" * 150_000 + "</i>" * 9000, "<ul><li>x" * 50_000, "<table><tr><td>x<td>" * 12_000 + "x<br>" * 50_000]
+    + ["<table><tr>" + "<td colspan=1000 rowspan=1000>x" * 8000 + "<tr><td>y" * 25_000, "<p style='" + " " * _HALF + "'>x", "&" * _HALF, "<" * _HALF],
+)
+def test_no_page_takes_long(page):
+    began = time.process_time()
+    extract(page)
+    assert time.process_time() - began < 20
+
+
+def test_words_equal_another_parser(data):
+    """The words of whole pages, in any order, against the parser of the standard library."""
+    from collections import Counter
+    from html.parser import HTMLParser
+
+    import pyarrow.parquet as pq
+
+    class Words(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.hidden, self.found = 0, []
+
+        def handle_starttag(self, tag, attrs):
+            self.hidden += tag in ("head", "script", "style", "title")
+            if tag in ("p", "li", "div", "h1", "br", "td", "article", "nav", "footer"):
+                self.found.append(" ")
+
+        def handle_endtag(self, tag):
+            self.hidden -= tag in ("head", "script", "style", "title")
+            self.handle_starttag(tag, []) if tag in ("p", "li", "div", "h1", "nav") else None
+
+        def handle_data(self, text):
+            self.found += [text] * (not self.hidden)
+
+    for page in pq.read_table(f"{data}/pages.parquet").column("html").to_pylist():
+        other = Words()
+        other.feed(page)
+        other.close()
+        own = re.sub(r"(?m)^ *- ", "", extract(page))
+        assert Counter(own.split()) == Counter("".join(other.found).split())
+
+
 def test_html_column(spark):
     df = spark.createDataFrame([(1, "<p>x"), (2, None), (1, "<p>x")], "page_id long, html string").withColumn("text", F.lit("old"))
     assert sorted(map(tuple, extracted(df).collect())) == [(1, "x"), (1, "x"), (2, "")]
@@ -176,6 +242,25 @@ def test_take_repeats_rows(spark):
     assert sorted(r.doc_id for r in mixing.take(df, mixed).collect()) == [1, 1, 1, 1, 2]
 
 
+def test_long_unbroken_words_equal_the_library():
+    import random
+
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    with open(path, "rb") as f:
+        model = sentencepiece_bpe.Model(f.read())
+    library, rng = sentencepiece.SentencePieceProcessor(model_file=path), random.Random(5)
+    texts = [x * 700 + y for x in ("the", "a", "ing", "  ", "\u65e5\u672c", "=", "interest") for y in ("", "q")]
+    texts += ["".join(rng.choice("etaoinshr ") for _ in range(3000)), "".join(rng.choice("etain") for _ in range(5000)), "the" * 16_000]
+    flat, off = model.encode(texts)
+    for t, ids in zip(texts, np.split(flat, off[1:-1]), strict=True):
+        assert ids.tolist() == library.encode(t)
+    began = time.process_time()
+    model.encode(["the" * 333_000, "".join(rng.choice("etaoinshr") for _ in range(500_000)), " " * 500_000])
+    assert time.process_time() - began < 60
+
+
 # --- toxicity
 
 
