@@ -8,13 +8,16 @@ key in one of the tables with probability 0.999 (0.98 ** L is never relied on: s
 Equal vectors are one class, so copies are not compared with each other. Classes that share a key are
 compared in blocks: a key with more classes than BLOCK is cut, and each pair of its blocks is one group. A
 pair that meets in several tables counts in the first of them only, which both sides' keys tell; so links are
-counted where they are found and pairs are never written out. Only counts and, for components, spanning
+counted where they are found and pairs are never written out. A key whose vectors all share one key of an
+earlier table has no new pair and isn't dealt at all, so a dense neighbourhood is compared once, not once for
+each table. Only counts and, for components, spanning
 forests leave a group.
 
 Contract: null or zero vectors, vectors with a null or non-finite component and rows with a null label link
 with nothing; each is returned as its own component. Vectors of different length don't link. A repeated
-vec_id is a row of its own, linked like any other row; its component is still the smallest id. Rows with a
-null id are left out. An empty table gives no rows.
+vec_id is a row of its own, linked like any other row; its component is still the smallest id. A row with a
+null id links like any other; the component of rows that all have null ids is null, and so is kept of a row
+whose id or component is null. An empty table gives no rows; other columns take no part.
 """
 
 from __future__ import annotations
@@ -127,7 +130,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     good = x.isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(x, lambda v: v != 0)
     tag = F.col(label).cast("string") if label else F.lit("")
     v = F.when(F.coalesce(good & tag.isNotNull(), F.lit(False)), F.transform(x, lambda c: c + F.lit(0.0)))  # -0.0 and 0.0 are equal
-    rows = staged(df.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), tag.alias("label"), v.alias("v"), F.when(v.isNotNull(), F.md5(F.concat_ws(",", v.cast("array<string>")))).alias("h")), "vectors")
+    rows = staged(df.select(F.col(key).cast("long").alias("id"), tag.alias("label"), v.alias("v"), F.when(v.isNotNull(), F.md5(F.concat_ws(",", v.cast("array<string>")))).alias("h")), "vectors")
     sizes = rows.filter("v IS NOT NULL").groupBy("label", "h").agg(F.min("id").alias("cls"), F.count("*").alias("size"), F.first("v").alias("v"))
     # A class is known by a number of its own: ids may repeat.
     sizes = sizes.withColumn("low", F.col("cls")).withColumn("cls", F.xxhash64("label", "h"))
@@ -139,6 +142,10 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     blocks = staged(counts.select("slot", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "slots")
     # Most classes are alone in a slot: the rows that meet others are few, and only those carry their vectors.
     met = staged(join_heavy(staged(slots, "vector-slots"), blocks, "slot"), "met")
+    at = lambda f: F.array(*[f(F.get("keys", F.lit(i))) for i in range(tables)])
+    shared = met.join(keyed.select("cls", "keys").hint("merge"), "cls").groupBy("slot").agg(F.min("t").alias("first"), at(F.min).alias("low"), at(F.max).alias("high"))
+    old = F.exists(F.slice(F.zip_with("low", "high", lambda a, b: a == b), F.lit(1), F.col("first")), lambda same: same)
+    met = join_heavy(met, staged(shared.filter(~old).select("slot"), "new-slots"), "slot", "left_semi")
     met = met.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("cls", "t", "slot", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     found = met.join(keyed.select("cls", "size", "unit", "keys").hint("merge"), "cls").groupBy("slot", "i", "j").applyInArrow(_compare(threshold), "cls long, links long, root long")
