@@ -8,11 +8,13 @@ lists are probed for the items that can still compete, while their number falls
 gives its k best items for each query, and these are merged.
 
 Scores are inner products of integer weights, so they don't depend on the order of terms; terms that only
-one side holds add nothing. Ties go to the smaller id. An item is never compared with the query of its id.
+one side holds add nothing. Ties go to the smaller id. A query is never compared with the item that is the
+same row, known by its number in a column "row"; without that column, by its id.
 
 Contract: rows with a null id, null terms or weights, or a null among them take no part; rows without terms
-have score 0. Repeated ids are separate items; of queries
-with one id, the smallest is taken. Empty tables give no rows.
+have score 0. Repeated ids are separate items. With rows numbered, queries with one id are separate queries,
+each with its own ranks; without, the smallest of them is taken. Sums that 64 bits can't hold are cut to their
+ends, as are weights that from_vectors makes of very large components. Empty tables give no rows; other columns take no part.
 """
 
 from __future__ import annotations
@@ -39,12 +41,12 @@ def _ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Shard:
     """Inverted index of a shard's items (rows of ragged terms and weights)."""
 
-    def __init__(self, ids: np.ndarray, terms: np.ndarray, weights: np.ndarray, offsets: np.ndarray):
+    def __init__(self, ids: np.ndarray, row: np.ndarray, terms: np.ndarray, weights: np.ndarray, offsets: np.ndarray):
         order = np.argsort(ids, kind="stable")
         lens = np.diff(offsets)
         place = np.empty(len(ids), np.int64)
         place[order] = np.arange(len(ids))
-        self.ids, self.n = ids[order], len(ids)
+        self.ids, self.row, self.n = ids[order], row[order], len(ids)
         item = np.repeat(place, lens)
         by = np.lexsort((item, terms))
         terms, item, weights = terms[by], item[by], weights[by]
@@ -63,7 +65,17 @@ class Shard:
                 self.lists.append((at, w))
         self.narrow = max([1, *map(abs, self.low), *map(abs, self.high)])
 
-    def search(self, query_id: int, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def _search_wide(self, own: np.ndarray, lists: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """search() in integers of any size."""
+        total = np.zeros(self.n, object)
+        for t, w in zip(lists.tolist(), q.tolist(), strict=True):
+            items, weights = self.lists[t]
+            np.add.at(total, np.arange(self.n) if items is None else items, weights.astype(object) * w)
+        total = [min(max(x, -(2**63)), 2**63 - 1) for x in total.tolist()]
+        best = sorted(np.flatnonzero(~own).tolist(), key=lambda i: (-total[i], self.ids[i]))[:k]
+        return np.array(best, np.int64), np.array([total[i] for i in best], np.int64)
+
+    def search(self, query_row: int, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions and scores of the k best items, best first."""
         at = np.searchsorted(self.terms, terms)
         hit = (at < len(self.terms)) & (self.terms[np.minimum(at, len(self.terms) - 1)] == terms) & (weights != 0) if len(self.terms) else np.zeros(len(terms), bool)
@@ -73,7 +85,9 @@ class Shard:
         rest = [0] * (len(q) + 1)  # the most that the lists from i on can add
         for i in range(len(q) - 1, -1, -1):
             rest[i] = rest[i + 1] + bound[order[i]]
-        own = self.ids == query_id
+        own = self.row == query_row
+        if sum(int(w) * self.narrow if w > 0 else -int(w) * self.narrow for w in q.tolist()) >= 2**62:
+            return self._search_wide(own, lists, q, k)
         score = np.zeros(self.n, np.int64)
         alive: np.ndarray | None = None  # None: every item
         floor: int | None = None  # a score that k items are known to reach
@@ -131,42 +145,43 @@ class Shard:
 
 def _clean(df: DataFrame) -> DataFrame:
     whole = ~F.exists("terms", lambda x: x.isNull()) & ~F.exists("weights", lambda x: x.isNull()) & (F.size("terms") == F.size("weights"))
-    return df.select(F.col("id").cast("long").alias("id"), F.col("terms").cast("array<long>").alias("terms"), F.col("weights").cast("array<long>").alias("weights")).filter(F.col("id").isNotNull() & whole)
+    row = F.col("row" if "row" in df.columns else "id").cast("long").alias("row")
+    return df.select(F.col("id").cast("long").alias("id"), row, F.col("terms").cast("array<long>").alias("terms"), F.col("weights").cast("array<long>").alias("weights")).filter(F.col("id").isNotNull() & whole)
 
 
 def top_k(items: DataFrame, queries: DataFrame, k: int, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, id, score): the k items with the highest inner product for each query. Items and
-    queries have columns (id, terms array<long>, weights array<long>).
+    queries have columns (id, terms array<long>, weights array<long>) and, as the number of a row, row.
 
-    Items are dealt to shards and queries to blocks by a hash of their id, and each pair of them is one
-    group: what a task holds is bounded, and each vector is sent once for each block or shard."""
+    Items are dealt to shards and queries to blocks by a hash of their row, and each pair of them is one
+    group: what a task holds is bounded, and each vector is sent once for each block or shard. Both sides are
+    read twice, so they should be stored."""
     items = _clean(items)
-    queries = _clean(queries).groupBy("id").agg(F.min(F.struct("terms", "weights")).alias("q")).select("id", "q.terms", "q.weights")
+    queries = _clean(queries) if "row" in queries.columns else _clean(queries).groupBy("id", "row").agg(F.min(F.struct("terms", "weights")).alias("q")).select("id", "row", "q.terms", "q.weights")
     shards, blocks = max(1, -(-items.count() // shard)), max(1, -(-queries.count() // block))
     if shards * blocks < 12:
         shards = -(-12 // blocks)
-    dealt = lambda df, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    dealt = lambda df, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     left = dealt(items, "s", shards, "b", blocks).groupBy("s", "b")
     right = dealt(queries, "b", blocks, "s", shards).groupBy("s", "b")
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        names = ["query_id", "id", "score"]
+        names = ["query_row", "query_id", "id", "score"]
         if not a.num_rows or not b.num_rows:
             return pa.table({n: pa.array([], pa.int64()) for n in names})
         terms, off = _ragged(a.column("terms"))
-        index = Shard(a.column("id").to_numpy(), terms, _ragged(a.column("weights"))[0], off)
+        index = Shard(a.column("id").to_numpy(), a.column("row").to_numpy(), terms, _ragged(a.column("weights"))[0], off)
         qt, qoff = _ragged(b.column("terms"))
         qw = _ragged(b.column("weights"))[0]
-        out: list[list[np.ndarray]] = [[], [], []]
-        for n, query in enumerate(b.column("id").to_pylist()):
-            best, score = index.search(query, qt[qoff[n] : qoff[n + 1]], qw[qoff[n] : qoff[n + 1]], k)
-            out[0].append(np.full(len(best), query))
-            out[1].append(index.ids[best])
-            out[2].append(score)
+        out: list[list[np.ndarray]] = [[], [], [], []]
+        for n, (row, query) in enumerate(zip(b.column("row").to_pylist(), b.column("id").to_pylist(), strict=True)):
+            best, score = index.search(row, qt[qoff[n] : qoff[n + 1]], qw[qoff[n] : qoff[n + 1]], k)
+            for part, x in zip(out, (np.full(len(best), row), np.full(len(best), query), index.ids[best], score), strict=True):
+                part.append(x)
         return pa.table({n: np.concatenate(c) for n, c in zip(names, out, strict=True)})
 
-    found = left.cogroup(right).applyInArrow(run, "query_id long, id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
+    found = left.cogroup(right).applyInArrow(run, "query_row long, query_id long, id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.col("score").desc(), "id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import html_text, maxent_lm, maxscore, mixing, ngram_join, packed_ids, sentencepiece_bpe, toxicity, vector_neardup, warc_zst
+from lodestone.llm.common import staged
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -20,6 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = maxscore.from_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    vectors = staged(vectors.withColumn("row", F.monotonically_increasing_id()), "weighted-vectors")
     found = maxscore.top_k(vectors, vectors.filter(F.col("id") % 50 == 0), 5)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
@@ -78,13 +80,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op1_maxscore_topk": """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+WITH v AS (SELECT vec_id, row_number() OVER () AS n, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
            FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
-     s AS (SELECT q.vec_id AS query_id, d.vec_id AS vec_id,
+     s AS (SELECT q.n AS q_n, q.vec_id AS query_id, d.vec_id AS vec_id,
                   CAST(list_sum(list_transform(list_zip(q.w, d.w), lambda p: p[1] * p[2])) AS BIGINT) AS score
-           FROM v q JOIN v d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+           FROM v q JOIN v d ON q.vec_id % 50 = 0 AND q.n <> d.n)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY q_n ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY rank <= 5""",
     "op6_warc_archive": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),

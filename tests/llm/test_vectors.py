@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import maxscore, vector_neardup
 from lodestone.llm.common import components, join_heavy, local_forest
@@ -42,6 +43,18 @@ def test_top_k_edges(spark):
     assert maxscore.top_k(frame(spark, rows), empty, 5).count() == 0
 
 
+def test_top_k_of_repeated_ids_and_large_weights(spark):
+    """Rows are known by their number: each query of one id has its own candidates, the other row included."""
+    numbered = lambda rows: frame(spark, rows).withColumn("row", F.monotonically_increasing_id())
+    rows = numbered([(50, {1: 2}), (50, {1: 3}), (1, {1: 1})])
+    found = sorted((r.query_id, r.rank, r.id, r.score) for r in maxscore.top_k(rows, rows.filter("id = 50"), 5).collect())
+    assert found == [(50, 1, 50, 6), (50, 1, 50, 6), (50, 2, 1, 2), (50, 2, 1, 3)]
+    big = 2**62
+    rows = numbered([(0, {1: big, 2: big}), (1, {1: big, 2: -big + 7}), (2, {1: 5, 2: 5}), (3, {1: -big, 2: -big}), (4, {1: big, 2: big})])
+    found = [(r.id, r.score) for r in maxscore.top_k(rows, rows.filter("id = 0"), 5).orderBy("rank").collect()]
+    assert found == [(1, 2**63 - 1), (2, 2**63 - 1), (4, 2**63 - 1), (3, -(2**63))]
+
+
 def test_vectors_with_bad_components_take_no_part(spark):
     rows = [(1, [0.5, -0.001]), (2, None), (3, [1.0, None]), (4, [float("nan"), 0.0]), (5, [float("inf"), 0.0]), (6, []), (7, [0.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "'x' AS w", "1 AS id")
