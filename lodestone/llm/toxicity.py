@@ -2,9 +2,10 @@
 
 Two Zstandard dictionaries are built from labelled text: one from ordinary documents, one from toxic ones.
 Both are trained by zstandard; the difference of the two lengths of a window of text is what the toxic one saves.
-A third has a lexicon (word beginnings that are far more frequent in toxic documents than in ordinary ones, if
-the labels suffice to tell) in front of the ordinary content, so that ordinary text compresses alike. A document's windows give
-the features (mean, largest and total saving, windows above thresholds); a logistic function of them, fitted
+As such training gathers what is frequent, toxic or not, a third has in front of the ordinary content, so that
+ordinary text compresses alike, what tells toxic documents from ordinary ones, if the labels suffice to tell:
+stretches of toxic text made of strings that are far more frequent there (phrases, whatever their words), and
+word beginnings of that kind. A document's windows give the features (mean, largest and total saving, windows above thresholds); a logistic function of them, fitted
 on labelled documents that had no part in the dictionaries, calibrates them to a probability.
 
 Contract: null and empty texts have no window and score as a document without any saving. Texts are scored
@@ -16,6 +17,7 @@ labels (0 without labels).
 
 from __future__ import annotations
 
+import heapq
 import math
 import pickle
 from collections import Counter
@@ -28,6 +30,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.sentencepiece_bpe import text_slices
+
 #: Words of a window, and bytes of the longest piece of a word.
 WINDOW, WORD_BYTES = 8, 64
 #: The bounded sample that is learned from: documents with label 1, with label 0, and characters of each.
@@ -35,6 +39,8 @@ SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS = 2000, 5000, 20_000
 ORDINARY_BYTES, LEVEL = 16 << 10, 9
 #: How unlikely chance must be for a string to be toxic: exp(-SURPRISE).
 SURPRISE = 10.0
+#: Lengths of the strings that phrases are found by, and bytes of the dictionary's part of phrases.
+PHRASES, PHRASE_BYTES = (12, 18), 16 << 10
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -55,6 +61,63 @@ def _grams(text: str) -> set[bytes]:
     return {b" " + w[:n] for w in set(words(text)) for n in range(4, min(len(w), 11) + 1)}
 
 
+def _flat(text: str) -> bytes:
+    return b" " + b" ".join(words(text)) + b" "
+
+
+def _strings(text: bytes, n: int) -> set[bytes]:
+    return {text[i : i + n] for i in range(len(text) - n + 1)}
+
+
+def _telling(toxic: list[bytes], ordinary: list[bytes], n: int) -> dict[bytes, float]:
+    """Strings of n bytes with their surprise, where chance is too unlikely to have put them into so many toxic texts."""
+    prior = len(toxic) / (len(toxic) + len(ordinary))
+    a: Counter[bytes] = Counter()
+    for t in toxic:
+        a.update(_strings(t, n))
+    a = {g: c for g, c in a.items() if _surprise(c, 0, prior) >= SURPRISE}
+    b: Counter[bytes] = Counter()
+    for t in ordinary:
+        b.update(a.keys() & _strings(t, n))
+    return {g: x for g, c in a.items() if (x := _surprise(c, b[g], prior)) >= SURPRISE}
+
+
+def _stretches(toxic: list[str], ordinary: list[str]) -> bytes:
+    """Stretches of toxic texts that telling strings cover, the best ones last: each is there for strings that
+    those after it don't hold."""
+    toxic, ordinary = [_flat(t) for t in toxic], [_flat(t) for t in ordinary]
+    good: dict[bytes, float] = {}
+    for n in PHRASES:
+        good |= _telling(toxic, ordinary, n)
+    found: dict[bytes, set[bytes]] = {}
+    for t in toxic if good else ():
+        held = np.zeros(len(t) + 1, np.int64)
+        for n in PHRASES:
+            for i in range(len(t) - n + 1):
+                if t[i : i + n] in good:
+                    held[i] += 1
+                    held[i + n] -= 1
+        edges = np.flatnonzero(np.diff(np.cumsum(held) > 0, prepend=False))
+        for i, j in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            found.setdefault(t[i:j], set().union(*(_strings(t[i:j], n) & good.keys() for n in PHRASES)))
+    value = lambda x, own: sum(good[g] for g in own) / (len(x) + 8)
+    heap = [(-value(x, own), x) for x, own in found.items()]
+    heapq.heapify(heap)
+    taken, out, size = set(), [], 0
+    while heap and size < PHRASE_BYTES:
+        _, x = heapq.heappop(heap)
+        own = found[x] - taken
+        now = -value(x, own)
+        if own and heap and now > heap[0][0]:
+            heapq.heappush(heap, (now, x))
+            found[x] = own
+        elif own:
+            out.append(x)
+            taken |= own
+            size += len(x)
+    return b"".join(out[::-1])
+
+
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     params = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=WINDOW * 8, dict_size=len(content), write_content_size=False, write_dict_id=False, write_checksum=False)
     d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -142,7 +205,7 @@ def fit(toxic: list[str], ordinary: list[str], toxic_share: float) -> Model:
     good = sorted((g for g, n in in_t.items() if _surprise(n, in_o[g], prior) >= SURPRISE), key=lambda g: (_surprise(in_t[g], in_o[g], prior), g))
     # A string whose longer form is about as frequent is left out: the longer one holds it.
     held = {h[:n] for h in good for n in range(5, len(h)) if in_t[h] >= 0.6 * in_t[h[:n]]}
-    lexicon = b"".join(g for g in good if g not in held)[-ORDINARY_BYTES:]
+    lexicon = _stretches(fit_t, fit_o) + b"".join(g for g in good if g not in held)
     model.ordinary, model.toxic, model.lexicon = _dictionary(fit_o), _dictionary(fit_t), lexicon
     model.open()
     x = np.stack([model.features(t) for t in cal_t + cal_o])
@@ -190,8 +253,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(**pickle.loads(packed)).open()
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own.score(b.column(at).to_pylist()), pa.float64())], names=[*keep, into])
+        for whole in batches:
+            for b in text_slices(whole, at):
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own.score(b.column(at).to_pylist()), pa.float64())], names=[*keep, into])
 
     return docs.select(*keep).mapInArrow(run, schema)
 

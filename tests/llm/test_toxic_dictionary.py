@@ -31,3 +31,36 @@ def test_few_labels():
     toxic, ordinary = labelled(np.random.default_rng(2), 5, ["vile", "rotten", "scum"])
     m = toxicity.fit(toxic, ordinary, 0.5)
     assert m.toxic and np.isfinite(m.open().score(toxic + ordinary + [None, ""])).all()
+
+
+def _sentences(rng, phrase, n):
+    """Texts of the same words in any order, with the phrase's words together only in toxic ones."""
+    words = [f"{a}{b}" for a in ("go", "back", "where", "you", "came", "from", "now", "then") for b in ("", "s", "er", "ing")]
+    out = []
+    for i in range(n):
+        w = [words[int(k)] for k in rng.integers(len(words), size=60)]
+        at = int(rng.integers(50))
+        out.append(" ".join([*w[:at], *(phrase if i % 2 else rng.permutation(phrase)), *w[at:]]))
+    return out
+
+
+def test_phrases_of_ordinary_words_are_learned():
+    """Every word is as frequent in both kinds of text: only their order tells. Where a window ends inside the
+    phrase, its parts may not suffice."""
+    rng = np.random.default_rng(6)
+    phrase = ["go", "back", "where", "you", "came", "from"]
+    texts = _sentences(rng, phrase, 800)
+    toxic, ordinary = texts[1::2], texts[::2]
+    model = toxicity.fit(toxic[:300], ordinary[:300], 0.5)
+    assert b"where you came" in model.lexicon
+    assert (model.score(toxic[300:]) >= 0.5).mean() > 0.75 and (model.score(ordinary[300:]) < 0.5).mean() > 0.9
+
+
+def test_few_labels():
+    """With none or one of a kind the score is the share of label 1; with a few, dictionaries are still made."""
+    rng = np.random.default_rng(7)
+    texts = _sentences(rng, ["go", "back"], 12)
+    for toxic, ordinary in (([], texts), (texts[:1], texts[1:]), (texts, [])):
+        assert np.allclose(toxicity.fit(toxic, ordinary, 0.3).score(["a b", "", None]), 0.3)
+    model = toxicity.fit(texts[:3], texts[3:], 0.25)
+    assert model.toxic and np.isfinite(model.score([*texts, "", None])).all()
