@@ -4,6 +4,7 @@ buffers, staging in the cluster's shared folder, joins that survive hot keys, co
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -23,15 +24,17 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 _BYTE = np.random.default_rng(20240611).integers(1, 2**64 - 1, 256, dtype=np.uint64)
-_BYTELOWER = _BYTE[LOWER]
+_BYTE_LOWER = _BYTE[LOWER]
 _powers: dict[int, np.ndarray] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session. Where it is
-    unset, as in tests, a folder under /tmp is set as the session's checkpoint folder."""
+    unset, a local session (as in tests) gets a folder under /tmp; a cluster must name one."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "/tmp/checkpoints/lodestone"
         spark.sparkContext.setCheckpointDir(path)
         spark.conf.set("spark.checkpoint.dir", path)

@@ -132,10 +132,11 @@ def sized(df: DataFrame, text: str = "text") -> DataFrame:
 
 def take(df: DataFrame, mixed: DataFrame, text: str = "text") -> DataFrame:
     """df with every row as often as mixed, a result of ``mix`` over ``sized(df)``, takes it. Rows equal in
-    id, source and text are interchangeable: together they are taken as often as all of them."""
-    per = mixed.groupBy(F.col("doc_id").alias("id__"), F.col("source").alias("src__"), F.col("h").alias("h__")).agg(F.sum("copies").alias("copies__"), F.count("*").alias("same__")).filter("copies__ > 0")
-    rows = df.withColumn("h__", F.xxhash64(F.col("doc_id"), F.col(text)))
-    rows = rows.join(per.hint("merge"), "h__").filter(F.col("doc_id").eqNullSafe(F.col("id__")) & F.col("source").eqNullSafe(F.col("src__")))
-    once = rows.filter("same__ = 1")
-    twins = rows.filter("same__ > 1").dropDuplicates(["h__", "id__", "src__"])
-    return once.unionByName(twins).withColumn("copy__", F.explode(F.sequence(F.lit(1), F.col("copies__")))).select(*df.columns)
+    id, source and text are interchangeable: together they are taken as often as all of them. Columns of df can
+    have any names."""
+    per = mixed.groupBy(F.col("doc_id").alias("id"), F.col("source").alias("src"), "h").agg(F.sum("copies").alias("copies"), F.count("*").alias("same")).filter("copies > 0")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col("doc_id").alias("own_id"), F.col("source").alias("own_src"), F.xxhash64(F.col("doc_id"), F.col(text)).alias("h"))
+    rows = rows.join(per.hint("merge"), "h").filter(F.col("own_id").eqNullSafe(F.col("id")) & F.col("own_src").eqNullSafe(F.col("src")))
+    once = rows.filter("same = 1")
+    twins = rows.filter("same > 1").dropDuplicates(["h", "own_id", "own_src"])
+    return once.unionByName(twins).select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

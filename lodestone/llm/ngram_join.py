@@ -439,8 +439,9 @@ def _across(num: int, den: int):
 
 
 def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """(key, h, n_shingles, component_id) of every row: the size of its n-gram set and the smallest key that
-    links (Jaccard similarity of num / den or more) lead to, its own included; h is a hash of the text."""
+    """(key, h, n_shingles, component_id, component) of every row: the size of its n-gram set and the smallest
+    key that links (Jaccard similarity of num / den or more) lead to, its own included; h is a hash of the text,
+    component a number of all rows that are linked (null where component_id is the row's own for want of words)."""
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("h"), F.col(text).cast("string").alias("text"))
     table = spark.sparkContext.broadcast(levels(docs.select("text"), n).tobytes())
@@ -466,10 +467,10 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n
     per = classes.join(roots.withColumnRenamed("id", "ck").hint("merge"), "ck", "left").select("ck", "rep", F.coalesce("component", "ck").alias("component"))
     per = staged(per, "ngram-components")
     lowest = staged(per.groupBy("component").agg(F.min("rep").alias("component_id")), "ngram-lowest")
-    per = staged(join_heavy(per, lowest, "component").select("ck", "component_id"), "ngram-results")
-    out = join_heavy(live.select("id", "h", "n", "ck"), per, "ck").select("id", "h", "n", "component_id")
-    rest = rows.filter("ck IS NULL OR id IS NULL").select("id", "h", "n", F.col("id").alias("component_id"))
-    return out.unionByName(rest).select(F.col("id").alias(key), "h", F.col("n").alias("n_shingles"), "component_id")
+    per = staged(join_heavy(per, lowest, "component").select("ck", "component", "component_id"), "ngram-results")
+    out = join_heavy(live.select("id", "h", "n", "ck"), per, "ck").select("id", "h", "n", "component_id", "component")
+    rest = rows.filter("ck IS NULL OR id IS NULL").select("id", "h", "n", F.col("id").alias("component_id"), F.lit(None).cast("long").alias("component"))
+    return out.unionByName(rest).select(F.col("id").alias(key), "h", F.col("n").alias("n_shingles"), "component_id", "component")
 
 
 def _finish(members: DataFrame, sets: DataFrame, edges: DataFrame, roots: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -498,18 +499,16 @@ def _finish(members: DataFrame, sets: DataFrame, edges: DataFrame, roots: DataFr
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs with one row of each group of linked documents: that with the smallest key (of rows equal in key,
-    the one whose text has the smallest hash). Rows with a null key or an empty set link with nothing and stay."""
+    the one whose text has the smallest hash). Rows with a null key or an empty set link with nothing and stay;
+    rows that share a key, but aren't linked, stay too. Columns of docs can have any names."""
     found = staged(ngram_components(docs, key, text, n, num, den), "ngram-found")
-    grouped = found.filter(F.col("component_id").isNotNull() & (F.col("n_shingles") > 0))
-    kept = grouped.filter(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias("id__")).agg(F.min("h").alias("h__"), F.count("*").alias("same__"))
-    kept = staged(kept, "ngram-kept")
-    h = F.xxhash64(text)
-    rest = staged(found.filter(F.col("component_id").isNull() | (F.col("n_shingles") == 0)).select(F.col(key).alias("id2__"), F.col("h").alias("h2__")).distinct(), "ngram-alone")
-    rows = docs.withColumn("h3__", h)
-    one = join_checked(rows.withColumn("id__", F.col(key).cast("long")), kept, "id__", limit=2_000_000).filter("h3__ = h__")
-    twins = one.filter("same__ > 1").dropDuplicates(["id__"])
-    out = one.filter("same__ = 1").unionByName(twins).select(*docs.columns)
+    firsts = found.filter(F.col("component").isNotNull() & (F.col(key) == F.col("component_id"))).groupBy("component", "h").agg(F.first(key).alias("id"), F.count("*").alias("same"))
+    kept = staged(firsts.groupBy("component").agg(F.min(F.struct("h", "id", "same")).alias("k")).select(F.col("k.id").alias("kept_id"), F.col("k.h").alias("kept_h"), "k.same"), "ngram-kept")
+    rest = staged(found.filter(F.col("component").isNull()).select(F.col(key).alias("kept_id"), F.col("h").alias("kept_h")).distinct(), "ngram-alone")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).cast("long").alias("kept_id"), F.xxhash64(text).alias("h"))
+    one = join_checked(rows, kept, "kept_id", limit=500_000).filter("h = kept_h")
+    out = one.filter("same = 1").unionByName(one.filter("same > 1").dropDuplicates(["kept_id", "h"])).select("row.*")
     if rest.head(1):
-        alone = rows.join(rest.hint("merge"), F.col(key).cast("long").eqNullSafe(F.col("id2__")) & (F.col("h3__") == F.col("h2__")), "left_semi")
-        out = out.unionByName(alone.select(*docs.columns))
+        rest = rest.withColumnRenamed("kept_id", "id2")
+        out = out.unionByName(rows.join(rest.hint("merge"), F.col("kept_id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("kept_h")), "left_semi").select("row.*"))
     return out

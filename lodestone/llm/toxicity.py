@@ -29,6 +29,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm.sentencepiece_bpe import text_slices
 
@@ -248,7 +249,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
     """docs with a column of the probability of label 1 for each row; a column of that name is replaced."""
     packed = pickle.dumps(model_state(model))
     keep = [c for c in docs.columns if c != into]
-    schema = docs.select(*keep).schema.add(into, "double", False)
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep])
+    schema = T.StructType([*rows.schema.fields, T.StructField(into, T.DoubleType(), False)])
     at = keep.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +259,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
             for b in text_slices(whole, at):
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own.score(b.column(at).to_pylist()), pa.float64())], names=[*keep, into])
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return rows.toDF(*[f"c{i}" for i in range(len(keep))]).mapInArrow(run, schema)
 
 
 def model_state(model: Model) -> dict:
