@@ -1,4 +1,4 @@
-"""Joins whose plan depends on the checked size of a side."""
+"""Joins whose plan depends on the size of a side."""
 
 from __future__ import annotations
 
@@ -8,6 +8,6 @@ from pyspark.sql import functions as F
 from lodestone.config import BROADCAST_ROWS
 
 
-def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if it has limit rows at most; for narrow rows."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def bounded(df: DataFrame, rows: int | None, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """df of narrow rows, marked for broadcast if a known bound of its rows is within the limit; nothing is counted."""
+    return F.broadcast(df) if rows is not None and rows <= limit else df

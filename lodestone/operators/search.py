@@ -1,7 +1,8 @@
 """Dense, sparse and exact legs of hybrid search, and their fusion by weighted reciprocal ranks.
 
 All legs answer a batch of queries in one plan. Queries are (query_id, text, vector); their scope is a table
-(query_id, kb_id, kb_pos) of the knowledge bases that each one searches, in order.
+(query_id, kb_id, kb_pos) of the knowledge bases that each one searches, in order. Sides are broadcast by bounds that
+follow from the number of queries; no leg is computed to learn its size.
 """
 
 from __future__ import annotations
@@ -12,16 +13,16 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.config import Settings
 from lodestone.functions.text import tokens
-from lodestone.operators.scale import sized
+from lodestone.operators.scale import bounded
 
-#: Queries whose vectors are held at once by a task of the dense leg.
-QUERY_BLOCK = 2048
-_LEG = "query_id long, kb_id int, item_id long, score double"
+#: Queries and vectors that a task of the dense leg holds at once.
+QUERY_BLOCK, VECTOR_SHARD = 2048, 1 << 17
+_LEG = "query_id long, kb_id int, item_id long, hash string, score double"
 
 
 def postings(items: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -53,7 +54,7 @@ def ranked_by_kb(hits: DataFrame, scope: DataFrame, cross_kb: str) -> DataFrame:
     """Consecutive ranks of a leg's hits, each text once: by the query's order of knowledge bases and then by
     score ("sequential"), or by score alone ("global")."""
     order = ["kb_pos", F.col("score").desc(), "item_id"] if cross_kb == "sequential" else [F.col("score").desc(), "item_id"]
-    placed = hits.join(sized(scope), ["query_id", "kb_id"])
+    placed = hits.join(scope, ["query_id", "kb_id"])
     once = placed.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "hash").orderBy(*order))).filter("n = 1")
     return once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)) - 1).select("query_id", "hash", "item_id", "kb_id", "rank", "score")
 
@@ -65,11 +66,13 @@ def text_scores(queries: DataFrame, posts: DataFrame, frequencies: DataFrame, it
     df) over all items, whatever the scope; "bm25": k1 1.2 and b 0.75, with lengths (item_id, length).
     sparse: the inner product of vectors with weights ln(1 + tf), scaled to unit length; a lexical stand-in for
     a learned encoder, whose weights can be given as postings."""
-    asked = query_terms(queries)
-    asked = asked.join(sized(frequencies.join(asked.select("term").distinct(), "term", "left_semi")), "term", "left")
+    asked = query_terms(queries).persist()  # a few terms for each query; counted, joined and counted by
+    size = asked.count()
+    asked = bounded(asked, size)
+    known = frequencies.join(asked.select("term").distinct(), "term", "left_semi")
     qw = F.ln(1 + F.col("qtf"))
-    asked = asked.withColumn("qw", qw / F.sqrt(F.sum(qw * qw).over(Window.partitionBy("query_id")))).filter("df IS NOT NULL")
-    matched = posts.join(sized(asked.select("query_id", "term", "df", "qw")), "term")
+    asked = asked.join(bounded(known, size), "term").withColumn("qw", qw / F.sqrt(F.sum(qw * qw).over(Window.partitionBy("query_id"))))
+    matched = posts.join(bounded(asked.select("query_id", "term", "df", "qw"), size), "term")
     if model == "tfidf2":
         weight = F.col("tf") * F.pow(F.log10(F.lit(float(items)) / F.col("df")), 2)
     else:
@@ -83,18 +86,18 @@ def text_scores(queries: DataFrame, posts: DataFrame, frequencies: DataFrame, it
     return sums.join(norms, "item_id").select("query_id", "item_id", "kb_id", F.round("exact", 6).alias("exact"), F.round(F.col("dot") / F.col("norm"), 6).alias("sparse"))
 
 
-def exact_leg(scores: DataFrame, meta: DataFrame, scope: DataFrame, s: Settings) -> DataFrame:
+def exact_leg(scores: DataFrame, meta: DataFrame, scope: DataFrame, s: Settings, queries: int | None = None) -> DataFrame:
     """Full-text hits over all of a query's knowledge bases, ranked over rows: copies of a text leave gaps.
-    scores are those of text_scores, meta is (item_id, hash). A query without a term finds nothing."""
-    scoped = scores.select("query_id", "item_id", "kb_id", F.col("exact").alias("score")).filter("score > 0").join(sized(scope.select("query_id", "kb_id")), ["query_id", "kb_id"], "left_semi")
-    best = sized(top(scoped, ["query_id"], s.pool)).join(meta.select("item_id", "hash"), "item_id")
+    scores are those of text_scores, meta is (item_id, hash), queries is how many there are, if known. A query without a term finds nothing."""
+    scoped = scores.select("query_id", "item_id", "kb_id", F.col("exact").alias("score")).filter("score > 0").join(scope.select("query_id", "kb_id"), ["query_id", "kb_id"], "left_semi")
+    best = bounded(top(scoped, ["query_id"], s.pool), queries and queries * s.pool).join(meta.select("item_id", "hash"), "item_id")
     return best.groupBy("query_id", "hash").agg(F.min("rank").alias("rank"), F.min_by("item_id", "rank").alias("item_id"), F.min_by("kb_id", "rank").alias("kb_id"), F.max("score").alias("score"))
 
 
 def sparse_leg(scores: DataFrame, meta: DataFrame, scope: DataFrame, s: Settings) -> DataFrame:
     """Hits by sparse vectors, the best for each query and knowledge base."""
-    scoped = scores.select("query_id", "item_id", "kb_id", F.col("sparse").alias("score")).join(sized(scope.select("query_id", "kb_id")), ["query_id", "kb_id"], "left_semi")
-    hits = sized(top(scoped, ["query_id", "kb_id"], s.pool).drop("rank")).join(meta.select("item_id", "hash"), "item_id")
+    scoped = scores.select("query_id", "item_id", "kb_id", F.col("sparse").alias("score")).join(scope.select("query_id", "kb_id"), ["query_id", "kb_id"], "left_semi")
+    hits = top(scoped, ["query_id", "kb_id"], s.pool).drop("rank").join(meta.select("item_id", "hash"), "item_id")
     return ranked_by_kb(hits, scope, s.cross_kb)
 
 
@@ -106,55 +109,65 @@ def _unit(rows: list[list[float]], dim: int) -> np.ndarray:
 def dense_leg(queries: DataFrame, vectors: DataFrame, scope: DataFrame, s: Settings) -> DataFrame:
     """Hits by cosine, the best for each query and knowledge base; vectors are (kb_id, item_id, hash, vector).
 
-    Queries are broadcast in blocks of bounded size; a task multiplies its vectors with a block's and keeps the
-    best for each query and knowledge base, so a scan of the vectors emits a few rows for each query."""
+    Vectors are dealt to shards and queries to blocks of bounded size; a task multiplies one with the other and
+    gives the best of its shard for each query and knowledge base."""
     asked = queries.select("query_id", "vector").filter("vector IS NOT NULL")
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    where = scope.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    usable = vectors.select("kb_id", "item_id", "vector").filter("vector IS NOT NULL")
-    parts = []
-    for k in range(blocks):
-        rows = asked.filter(F.col("block") == k).collect()
-        kbs: dict[int, list[int]] = {}
-        place = {r.query_id: i for i, r in enumerate(rows)}
-        for r in where.filter(F.col("block") == k).collect():
-            if r.query_id in place:
-                kbs.setdefault(r.kb_id, []).append(place[r.query_id])
-        if not rows:
-            continue
-        dim = len(rows[0].vector)
-        if any(len(r.vector) != dim for r in rows):
-            raise ValueError("query vectors differ in their dimension")
-        parts.append(usable.mapInArrow(_dense_scores(np.array([r.query_id for r in rows]), _unit([r.vector for r in rows], dim), kbs, s.pool), _LEG))
-    if not parts:
-        return queries.sparkSession.createDataFrame([], "query_id long, hash string, item_id long, kb_id int, rank int, score double")
-    hits = top(reduce(DataFrame.unionByName, parts), ["query_id", "kb_id"], s.pool).drop("rank")
-    hits = sized(hits).join(vectors.select("item_id", "hash"), "item_id")
+    asked = asked.join(scope.groupBy("query_id").agg(F.collect_list("kb_id").alias("kbs")), "query_id")
+    usable = vectors.select("kb_id", "item_id", "hash", "vector").filter("vector IS NOT NULL")
+    blocks, shards = (max(1, -(-df.count() // n)) for df, n in ((queries.select("query_id"), QUERY_BLOCK), (vectors.select("item_id"), VECTOR_SHARD)))
+    shards = max(shards, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks)
+    dealt = lambda df, key, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    left = dealt(usable, "item_id", "s", shards, "b", blocks).groupBy("s", "b")
+    right = dealt(asked, "query_id", "b", blocks, "s", shards).groupBy("s", "b")
+    hits = top(left.cogroup(right).applyInArrow(_dense_scores(s.pool), _LEG), ["query_id", "kb_id"], s.pool).drop("rank")
     return ranked_by_kb(hits, scope, s.cross_kb)
 
 
-def _dense_scores(ids: np.ndarray, q: np.ndarray, kbs: dict[int, list[int]], pool: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            kb, item = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-            column = b.column(2)
-            if set(np.unique(np.asarray(pc.list_value_length(column))).tolist()) - {q.shape[1]}:
+def _units(column: pa.ChunkedArray) -> np.ndarray:
+    """The vectors of a column at unit length; all must have one dimension."""
+    lens = np.unique(pc.list_value_length(column).to_numpy())
+    if len(lens) > 1:
+        raise ValueError("vectors differ in their dimension")
+    x = np.asarray(pc.list_flatten(column), np.float64).reshape(len(column), -1)
+    return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
+
+
+def _dense_scores(pool: int):
+    names = ["query_id", "kb_id", "item_id", "score"]
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        out: list[list[np.ndarray]] = [[], [], [], []]
+        held: list[np.ndarray] = [np.zeros(0, np.int64)]  # rows of a
+        if a.num_rows and b.num_rows:
+            kb, item, x = a.column("kb_id").to_numpy(), a.column("item_id").to_numpy(), _units(a.column("vector"))
+            ids, q = b.column("query_id").to_numpy(), _units(b.column("vector"))
+            if x.shape[1] != q.shape[1]:
                 raise ValueError("a vector's dimension differs from the queries'")
-            off = np.asarray(column.offsets)
-            x = _unit(np.asarray(column.values)[off[0] : off[-1]], q.shape[1])
-            out: list[list[np.ndarray]] = [[], [], [], []]
+            asked: dict[int, list[int]] = {}
+            for i, kbs in enumerate(b.column("kbs").to_pylist()):
+                for k in set(kbs):
+                    asked.setdefault(k, []).append(i)
             for k in np.unique(kb).tolist():
-                asked, here = kbs.get(k, []), np.flatnonzero(kb == k)
-                if not asked:
-                    continue
-                scores = np.round(q[asked] @ x[here].T, 6)
-                for row, i in zip(scores, asked, strict=True):
-                    pick = np.lexsort((item[here], -row))[:pool]
-                    for c, v in zip(out, (np.full(len(pick), ids[i]), np.full(len(pick), k, np.int32), item[here[pick]], row[pick]), strict=True):
-                        c.append(v)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["query_id", "kb_id", "item_id", "score"])
+                here, rows = np.flatnonzero(kb == k), np.array(asked.get(k, []), int)
+                here = here[np.argsort(item[here], kind="stable")]
+                for at in range(0, len(rows), 256):
+                    part = rows[at : at + 256]
+                    scores = np.round(q[part] @ x[here].T, 6)
+                    if len(here) > pool:  # all that reach the pool's last score stay: ties go by item
+                        least = -np.partition(-scores, pool - 1, axis=1)[:, pool - 1 : pool]
+                        r, c = np.nonzero(scores >= least)
+                    else:
+                        r, c = np.nonzero(np.ones(scores.shape, bool))
+                    order = np.lexsort((c, -scores[r, c], r))
+                    r, c = r[order], c[order]
+                    nth = np.arange(len(r)) - np.searchsorted(r, r)
+                    r, c = r[nth < pool], c[nth < pool]
+                    for o, v in zip(out, (ids[part[r]], np.full(len(r), k, np.int32), item[here[c]], scores[r, c]), strict=True):
+                        o.append(v)
+                    held.append(here[c])
+        kinds = (np.int64, np.int32, np.int64, np.float64)
+        found = {n: np.concatenate([np.zeros(0, t), *c]) for n, c, t in zip(names, out, kinds, strict=True)}
+        return pa.table(found | {"hash": a.column("hash").take(pa.array(np.concatenate(held))) if a.num_rows else pa.array([], pa.string())})
 
     return run
 
@@ -179,16 +192,41 @@ def rrf_merge(legs: dict[str, DataFrame], s: Settings, top_k: int | None = None)
 
 
 class Index:
-    """Items with the structures that the legs read; postings are computed once and kept."""
+    """Items with the structures that the legs read: postings and hashes are computed once. They are kept in
+    memory and on disk until release(), or stored by save() for later sessions."""
 
     def __init__(self, items: DataFrame, vectors: DataFrame | None = None):
         """items (kb_id, item_id, hash, text); vectors (kb_id, item_id, hash, vector)."""
         self.posts = postings(items).persist()
         self.frequencies = document_frequencies(self.posts)
         self.items = items.count()
-        self.meta = items.select("item_id", "hash")
+        self.meta = items.select("item_id", "hash").persist()
         self.vectors = vectors
 
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> Index:
+        """The index that save() stored under path: queries read it without a look at the texts."""
+        out = object.__new__(cls)
+        read = lambda name: spark.read.parquet(f"{path}/{name}")
+        out.posts, out.frequencies, out.meta = read("postings"), read("frequencies"), read("items")
+        out.items = out.meta.count()
+        has_vectors = "vectors" in [r.name for r in read("parts").collect()]
+        out.vectors = read("vectors") if has_vectors else None
+        return out
+
+    def save(self, path: str) -> None:
+        """Store all structures under path, postings in the order of their terms."""
+        self.posts.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        parts = {"frequencies": self.frequencies, "items": self.meta} | ({"vectors": self.vectors} if self.vectors is not None else {})
+        for name, df in parts.items():
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
+        names = [(n,) for n in ("postings", *parts)]
+        self.posts.sparkSession.createDataFrame(names, "name string").coalesce(1).write.mode("overwrite").parquet(f"{path}/parts")
+
+    def release(self) -> None:
+        self.posts.unpersist()
+        self.meta.unpersist()
+
     def scores(self, queries: DataFrame) -> DataFrame:
         return text_scores(queries, self.posts, self.frequencies, self.items)
 
@@ -196,6 +234,8 @@ class Index:
         """Hybrid search over the enabled legs. Blank queries find nothing by text."""
         s = s or Settings()
         legs: dict[str, DataFrame] = {}
+        scope = scope.persist()  # a few numbers for each query
+        scope = bounded(scope, scope.count())
         if s.dense_enabled and self.vectors is not None:
             legs["dense"] = dense_leg(queries, self.vectors, scope, s)
         if s.sparse_enabled or s.exact_enabled:
@@ -205,7 +245,7 @@ class Index:
             if s.sparse_enabled:
                 legs["sparse"] = sparse_leg(scores, self.meta, scope, s)
             if s.exact_enabled:
-                legs["exact"] = exact_leg(scores, self.meta, scope, s)
+                legs["exact"] = exact_leg(scores, self.meta, scope, s, queries.select("query_id").count())
         if not legs:
             raise ValueError("no leg is enabled")
         return rrf_merge(legs, s, top_k)

@@ -32,8 +32,9 @@ def scope_own(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scope_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each query searches all knowledge bases, in the order of their ids."""
-    kb = S.knowledge_bases(spark, sf_dir).select(F.col("id").alias("kb_id"), F.col("id").alias("kb_pos"))
-    return S.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id")).join(F.broadcast(kb), F.lit(True))
+    kbs = S.knowledge_bases(spark, sf_dir).agg(F.collect_list("id")).scalar()
+    q = S.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(kbs).alias("kb_id"))
+    return q.select("query_id", "kb_id", F.col("kb_id").alias("kb_pos"))
 
 
 def ranked(df: DataFrame) -> DataFrame:
