@@ -185,3 +185,15 @@ def ascii_json(c: Column) -> Column:
 def ints(c: Column) -> Column:
     """Comma-separated integers; a bad one is an error."""
     return F.transform(F.split(c, ","), lambda x: F.trim(x).cast("int"))
+
+
+def relative_time(then: Column, now: Column) -> Column:
+    """How long ago: the largest whole unit of days, hours or minutes ("3 hours ago"), else "just now"."""
+    seconds = F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(then.cast("timestamp"))
+    said = lambda unit, size: F.when(seconds >= size, F.concat(F.floor(seconds / size).cast("string"), F.lit(f" {unit}"), F.when(seconds >= 2 * size, F.lit("s")).otherwise(F.lit("")), F.lit(" ago")))
+    return F.coalesce(said("day", 86_400), said("hour", 3_600), said("minute", 60), F.when(seconds.isNotNull(), F.lit("just now")))
+
+
+def percent(score: Column) -> Column:
+    """A score as a percentage with one decimal place."""
+    return F.format_string("%.1f%%", F.round(score * 100, 1))

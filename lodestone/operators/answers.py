@@ -27,6 +27,20 @@ def history(messages: DataFrame) -> DataFrame:
     return kept.groupBy("chat_id").agg(F.array_sort(F.collect_list(F.struct("id", "role", "content"))).alias("history"))
 
 
+def rewrite_requests(questions: DataFrame, turns: DataFrame) -> DataFrame:
+    """(chat_id, request): messages that ask a language model for a standalone question, of chats with a history
+    (a result of ``history``): the instruction, the turns, the question."""
+    message = lambda role, content: F.struct(role.alias("role"), content.alias("content"))
+    past = F.transform("history", lambda x: message(F.when(x["role"] == "user", F.lit("human")).otherwise(F.lit("ai")), x["content"]))
+    request = F.concat(F.array(message(F.lit("system"), F.lit(REWRITE_PROMPT))), past, F.array(message(F.lit("human"), F.col("question"))))
+    return questions.join(turns.filter(F.size("history") > 0), "chat_id").select("chat_id", request.alias("request"))
+
+
+def payload(chunks: DataFrame, text: str = "chunk_text") -> DataFrame:
+    """Columns of a hit's payload: all but its text."""
+    return chunks.drop(text)
+
+
 def standalone(queries: DataFrame, rewrites: DataFrame | None = None) -> DataFrame:
     """queries with the question that is searched: the rewritten one (query_id, rewrite) where there is one."""
     if rewrites is None:

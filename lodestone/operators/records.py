@@ -134,3 +134,39 @@ def first_per(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
 def answered(messages: DataFrame, answers: DataFrame) -> DataFrame:
     """Messages with the placeholders' content (id, content) filled in."""
     return messages.join(answers.select("id", F.col("content").alias("new")), "id", "left").withColumn("content", F.coalesce("new", "content")).drop("new").select(*messages.columns)
+
+
+def by_file_name(files: DataFrame, results: DataFrame) -> DataFrame:
+    """files with the result of each one's upload, found by file_name; of several results of a name, that with the
+    smallest id counts. Files without a result have nulls."""
+    rest = [c for c in results.columns if c not in ("id", "file_name")]
+    first = results.groupBy("file_name").agg(*[F.min_by(c, "id").alias(c) for c in rest])
+    return files.join(first, "file_name", "left")
+
+
+def dashboard(kbs: DataFrame, chats: DataFrame) -> DataFrame:
+    """(user_id, knowledge_bases, chats): how many of each an owner has."""
+    one, zero = F.lit(1).alias("k"), F.lit(0).alias("k")
+    rows = kbs.select("user_id", one).unionByName(chats.select("user_id", zero))
+    return rows.groupBy("user_id").agg(F.count_if(F.col("k") == 1).alias("knowledge_bases"), F.count_if(F.col("k") == 0).alias("chats"))
+
+
+def first_task_status(tasks: DataFrame) -> DataFrame:
+    """(document_id, status): the state of the task with the smallest id of every document."""
+    return tasks.groupBy("document_id").agg(F.min_by("status", "id").alias("status"))
+
+
+def new_uploads(files: DataFrame, documents: DataFrame, now: Column) -> DataFrame:
+    """Pending upload rows of files (kb_id, file_name, file_hash, file_size, content_type) that their knowledge base
+    doesn't hold unchanged; staged below a temporary path until they are processed."""
+    fresh = upload_status(files, documents).filter("status = 'pending'")
+    path = F.concat(F.lit("kb_"), F.col("kb_id").cast("string"), F.lit("/temp/"), F.col("file_name"))
+    return fresh.select(F.col("kb_id").alias("knowledge_base_id"), "file_name", "file_hash", "file_size", "content_type", path.alias("temp_path"), now.alias("created_at"), "status", F.lit(None).cast("string").alias("error_message"))
+
+
+def asked(messages: DataFrame, questions: DataFrame) -> DataFrame:
+    """messages with each chat's question (chat_id, content) appended, and an empty answer to be filled later."""
+    last = messages.groupBy("chat_id").agg(F.max("id").alias("last"))
+    new = questions.join(last, "chat_id", "left").withColumn("last", F.coalesce("last", F.col("chat_id") * 1000))
+    turn = lambda k, role, content: new.select((F.col("last") + k).alias("id"), "chat_id", F.lit(role).alias("role"), content.alias("content"))
+    return messages.select("id", "chat_id", "role", "content").unionByName(turn(1, "user", F.col("content"))).unionByName(turn(2, "assistant", F.lit("")))

@@ -71,7 +71,7 @@ def text_scores(queries: DataFrame, posts: DataFrame, frequencies: DataFrame, it
     asked = bounded(asked, size)
     known = frequencies.join(asked.select("term").distinct(), "term", "left_semi")
     qw = F.ln(1 + F.col("qtf"))
-    asked = asked.join(bounded(known, size), "term").withColumn("qw", qw / F.sqrt(F.sum(qw * qw).over(Window.partitionBy("query_id"))))
+    asked = asked.withColumn("qw", qw / F.sqrt(F.sum(qw * qw).over(Window.partitionBy("query_id")))).join(bounded(known, size), "term")
     matched = posts.join(bounded(asked.select("query_id", "term", "df", "qw"), size), "term")
     if model == "tfidf2":
         weight = F.col("tf") * F.pow(F.log10(F.lit(float(items)) / F.col("df")), 2)

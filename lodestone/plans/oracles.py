@@ -82,9 +82,8 @@ def hybrid(scope: str, order: str, legs: tuple[str, ...] = ("dense", "sparse", "
 
 
 STRIP = "regexp_replace({0}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
-FIRST3 = f"""firsts AS (SELECT {KB} AS kb_id, doc_id AS item_id, substr(text, 1, 200) AS t FROM documents QUALIFY row_number() OVER (PARTITION BY {KB} ORDER BY doc_id) <= 3),
-      hits AS (SELECT b.item_id AS query_id, f.kb_id, f.item_id, f.t, row_number() OVER (PARTITION BY b.item_id ORDER BY f.item_id) AS n
-        FROM benchmark b JOIN firsts f ON f.kb_id = b.item_id % 20),
+HITS = f"""found AS ({hybrid('own', 'sequential')}),
+      hits AS (SELECT query_id, f.kb_id, item_id, text AS t, rank + 1 AS n FROM found f JOIN documents ON doc_id = item_id),
       packed AS (SELECT query_id, string_agg('[' || n || '] ' || t, chr(10) || chr(10) ORDER BY n) AS context, count(*) AS passages FROM hits GROUP BY query_id)"""
 UPLOADS = "uploads AS (SELECT event_id AS id, user_id % 20 AS knowledge_base_id, 'up_' || event_id AS file_name, ts AS created_at FROM events)"
 LOG = "log AS (SELECT event_id, user_id AS task_id, user_id % 20 AS kb_id, ts, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' WHEN 'click' THEN 'processing' ELSE 'pending' END AS status FROM events)"
@@ -97,6 +96,12 @@ def _prompt() -> str:
     return SYSTEM_PROMPT.replace("'", "''")
 
 
+def _rewrite() -> str:
+    from lodestone.operators.answers import REWRITE_PROMPT
+
+    return REWRITE_PROMPT.replace("'", "''")
+
+
 def _preview() -> str:
     """The preview of the last message, by the same replacements in DuckDB's pattern language."""
     r = lambda c, p, to="", o="g": f"regexp_replace({c}, '{p}', '{to}', '{o}')"
@@ -114,7 +119,7 @@ def _preview() -> str:
 
 SQL: dict[str, str] = {
     "doc_catalog": f"WITH {DOCS} SELECT id, kb AS knowledge_base_id, file_name, file_size, file_hash, '.txt' AS ext, 'text/plain' AS content_type, 'user_' || kb % 4 || '/kb_' || kb || '/' || file_name AS file_path, 'txt' AS icon FROM docs",
-    "kb_doc_counts": f"WITH {KBS}, {DOCS} SELECT k.id, k.name, k.user_id, count(d.id) AS documents FROM kbs k LEFT JOIN docs d ON d.kb = k.id AND (d.id % 3 = 0 OR d.kb < 10) GROUP BY ALL",
+    "kb_doc_counts": f"WITH {KBS}, {DOCS} SELECT k.id, k.name, k.user_id, count(d.id) AS documents FROM kbs k LEFT JOIN docs d ON d.kb = k.id GROUP BY ALL",
     "owned_documents": f"WITH {KBS}, {DOCS} SELECT d.id, d.file_name, k.name AS kb_name, k.user_id FROM docs d JOIN kbs k ON k.id = d.kb WHERE k.user_id = 1",
     "file_dedup_status": f"WITH {DOCS} SELECT id, kb AS kb_id, file_name, CASE WHEN id % 3 = 0 THEN 'pending' ELSE 'exists' END AS status FROM docs",
     "content_hash_dedup": "SELECT sha256(text) AS hash, min(doc_id) AS item_id, count(*) AS copies FROM documents GROUP BY 1",
@@ -132,7 +137,7 @@ SQL: dict[str, str] = {
     "hybrid_search_sequential": hybrid("all", "sequential"),
     "hybrid_leg_ablation": hybrid("all", "global", ("dense", "exact")),
     "test_retrieval_topk": hybrid("own", "sequential"),
-    "rrf_merge": "WITH " + ", ".join(f"{n}_leg AS (SELECT doc_id % 7 AS query_id, sha256(CAST(doc_id AS VARCHAR)) AS hash, doc_id AS item_id, 0 AS kb_id, CAST(floor(doc_id / {k}.0) AS INTEGER) AS rank FROM documents WHERE doc_id % {m} = 0)" for n, m, k in (("dense", 2, 14), ("sparse", 3, 21), ("exact", 5, 35))) + ", " + merged(("dense", "sparse", "exact"), 24),
+    "rrf_merge": "WITH " + ", ".join(f"{n}_leg AS (SELECT doc_id % 7 AS query_id, sha256(CAST(doc_id AS VARCHAR)) AS hash, doc_id AS item_id, 0 AS kb_id, xor(CAST(floor(doc_id / 7.0) AS INTEGER), {k}) AS rank FROM documents)" for n, k in (("dense", 0), ("sparse", 1), ("exact", 2))) + ", " + merged(("dense", "sparse", "exact"), 24),
     "incremental_new_chunks": f"WITH {VERSIONS} SELECT id, document_id, chunk_index FROM added",
     "incremental_deleted_chunks": f"WITH {VERSIONS} SELECT id, document_id, chunk_index FROM gone",
     "upsert_result": f"WITH {VERSIONS} SELECT id, kb AS kb_id, document_id, chunk_index FROM old WHERE id NOT IN (SELECT id FROM gone) AND id NOT IN (SELECT id FROM added) UNION ALL SELECT id, kb, document_id, chunk_index FROM added",
@@ -148,7 +153,7 @@ SQL: dict[str, str] = {
     "task_all_done": f"WITH {LOG}, last AS (SELECT task_id, kb_id, arg_max(status, (ts, event_id)) AS status FROM log GROUP BY ALL) SELECT kb_id, bool_and(status IN ('completed', 'failed')) AS all_done, bool_or(status = 'failed') AS any_failed FROM last GROUP BY kb_id",
     "task_names": f"WITH {UPLOADS} SELECT id AS document_upload_id, 'pending' AS status, CASE WHEN id % 4 <> 0 THEN file_name END AS file_name FROM uploads",
     "document_or_upload": f"""WITH {DOCS}, {UPLOADS} SELECT b.item_id AS id, coalesce(d.file_name, u.file_name) AS file_name, CASE WHEN d.id IS NOT NULL THEN 'kb/' || d.file_name ELSE 'tmp/' || u.file_name END AS path,
-      CASE WHEN d.id IS NOT NULL THEN 'document' ELSE 'upload' END AS origin FROM benchmark b LEFT JOIN docs d ON d.id = b.item_id AND d.id % 2 = 0 LEFT JOIN uploads u ON u.id = b.item_id WHERE d.id IS NOT NULL OR u.id IS NOT NULL""",
+      CASE WHEN d.id IS NOT NULL THEN 'document' ELSE 'upload' END AS origin FROM benchmark b LEFT JOIN docs d ON d.id = b.item_id LEFT JOIN uploads u ON u.id = b.item_id WHERE d.id IS NOT NULL OR u.id IS NOT NULL""",
     "chat_list_preview": f"""WITH {MSG}, last AS (SELECT * FROM msg QUALIFY row_number() OVER (PARTITION BY chat_id ORDER BY id DESC) = 1), n AS (SELECT chat_id, count(*) AS messages FROM msg GROUP BY chat_id)
       SELECT chat_id AS id, 'Chat ' || chat_id AS title, chat_id % 4 AS user_id, messages, {_preview()} AS preview FROM last JOIN n USING (chat_id)""",
     "last_assistant_message": f"WITH {MSG} SELECT chat_id, max(id) AS message_id FROM msg WHERE role = 'assistant' GROUP BY chat_id",
@@ -159,17 +164,17 @@ SQL: dict[str, str] = {
     "identity_route": "SELECT item_id AS query_id, CASE WHEN item_id % 4 = 0 THEN 'identity' WHEN item_id % 3 = 0 THEN 'no_kb' ELSE 'search' END AS route FROM benchmark",
     "think_split": f"""WITH {MSG} SELECT id, CASE id % 3 WHEN 0 THEN 'a' WHEN 1 THEN ' b ' || content END AS think, id % 3 = 0 AS complete,
       CASE id % 3 WHEN 0 THEN {STRIP.format('content')} WHEN 1 THEN '' ELSE content END AS answer FROM msg WHERE role = 'assistant'""",
-    "citation_normalise": f"""WITH {MSG} SELECT id, '[citation](1) [citation](2) [citation](3)[citation](4) ' || CASE WHEN length(content) > 300 THEN substr(content, 1, 300) || '...' ELSE content END || ' [citation](' || id % 9 || ')' AS text FROM msg WHERE role = 'assistant'""",
-    "context_pack": f"WITH {FIRST3} SELECT query_id, context, CAST(passages AS INTEGER) AS passages FROM packed",
-    "prompt_render": f"""WITH {FIRST3} SELECT query_id, replace('{_prompt()}', '{{context}}', context) AS system, CASE WHEN query_id % 4 = 2 THEN 'rewritten' ELSE text END AS human FROM packed JOIN benchmark ON item_id = query_id""",
-    "context_envelope": f"""WITH {FIRST3} SELECT query_id, CAST(passages AS INTEGER) AS passages, text AS question, t AS first FROM packed JOIN benchmark b ON b.item_id = query_id JOIN hits USING (query_id) WHERE n = 1""",
-    "citation_enrich": f"""WITH {FIRST3}, {KBS} SELECT query_id AS answer_id, CAST(n AS INTEGER) AS number, CASE WHEN h.item_id % 5 <> 0 THEN kb_id END AS kb_id, CAST(CASE WHEN h.item_id % 5 <> 0 THEN h.item_id END AS INTEGER) AS document_id,
+    "citation_normalise": f"""WITH {MSG} SELECT id, '[citation](1) [citation](2) [citation](3)[citation](4) ' || regexp_replace(content, '\\[?\\[[cC]itation:(\\d+)\\]\\]?', '[citation](\\1)', 'g') || ' [citation](' || id % 9 || ')' AS text FROM msg WHERE role = 'assistant'""",
+    "context_pack": f"WITH {HITS} SELECT query_id, context, CAST(passages AS INTEGER) AS passages FROM packed",
+    "prompt_render": f"""WITH {HITS} SELECT query_id, replace('{_prompt()}', '{{context}}', context) AS system, CASE WHEN query_id % 4 = 2 THEN 'rewritten' ELSE text END AS human FROM packed JOIN benchmark ON item_id = query_id""",
+    "context_envelope": f"""WITH {HITS} SELECT query_id, CAST(passages AS INTEGER) AS passages, text AS question, t AS first FROM packed JOIN benchmark b ON b.item_id = query_id JOIN hits USING (query_id) WHERE n = 1""",
+    "citation_enrich": f"""WITH {HITS}, {KBS} SELECT query_id AS answer_id, CAST(n AS INTEGER) AS number, CASE WHEN h.item_id % 5 <> 0 THEN kb_id END AS kb_id, CAST(CASE WHEN h.item_id % 5 <> 0 THEN h.item_id END AS INTEGER) AS document_id,
       CASE WHEN h.item_id % 5 <> 0 THEN name END AS kb_name, CASE WHEN h.item_id % 5 <> 0 THEN 'doc_' || h.item_id || '.txt' END AS file_name FROM hits h JOIN kbs ON kbs.id = kb_id WHERE n <= 2""",
     "stream_frames": f"WITH {MSG} SELECT id AS body_id, content AS text, length(content) - length(replace(content, ' ', '')) + CASE WHEN content LIKE '% ' THEN 0 ELSE 1 END + CASE WHEN content LIKE '% ' THEN 1 ELSE 0 END AS parts, CAST(1 AS BIGINT) AS ends FROM msg",
     "title_search": "SELECT DISTINCT conv_id AS id, 'Chat ' || conv_id AS title FROM conversations WHERE 'chat ' || conv_id LIKE '%chat 1%'",
     "paged_list": "WITH c AS (SELECT DISTINCT conv_id AS id FROM conversations WHERE conv_id % 4 = 1) SELECT id, 'Chat ' || id AS title, id % 4 AS user_id FROM c ORDER BY id LIMIT 10 OFFSET 5",
     "kb_tree": f"WITH {KBS}, {DOCS} SELECT k.id, k.name, CAST(count(d.id) AS INTEGER) AS documents, CAST(count(d.id) FILTER (d.id % 2 = 0) AS INTEGER) AS with_tasks FROM kbs k LEFT JOIN docs d ON d.kb = k.id GROUP BY ALL",
-    "metadata_json_backfill": """SELECT doc_id AS item_id, substr(text, 1, 50) AS chunk_text, CAST(doc_id % 9 AS INTEGER) AS chunk_index, '{"source":"s"}' AS chunk_metadata FROM documents""",
+    "metadata_json_backfill": """SELECT doc_id AS item_id, text AS chunk_text, CAST(doc_id % 9 AS INTEGER) AS chunk_index, '{"source":"s"}' AS chunk_metadata FROM documents""",
     "props_json": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
     "raw_file_catalog": "SELECT page_id, 'Page' || page_id || '1.HTML' AS file_name, '.html' AS ext, 'application/octet-stream' AS content_type, sha256(html) AS file_hash, strlen(html) AS file_size FROM pages",
     "recall_at_k": f"""WITH {INDEX}, {SCOPE['all']}, {EXACT}, six AS ({merged(('exact',), 6).replace('every_leg AS', 'SELECT * FROM (WITH every_leg AS', 1)}) )
@@ -180,3 +185,25 @@ SQL["exact_search_bm25"] = f"""WITH {INDEX}, lens AS (SELECT item_id, len({TOKEN
         FROM qt JOIN df USING (term) JOIN posts p USING (term) JOIN lens ON lens.item_id = p.item_id, stats GROUP BY query_id, p.item_id),
       t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) - 1 AS rank FROM s WHERE score > 0 QUALIFY rank < 24)
       SELECT query_id, arg_min(item_id, rank) AS item_id, CAST(min(rank) AS INTEGER) AS rank, max(score) AS score FROM t GROUP BY query_id, hash"""
+SQL |= {
+    "upload_result_by_name": f"WITH {DOCS} SELECT id, file_name, CASE WHEN id % 4 <> 0 THEN CASE WHEN id % 3 = 0 THEN 'exists' ELSE 'pending' END END AS status FROM docs",
+    "dashboard_counts": f"""WITH {KBS}, c AS (SELECT DISTINCT conv_id AS id, conv_id % 4 AS user_id FROM conversations)
+      SELECT coalesce(k.user_id, c.user_id) AS user_id, coalesce(k.n, 0) AS knowledge_bases, coalesce(c.n, 0) AS chats
+      FROM (SELECT user_id, count(*) AS n FROM kbs GROUP BY 1) k FULL JOIN (SELECT user_id, count(*) AS n FROM c GROUP BY 1) c ON k.user_id = c.user_id""",
+    "first_task_status": f"WITH {LOG} SELECT task_id AS document_id, arg_min(status, event_id) AS status FROM log GROUP BY task_id",
+    "upload_ages": f"""WITH {UPLOADS}, s AS (SELECT id, epoch(TIMESTAMP '2024-01-25 00:00:00')::BIGINT - floor(epoch(created_at))::BIGINT AS s FROM uploads),
+      u AS (SELECT id, s, CASE WHEN s >= 86400 THEN 86400 WHEN s >= 3600 THEN 3600 ELSE 60 END AS size FROM s)
+      SELECT id, CASE WHEN s < 60 THEN 'just now' ELSE s // size || CASE size WHEN 86400 THEN ' day' WHEN 3600 THEN ' hour' ELSE ' minute' END || CASE WHEN s >= 2 * size THEN 's' ELSE '' END || ' ago' END AS age,
+        printf('%.1f', round((id % 997) / 997.0::DOUBLE * 100, 1)) || '%' AS score FROM u""",
+    "upload_insert": f"WITH {DOCS} SELECT kb AS knowledge_base_id, file_name, 'kb_' || kb || '/temp/' || file_name AS temp_path, 'pending' AS status FROM docs WHERE id % 3 = 0",
+    "message_append": f"""WITH {MSG}, last AS (SELECT chat_id, max(id) AS id FROM msg GROUP BY chat_id)
+      SELECT * FROM msg UNION ALL SELECT id + 1, chat_id, 'user', 'About Chat ' || chat_id FROM last UNION ALL SELECT id + 2, chat_id, 'assistant', '' FROM last""",
+    "condense_request": f"""WITH {MSG}, t AS (SELECT * FROM msg WHERE role IN ('user', 'assistant') AND id < (SELECT max(id) FROM msg m WHERE m.chat_id = msg.chat_id))
+      SELECT chat_id, CAST(count(*) + 2 AS INTEGER) AS messages, 'system: {_rewrite()}' || chr(10) || string_agg(CASE role WHEN 'user' THEN 'human' ELSE 'ai' END || ': ' || content, chr(10) ORDER BY id) || chr(10) || 'human: And Chat ' || chat_id AS request
+      FROM t GROUP BY chat_id""",
+    "hit_payload": f"WITH {DOCS}, {chunks('docs')} SELECT id, kb AS kb_id, document_id, file_name, chunk_index FROM chunks",
+    "chunk_preview": f"""WITH {DOCS}, c AS (SELECT id AS document_id, i AS chunk_index, substr(text, i * 400 + 1, 500) AS t
+        FROM (SELECT *, unnest(CASE WHEN length(text) = 0 THEN [] ELSE range(0, greatest(0, CAST(ceil((length(text) - 100) / 400.0) AS INTEGER) - 1) + 1) END) AS i FROM docs))
+      SELECT document_id, CAST(chunk_index AS INTEGER) AS chunk_index, sha256(t) AS hash FROM c""",
+    "upload_knowledge_bases": f"WITH {KBS}, {UPLOADS} SELECT u.id, u.file_name, k.name AS kb_name, k.user_id FROM uploads u JOIN kbs k ON k.id = u.knowledge_base_id WHERE k.user_id = 2",
+}

@@ -414,3 +414,72 @@ def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = found.join(docs.groupBy("hash").agg(F.min("text").alias("text")), "hash").join(F.broadcast(q.select("query_id", F.col("text").alias("passage"))), "query_id")
     hit = texts.groupBy("query_id").agg(F.count("*").alias("results"), F.count_if(F.contains("text", F.col("passage"))).alias("holding"))
     return hit.agg(F.count("*").alias("queries"), F.sum("results").alias("results"), F.sum("holding").alias("holding"))
+
+
+@query
+def upload_result_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as chosen files; every fourth has no result."""
+    files = S.documents(spark, sf_dir).select("id", "file_name")
+    results = files.filter("id % 4 <> 0").select((-F.col("id")).alias("id"), "file_name", F.when(F.col("id") % 3 == 0, "exists").otherwise("pending").alias("status"))
+    return records.by_file_name(files, results).select("id", "file_name", "status")
+
+
+@query
+def dashboard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.dashboard(S.knowledge_bases(spark, sf_dir), S.chats(spark, sf_dir))
+
+
+@query
+def first_task_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = S.task_log(spark, sf_dir).select(F.col("event_id").alias("id"), F.col("task_id").alias("document_id"), "status")
+    return records.first_task_status(log)
+
+
+@query
+def upload_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    up = S.uploads(spark, sf_dir)
+    return up.select("id", T.relative_time(F.col("created_at"), F.lit(NOW).cast("timestamp_ntz")).alias("age"), T.percent((F.col("id") % 997) / F.lit(997.0)).alias("score"))
+
+
+@query
+def upload_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents come again, every third with changed text: these are new uploads."""
+    d = S.documents(spark, sf_dir)
+    files = d.select(F.col("knowledge_base_id").alias("kb_id"), "file_name", F.when(F.col("id") % 3 == 0, T.content_hash(F.concat("text", F.lit("!")))).otherwise(F.col("file_hash")).alias("file_hash"), "file_size", F.lit("text/plain").alias("content_type"))
+    return records.new_uploads(files, d, F.lit(NOW).cast("timestamp_ntz")).select("knowledge_base_id", "file_name", "temp_path", "status")
+
+
+@query
+def message_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question to every chat, and the answer that is to be filled."""
+    m, chats = S.messages(spark, sf_dir), S.chats(spark, sf_dir)
+    return records.asked(m, chats.select(F.col("id").alias("chat_id"), F.concat(F.lit("About "), "title").alias("content")))
+
+
+@query
+def condense_request(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = S.messages(spark, sf_dir)
+    questions = S.chats(spark, sf_dir).select(F.col("id").alias("chat_id"), F.concat(F.lit("And "), "title").alias("question"))
+    r = answers.rewrite_requests(questions, answers.history(m))
+    lines = F.array_join(F.transform("request", lambda x: F.concat(x["role"], F.lit(": "), x["content"])), "\n")
+    return r.select("chat_id", F.size("request").alias("messages"), lines.alias("request"))
+
+
+@query
+def hit_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All columns of a chunk but its text."""
+    c = chunking.with_ids(_chunks(spark, sf_dir)).select("id", "kb_id", "document_id", "file_name", "chunk_text", "chunk_index")
+    return answers.payload(c)
+
+
+@query
+def chunk_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of 500 characters with an overlap of 100 of all documents that are asked for, without ids or store."""
+    d = S.documents(spark, sf_dir).select(F.col("knowledge_base_id").alias("kb_id"), F.col("id").alias("document_id"), "file_name", "text")
+    return chunking.chunk_fixed(d, size=500, overlap=100).select("document_id", "chunk_index", T.content_hash(F.col("chunk_text")).alias("hash"))
+
+
+@query
+def upload_knowledge_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uploads of one owner's knowledge bases."""
+    return records.owned_documents(S.uploads(spark, sf_dir), S.knowledge_bases(spark, sf_dir), 2).select("id", "file_name", "kb_name", "user_id")
