@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy pass works on; a longer document is a pass of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _M = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
@@ -81,7 +81,7 @@ def _power(base: int, n: int) -> np.ndarray:
         out[0] = 1
         with np.errstate(over="ignore"):
             np.multiply.accumulate(out, out=out)
-        if n > 4 * CHUNK_BYTES:
+        if n > 2 * CHUNK_BYTES:  # powers for a longer text aren't kept
             return out
         _powers[base] = have = out
     return have[:n]

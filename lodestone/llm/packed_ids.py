@@ -42,7 +42,7 @@ ENCODE_BYTES = 1 << 20
 #: Blocks of a file: about 64 MB at 16 bits, so that a file can be read as one row.
 FILE_BLOCKS = 127
 #: Words kept between chunks by a worker; beyond it the table starts anew.
-TABLE_WORDS = 500_000
+TABLE_WORDS = 700_000
 _BEFORE, _AFTER = np.zeros(256, bool), np.zeros(256, bool)
 _BEFORE[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
 _AFTER[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = True

@@ -70,16 +70,30 @@ def _strings(text: bytes, n: int) -> set[bytes]:
     return {text[i : i + n] for i in range(len(text) - n + 1)}
 
 
+def _places(text: bytes, n: int) -> np.ndarray:
+    """A number below 2**22 for each string of n bytes of text."""
+    a = np.frombuffer(text, np.uint8).astype(np.uint64)
+    h = np.zeros(max(0, len(a) - n + 1), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(n if len(h) else 0):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + a[k : k + len(h)]
+        return (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(42)
+
+
 def _telling(toxic: list[bytes], ordinary: list[bytes], n: int) -> dict[bytes, float]:
-    """Strings of n bytes with their surprise, where chance is too unlikely to have put them into so many toxic texts."""
+    """Strings of n bytes with their surprise, where chance is too unlikely to have put them into so many toxic
+    texts. Strings are counted by hashes first, so that only those that can suffice are held."""
     prior = len(toxic) / (len(toxic) + len(ordinary))
+    met = np.zeros(1 << 22, np.int32)
+    for t in toxic:
+        met[np.unique(_places(t, n))] += 1
+    least = next((c for c in range(1, len(toxic) + 1) if _surprise(c, 0, prior) >= SURPRISE), len(toxic) + 1)
     a: Counter[bytes] = Counter()
     for t in toxic:
-        a.update(_strings(t, n))
-    a = {g: c for g, c in a.items() if _surprise(c, 0, prior) >= SURPRISE}
+        a.update({t[i : i + n] for i in np.flatnonzero(met[_places(t, n)] >= least).tolist()})
     b: Counter[bytes] = Counter()
     for t in ordinary:
-        b.update(a.keys() & _strings(t, n))
+        b.update(a.keys() & {t[i : i + n] for i in np.flatnonzero(met[_places(t, n)] >= least).tolist()})
     return {g: x for g, c in a.items() if (x := _surprise(c, b[g], prior)) >= SURPRISE}
 
 
