@@ -98,3 +98,16 @@ def test_index_switches_and_limits(spark, corpus):
     assert ix.search(queries(spark, [(1, " ", None)]), s).count() == 0
     with pytest.raises(ValueError):
         ix.search(q, s, Settings(dense_enabled=False, sparse_enabled=False, exact_enabled=False))
+
+
+def test_a_stored_index_gives_the_same_results(spark, data, tmp_path):
+    from lodestone.plans import queries as Q
+    from lodestone.sources import tables as S
+
+    own = Q.index(spark, data)
+    own.save(str(tmp_path / "index"))
+    stored = search.Index.open(spark, str(tmp_path / "index"))
+    asked, scope = S.search_queries(spark, data), Q.scope_own(spark, data)
+    pick = lambda ix: sorted(map(str, Q.ranked(ix.search(asked, scope)).collect()))
+    assert pick(stored) == pick(own)
+    own.release()
