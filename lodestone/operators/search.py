@@ -1,8 +1,7 @@
 """Dense, sparse and exact legs of hybrid search, and their fusion by weighted reciprocal ranks.
 
-All legs answer a batch of queries in one plan. Queries are (query_id, text, vector); their scope is a table
-(query_id, kb_id, kb_pos) of the knowledge bases that each one searches, in order. Sides are broadcast by bounds that
-follow from the number of queries; no leg is computed to learn its size.
+All legs answer a batch of queries. Queries are (query_id, text, vector); their scope is a table (query_id, kb_id, kb_pos)
+of the knowledge bases that each one searches, in order. Both text legs come from one pass over a stored index.
 """
 
 from __future__ import annotations
@@ -18,10 +17,11 @@ from pyspark.sql import functions as F
 
 from lodestone.config import Settings
 from lodestone.functions.text import tokens
-from lodestone.operators.scale import bounded
+from lodestone.operators.index import EXACT, SEEN, SPARSE, TextIndex
+from lodestone.operators.scale import shared_path, staged
 
-#: Queries and vectors that a task of the dense leg holds at once.
-QUERY_BLOCK, VECTOR_SHARD = 2048, 1 << 17
+#: Queries, and numbers in vectors, that a task of the dense leg holds at once.
+QUERY_BLOCK, VECTOR_NUMBERS = 2048, 1 << 23
 _LEG = "query_id long, kb_id int, item_id long, hash string, score double"
 
 
@@ -39,11 +39,6 @@ def document_frequencies(posts: DataFrame) -> DataFrame:
     return posts.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """(query_id, term, qtf) of each query's distinct terms."""
-    return queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-
-
 def top(scored: DataFrame, keys: list[str], n: int, rank: str = "rank") -> DataFrame:
     """The n best rows for each key with ranks from 0: by score, then item_id."""
     order = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "item_id")
@@ -59,51 +54,17 @@ def ranked_by_kb(hits: DataFrame, scope: DataFrame, cross_kb: str) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)) - 1).select("query_id", "hash", "item_id", "kb_id", "rank", "score")
 
 
-def text_scores(queries: DataFrame, posts: DataFrame, frequencies: DataFrame, items: int, model: str = "tfidf2", lengths: DataFrame | None = None) -> DataFrame:
-    """(query_id, item_id, kb_id, exact, sparse) of every query and item with a common term, in one pass.
-
-    exact, by model "tfidf2": the sum of tf * idf ** 2 over the query's distinct terms, with idf = log10(items /
-    df) over all items, whatever the scope; "bm25": k1 1.2 and b 0.75, with lengths (item_id, length).
-    sparse: the inner product of vectors with weights ln(1 + tf), scaled to unit length; a lexical stand-in for
-    a learned encoder, whose weights can be given as postings."""
-    asked = query_terms(queries).persist()  # a few terms for each query; counted, joined and counted by
-    size = asked.count()
-    asked = bounded(asked, size)
-    known = frequencies.join(asked.select("term").distinct(), "term", "left_semi")
-    qw = F.ln(1 + F.col("qtf"))
-    asked = asked.withColumn("qw", qw / F.sqrt(F.sum(qw * qw).over(Window.partitionBy("query_id")))).join(bounded(known, size), "term")
-    matched = posts.join(bounded(asked.select("query_id", "term", "df", "qw"), size), "term")
-    if model == "tfidf2":
-        weight = F.col("tf") * F.pow(F.log10(F.lit(float(items)) / F.col("df")), 2)
-    else:
-        mean = lengths.agg(F.avg("length")).head()[0] or 1.0
-        matched = matched.join(lengths, "item_id")
-        idf = F.ln(1 + (F.lit(float(items)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        weight = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("length") / mean))
-    w = F.ln(1 + F.col("tf"))
-    sums = matched.groupBy("item_id", "kb_id", "query_id").agg(F.sum(weight).alias("exact"), F.sum(F.col("qw") * w).alias("dot"))
-    norms = posts.groupBy("item_id").agg(F.sqrt(F.sum(w * w)).alias("norm"))
-    return sums.join(norms, "item_id").select("query_id", "item_id", "kb_id", F.round("exact", 6).alias("exact"), F.round(F.col("dot") / F.col("norm"), 6).alias("sparse"))
-
-
-def exact_leg(scores: DataFrame, meta: DataFrame, scope: DataFrame, s: Settings, queries: int | None = None) -> DataFrame:
-    """Full-text hits over all of a query's knowledge bases, ranked over rows: copies of a text leave gaps.
-    scores are those of text_scores, meta is (item_id, hash), queries is how many there are, if known. A query without a term finds nothing."""
-    scoped = scores.select("query_id", "item_id", "kb_id", F.col("exact").alias("score")).filter("score > 0").join(scope.select("query_id", "kb_id"), ["query_id", "kb_id"], "left_semi")
-    best = bounded(top(scoped, ["query_id"], s.pool), queries and queries * s.pool).join(meta.select("item_id", "hash"), "item_id")
+def exact_leg(hits: DataFrame, s: Settings) -> DataFrame:
+    """Full-text hits over all of a query's knowledge bases, ranked over rows: copies of a text leave gaps. hits are those of
+    TextIndex.text_hits. A query without a term finds nothing."""
+    best = top(hits.filter(F.col("kind") == EXACT), ["query_id"], s.pool)
     return best.groupBy("query_id", "hash").agg(F.min("rank").alias("rank"), F.min_by("item_id", "rank").alias("item_id"), F.min_by("kb_id", "rank").alias("kb_id"), F.max("score").alias("score"))
 
 
-def sparse_leg(scores: DataFrame, meta: DataFrame, scope: DataFrame, s: Settings) -> DataFrame:
+def sparse_leg(hits: DataFrame, scope: DataFrame, s: Settings) -> DataFrame:
     """Hits by sparse vectors, the best for each query and knowledge base."""
-    scoped = scores.select("query_id", "item_id", "kb_id", F.col("sparse").alias("score")).join(scope.select("query_id", "kb_id"), ["query_id", "kb_id"], "left_semi")
-    hits = top(scoped, ["query_id", "kb_id"], s.pool).drop("rank").join(meta.select("item_id", "hash"), "item_id")
-    return ranked_by_kb(hits, scope, s.cross_kb)
-
-
-def _unit(rows: list[list[float]], dim: int) -> np.ndarray:
-    x = np.array(rows, np.float64).reshape(-1, dim)
-    return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
+    best = top(hits.filter(F.col("kind") == SPARSE), ["query_id", "kb_id"], s.pool)
+    return ranked_by_kb(best.select("query_id", "kb_id", "item_id", "hash", "score"), scope, s.cross_kb)
 
 
 def dense_leg(queries: DataFrame, vectors: DataFrame, scope: DataFrame, s: Settings) -> DataFrame:
@@ -114,7 +75,8 @@ def dense_leg(queries: DataFrame, vectors: DataFrame, scope: DataFrame, s: Setti
     asked = queries.select("query_id", "vector").filter("vector IS NOT NULL")
     asked = asked.join(scope.groupBy("query_id").agg(F.collect_list("kb_id").alias("kbs")), "query_id")
     usable = vectors.select("kb_id", "item_id", "hash", "vector").filter("vector IS NOT NULL")
-    blocks, shards = (max(1, -(-df.count() // n)) for df, n in ((queries.select("query_id"), QUERY_BLOCK), (vectors.select("item_id"), VECTOR_SHARD)))
+    numbers = usable.agg(F.sum(F.size("vector").cast("long"))).head()[0] or 0
+    blocks, shards = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-numbers // VECTOR_NUMBERS))
     shards = max(shards, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks)
     dealt = lambda df, key, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     left = dealt(usable, "item_id", "s", shards, "b", blocks).groupBy("s", "b")
@@ -191,61 +153,37 @@ def rrf_merge(legs: dict[str, DataFrame], s: Settings, top_k: int | None = None)
     return merged.select("query_id", "rank", "hash", "item_id", "kb_id", "score", "dense_rank", "sparse_rank", "exact_rank")
 
 
-class Index:
-    """Items with the structures that the legs read: postings and hashes are computed once. They are kept in
-    memory and on disk until release(), or stored by save() for later sessions."""
+class Index(TextIndex):
+    """Items and vectors in a stored index, searched by all legs."""
 
-    def __init__(self, items: DataFrame, vectors: DataFrame | None = None):
-        """items (kb_id, item_id, hash, text); vectors (kb_id, item_id, hash, vector)."""
-        self.posts = postings(items).persist()
-        self.frequencies = document_frequencies(self.posts)
-        self.items = items.count()
-        self.meta = items.select("item_id", "hash").persist()
-        self.vectors = vectors
+    def __init__(self, items: DataFrame, vectors: DataFrame | None = None, path: str | None = None):
+        """An index of items (kb_id, item_id, hash, text) and vectors (kb_id, item_id, hash, vector) under path, where it can be
+        opened and changed later; without one for this object's searches alone, in the shared folder."""
+        super().__init__(items.sparkSession, path or shared_path(items.sparkSession, "index"), once=path is None)
+        self.upsert(items, vectors)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Index:
-        """The index that save() stored under path: queries read it without a look at the texts."""
+        """The index that is stored under path."""
         out = object.__new__(cls)
-        read = lambda name: spark.read.parquet(f"{path}/{name}")
-        out.posts, out.frequencies, out.meta = read("postings"), read("frequencies"), read("items")
-        out.items = out.meta.count()
-        has_vectors = "vectors" in [r.name for r in read("parts").collect()]
-        out.vectors = read("vectors") if has_vectors else None
+        TextIndex.__init__(out, spark, path)
         return out
 
-    def save(self, path: str) -> None:
-        """Store all structures under path, postings in the order of their terms."""
-        self.posts.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        parts = {"frequencies": self.frequencies, "items": self.meta} | ({"vectors": self.vectors} if self.vectors is not None else {})
-        for name, df in parts.items():
-            df.write.mode("overwrite").parquet(f"{path}/{name}")
-        names = [(n,) for n in ("postings", *parts)]
-        self.posts.sparkSession.createDataFrame(names, "name string").coalesce(1).write.mode("overwrite").parquet(f"{path}/parts")
-
-    def release(self) -> None:
-        self.posts.unpersist()
-        self.meta.unpersist()
-
-    def scores(self, queries: DataFrame) -> DataFrame:
-        return text_scores(queries, self.posts, self.frequencies, self.items)
-
     def search(self, queries: DataFrame, scope: DataFrame, s: Settings | None = None, top_k: int | None = None) -> DataFrame:
         """Hybrid search over the enabled legs. Blank queries find nothing by text."""
         s = s or Settings()
         legs: dict[str, DataFrame] = {}
-        scope = scope.persist()  # a few numbers for each query
-        scope = bounded(scope, scope.count())
-        if s.dense_enabled and self.vectors is not None:
-            legs["dense"] = dense_leg(queries, self.vectors, scope, s)
-        if s.sparse_enabled or s.exact_enabled:
-            scores = self.scores(queries)
-            if s.sparse_enabled and s.exact_enabled:
-                scores = scores.persist()
+        vectors = self.vectors() if s.dense_enabled else None
+        if vectors is not None:
+            legs["dense"] = dense_leg(queries, vectors, scope, s)
+        kinds = [k for k, on in ((EXACT, s.exact_enabled), (SPARSE, s.sparse_enabled)) if on]
+        if kinds:
+            hits = self.text_hits(queries, scope, s.pool, kinds)
+            hits = staged(hits.filter(F.col("kind") != SEEN), "hits") if len(kinds) > 1 else hits
             if s.sparse_enabled:
-                legs["sparse"] = sparse_leg(scores, self.meta, scope, s)
+                legs["sparse"] = sparse_leg(hits, scope, s)
             if s.exact_enabled:
-                legs["exact"] = exact_leg(scores, self.meta, scope, s, queries.select("query_id").count())
+                legs["exact"] = exact_leg(hits, s)
         if not legs:
             raise ValueError("no leg is enabled")
         return rrf_merge(legs, s, top_k)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.config import Settings
 from lodestone.functions import text as T
 from lodestone.operators import answers, chunking, incremental, records, search
+from lodestone.operators.index import EXACT, SPARSE
 from lodestone.schema import migrate
 from lodestone.sources import tables as S
 
@@ -42,8 +43,8 @@ def ranked(df: DataFrame) -> DataFrame:
     return df.select("query_id", r("rank"), "item_id", r("kb_id"), F.round("score", 9).alias("score"), r("dense_rank"), r("sparse_rank"), r("exact_rank"))
 
 
-def index(spark: SparkSession, sf_dir: str) -> search.Index:
-    return search.Index(S.items(spark, sf_dir), S.vectors(spark, sf_dir))
+def index(spark: SparkSession, sf_dir: str, vectors: bool = True) -> search.Index:
+    return search.Index(S.items(spark, sf_dir), S.vectors(spark, sf_dir) if vectors else None)
 
 
 @query
@@ -117,17 +118,17 @@ def doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ix = index(spark, sf_dir)
-    leg = search.exact_leg(ix.scores(S.search_queries(spark, sf_dir)), ix.meta, scope_all(spark, sf_dir), Settings())
+    ix = index(spark, sf_dir, vectors=False)
+    s = Settings()
+    leg = search.exact_leg(ix.text_hits(S.search_queries(spark, sf_dir), scope_all(spark, sf_dir), s.pool, [EXACT]), s)
     return leg.select("query_id", "item_id", F.col("rank").cast("int").alias("rank"), "score")
 
 
 @query
 def exact_search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ix = index(spark, sf_dir)
-    lengths = S.items(spark, sf_dir).select("item_id", F.size(T.tokens(F.col("text"))).alias("length"))
-    scores = search.text_scores(S.search_queries(spark, sf_dir), ix.posts, ix.frequencies, ix.items, "bm25", lengths)
-    leg = search.exact_leg(scores, ix.meta, scope_all(spark, sf_dir), Settings())
+    ix = index(spark, sf_dir, vectors=False)
+    s = Settings()
+    leg = search.exact_leg(ix.text_hits(S.search_queries(spark, sf_dir), scope_all(spark, sf_dir), s.pool, [EXACT], "bm25"), s)
     return leg.select("query_id", "item_id", F.col("rank").cast("int").alias("rank"), "score")
 
 
@@ -139,8 +140,9 @@ def dense_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sparse_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ix = index(spark, sf_dir)
-    leg = search.sparse_leg(ix.scores(S.search_queries(spark, sf_dir)), ix.meta, scope_own(spark, sf_dir), Settings())
+    ix = index(spark, sf_dir, vectors=False)
+    s, scope = Settings(), scope_own(spark, sf_dir)
+    leg = search.sparse_leg(ix.text_hits(S.search_queries(spark, sf_dir), scope, s.pool, [SPARSE]), scope, s)
     return leg.select("query_id", "item_id", "kb_id", F.col("rank").cast("int").alias("rank"), "score")
 
 
@@ -410,7 +412,7 @@ def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of the documents that hold a benchmark passage word for word are among the six exact hits."""
     q = S.search_queries(spark, sf_dir)
     docs = S.items(spark, sf_dir)
-    found = index(spark, sf_dir).search(q, scope_all(spark, sf_dir), Settings(dense_enabled=False, sparse_enabled=False))
+    found = index(spark, sf_dir, vectors=False).search(q, scope_all(spark, sf_dir), Settings(dense_enabled=False, sparse_enabled=False))
     texts = found.join(docs.groupBy("hash").agg(F.min("text").alias("text")), "hash").join(F.broadcast(q.select("query_id", F.col("text").alias("passage"))), "query_id")
     hit = texts.groupBy("query_id").agg(F.count("*").alias("results"), F.count_if(F.contains("text", F.col("passage"))).alias("holding"))
     return hit.agg(F.count("*").alias("queries"), F.sum("results").alias("results"), F.sum("holding").alias("holding"))

@@ -5,6 +5,7 @@ import pytest
 
 from lodestone.config import Settings
 from lodestone.operators import search
+from lodestone.operators.index import EXACT, SPARSE
 
 
 def model(dense, sparse, exact, s, k):
@@ -62,7 +63,7 @@ def test_exact_scores_use_the_whole_table_and_leave_gaps(spark, corpus):
     ix = search.Index(corpus)
     s = scope(spark, [(1, 0, 0), (1, 1, 1), (2, 0, 0), (3, 0, 0)])
     q = queries(spark, [(1, "Apple pie?", None), (2, "  ", None), (3, "nothing", None)])
-    leg = search.exact_leg(ix.scores(q), ix.meta, s, Settings()).collect()
+    leg = search.exact_leg(ix.text_hits(q, s, 24, [EXACT]), Settings()).collect()
     idf = {t: math.log10(5 / n) for t, n in (("apple", 3), ("pie", 2))}
     got = {(r.query_id, r.hash): (r.rank, r.score, r.item_id) for r in leg}
     assert set(got) == {(1, "h1"), (1, "h2")}
@@ -73,9 +74,10 @@ def test_exact_scores_use_the_whole_table_and_leave_gaps(spark, corpus):
 def test_sparse_ranks_by_knowledge_base_first(spark, corpus):
     s = scope(spark, [(1, 1, 0), (1, 0, 1)])
     q, ix = queries(spark, [(1, "apple tart", None)]), search.Index(corpus)
-    leg = search.sparse_leg(ix.scores(q), ix.meta, s, Settings()).orderBy("rank").collect()
+    hits = ix.text_hits(q, s, 24, [SPARSE])
+    leg = search.sparse_leg(hits, s, Settings()).orderBy("rank").collect()
     assert [(r.hash, r.rank, r.item_id) for r in leg] == [("h1", 0, 3), ("h2", 1, 2)]
-    leg = search.sparse_leg(ix.scores(q), ix.meta, s, Settings(cross_kb="global")).orderBy("rank").collect()
+    leg = search.sparse_leg(hits, s, Settings(cross_kb="global")).orderBy("rank").collect()
     assert [r.hash for r in leg] == ["h2", "h1"]
 
 
@@ -105,9 +107,8 @@ def test_a_stored_index_gives_the_same_results(spark, data, tmp_path):
     from lodestone.sources import tables as S
 
     own = Q.index(spark, data)
-    own.save(str(tmp_path / "index"))
+    search.Index(S.items(spark, data), S.vectors(spark, data), str(tmp_path / "index"))
     stored = search.Index.open(spark, str(tmp_path / "index"))
     asked, scope = S.search_queries(spark, data), Q.scope_own(spark, data)
     pick = lambda ix: sorted(map(str, Q.ranked(ix.search(asked, scope)).collect()))
     assert pick(stored) == pick(own)
-    own.release()
