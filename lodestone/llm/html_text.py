@@ -10,8 +10,10 @@ stand in aligned columns. visibility is inherited and can be set again inside; d
 
 Contract: null and empty pages give empty text. Any byte sequence of text is a page: broken markup never
 fails, and no page takes more than about linear time: the tree is walked with a stack of its own at any depth,
-tags are scanned without backtracking. Of deep layouts only the shape is bounded, never the text: indentation
-stops at INDENT characters, tables inside TABLES others aren't aligned, spans reach to column COLUMNS. Pages are
+tags are scanned without backtracking, and padding is at most LINE characters for each cell. Rules of a page's own style
+sheets aren't applied. Of deep layouts only the shape is bounded, never the text: indentation
+stops at INDENT characters, tables inside TABLES others aren't aligned, spans reach to column COLUMNS, and cells wider than WIDE
+aren't padded for. Pages are
 processed whole, row by row; repeated rows give equal results and an empty table gives none. Other columns are
 kept, but for one named as the output.
 """
@@ -29,10 +31,13 @@ from pyspark.sql import DataFrame
 from lodestone.llm.sentencepiece_bpe import text_slices
 
 INDENT, TABLES, COLUMNS = 120, 16, 1000
+#: Cells wider than WIDE don't widen their column: the row goes on in a new line behind them. Columns that would begin beyond
+#: LINE begin on a further line. So padding is at most LINE for each cell.
+WIDE, LINE = 120, 480
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Content up to the matching end tag is text, not markup.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes title datalist audio video canvas area param source track link meta base defs desc metadata symbol clippath mask annotation annotation-xml".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes title datalist rp progress meter audio video canvas area param source track link meta base defs desc metadata symbol clippath mask annotation annotation-xml".split())
 BLOCK = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol optgroup option p pre search section summary table ul caption thead tbody tfoot tr".split())
 #: Blocks with a blank line before and after them.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir pre blockquote table figure hr".split())
@@ -176,7 +181,7 @@ def parse(page: str) -> Node:
 def _there(node: Node) -> bool:
     """Whether an element takes part in the layout at all."""
     a = node.attrs
-    if node.tag in HIDDEN or "hidden" in a or node.tag == "object" and a.get("data"):
+    if node.tag in HIDDEN or "hidden" in a or node.tag == "object" and a.get("data") or node.tag == "dialog" and "open" not in a:
         return False
     return not (node.tag == "input" and a.get("type", "").lower() == "hidden") and not ("style" in a and _GONE.search(a["style"]))
 
@@ -431,28 +436,39 @@ def _aligned(grid: list[dict[int, tuple[list[str], int]]], out: _Page) -> None:
     for line in grid:
         for c, (text, wide) in line.items():
             if wide == 1:
-                width[c] = max(width.get(c, 0), max(map(_width, text)))
-    spans = sorted(((wide, c, max(map(_width, text))) for line in grid for c, (text, wide) in line.items() if wide > 1))
+                width[c] = max(width.get(c, 0), *(n for n in map(_width, text) if n <= WIDE), 0)
+    spans = sorted(((wide, c, min(WIDE, max(map(_width, text)))) for line in grid for c, (text, wide) in line.items() if wide > 1))
     for wide, c, need in spans:  # the last column of a span takes what its columns lack
         room = sum(width[i] + 2 for i in range(c, c + wide) if i in width) - 2
         if need > max(0, room):
             last = c + wide - 1
             width[last] = width.get(last, 0) + need - max(0, room) - (2 if room >= 0 and last not in width else 0)
             width[last] = max(0, width[last])
-    begin, at = {}, 0
+    begin, band, at, bands = {}, {}, 0, 0
     for c in range(max([*width, *(c for line in grid for c in line)], default=-1) + 1):
-        begin[c] = at
+        if at > LINE:
+            at, bands = 0, bands + 1
+        begin[c], band[c] = at, bands
         at += width[c] + 2 if c in width else 0
+
+    def put(text: list[str]) -> None:
+        row = "".join(text).rstrip(" ")
+        out.line.append(row)
+        out.end(bool(row.strip()))
+
     for line in grid:
-        for k in range(max((len(t) for t, _ in line.values()), default=0)):
-            text, filled = [], 0
-            for c, (cell, _) in sorted(line.items()):
-                if k < len(cell) and cell[k]:
+        cells = sorted((c, cell) for c, (cell, _) in line.items())
+        for k in range(max((len(t) for _, t in cells), default=0)):
+            cells = [x for x in cells if k < len(x[1])]
+            text, filled, over, now = [], 0, False, 0
+            for c, cell in cells:
+                if cell[k]:
+                    if text and (over or band[c] != now):  # a wide cell stands before, or the line is full
+                        put(text)
+                        text, filled = [], 0
                     text.append(" " * (begin[c] - filled) + cell[k])
-                    filled = max(filled, begin[c]) + _width(cell[k])
-            row = "".join(text).rstrip(" ")
-            out.line.append(row)
-            out.end(bool(row.strip()))
+                    filled, over, now = max(filled, begin[c]) + _width(cell[k]), _width(cell[k]) > WIDE, band[c]
+            put(text)
 
 
 def extract(page: str | None) -> str:
