@@ -12,7 +12,7 @@ Id i of a block stands at bit i * bits, so a range of ids is found by the footer
 A file has FILE_BLOCKS blocks at most; a partition begins new files as it needs them. Distinct words are encoded
 once by a worker and kept; each text's ids are put together from its words'.
 
-Contract: files hold documents in ascending order of doc_id (nulls last, equal ids by text), file after file
+Contract: files hold documents in ascending order of doc_id (nulls last, equal ids by a hash of their texts), file after file
 by the numbers in their names. Null texts count as empty; a repeated row is a document of its own; an empty table gives no document.
 Documents longer than a block get a block of their own. Other columns take no part.
 """
@@ -48,6 +48,9 @@ _BEFORE[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
 _AFTER[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = True
 #: Letters that every normal form and lower-casing leaves alone.
 _LETTERS = re.compile("[a-zà-öø-ÿ]+")
+#: Texts that go to the library as they are: those that may hold a special token, and those in which a mark follows a capital,
+#: with which it may compose where it does not with the small letter, or the other way round.
+_WHOLE = r"<\||[A-Z]\pM"
 _HEAD = struct.Struct("<4sB3xIQ")
 
 
@@ -196,10 +199,10 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, flat, and offsets of each text's ids; end, if given, closes each."""
-        odd = np.flatnonzero(pc.match_substring(pc.fill_null(texts, ""), "<|").to_numpy(zero_copy_only=False)) if self.plain else []
-        whole = [(i, np.array(self._ids(texts[i].as_py()), np.uint32)) for i in np.asarray(odd).tolist()]
-        if whole:  # texts that may hold a special token go to the library as they are
-            texts = pc.if_else(pc.match_substring(texts, "<|"), "", texts)
+        odd = pc.match_substring_regex(pc.fill_null(texts, ""), _WHOLE) if self.plain else pa.array([False] * len(texts))
+        whole = [(i, np.array(self._ids(texts[i].as_py()), np.uint32)) for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()]
+        if whole:
+            texts = pc.if_else(odd, "", texts)
         if len(self.table) > TABLE_WORDS:
             self._trim(TABLE_WORDS // 2)
         words, at = self._words(texts)
@@ -331,8 +334,10 @@ def write_ids(df: DataFrame, path: str, tokenizer_path: str, key: str = "doc_id"
         for x in out.close():
             yield row(x)
 
-    order = [F.col(key).asc_nulls_last(), F.col(text).asc_nulls_first()]
-    dealt = df.select(F.col(key).cast("long").alias(key), F.col(text).alias(text)).repartitionByRange(order[0]).sortWithinPartitions(*order)
+    # Rows of one key are ordered by a hash of their texts; equal ones are split between ranges, too.
+    rows = df.select(F.col(key).cast("long").alias(key), F.col(text).alias(text), F.xxhash64(text).alias("h__"), F.monotonically_increasing_id().alias("n__"))
+    order = [F.col(key).asc_nulls_last(), F.col("h__"), F.col("n__")]
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(key, text)
     dealt.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("maxRecordsPerFile", file_blocks + 1).text(path)
 
 
