@@ -2,10 +2,11 @@
 
 Every source gets a share of the mix by weight, up to a cap; the ratio of target to size says how many whole
 copies each of its documents gets and with which probability it gets one more. The cube method settles those
-probabilities: it moves three of them at a time along the null space of the two balancing constraints (words
+probabilities: it moves all of them together along the null space of the two balancing constraints (words
 and documents of the source) until one is 0 or 1, so both totals stay put while all but two probabilities of
 a group are settled. Documents are dealt to groups of bounded size by a hash; what is left of the groups meets
-in fewer groups, again and again, until each source has two documents left at most, which land at random.
+in fewer groups, again and again, until each source has a few documents left. These land on the choice whose words are
+the nearest to what they should be, of those that round their number up or down; their own probabilities, alone, aren't kept.
 
 Contract: null texts have size 0; a null source is a source of its own, the last in rank; a repeated row is a
 document of its own; an empty table gives no row. Sources are ranked and their shares computed in one task,
@@ -27,7 +28,9 @@ from lodestone.llm.common import join_checked, staged
 GROUP = 2048
 #: Groups whose leftovers (two documents each) meet in one group of the next level.
 MERGE = 512
-_EPS = 1e-12
+#: Documents of a source that land together.
+LANDING = 14
+_EPS = 1e-9
 
 
 def word_count(text: str) -> Column:
@@ -52,46 +55,62 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0
 
 
 def flight(p: np.ndarray, x: np.ndarray, rng: np.random.Generator, land: bool) -> np.ndarray:
-    """Move the probabilities p along the null space of the constraints (sum of p, sum of p * x) until two
-    fractional ones are left at most; with land, settle those too."""
-    out, size = p.tolist(), x.tolist()
-    draw = iter(rng.random(2 * len(out) + 8).tolist())
-    todo = [i for i, v in enumerate(out) if _EPS < v < 1 - _EPS]
-    for i in set(range(len(out))) - set(todo):
-        out[i] = float(round(out[i]))
-    todo.reverse()
-    live: list[int] = []
-
-    def move(units: list[int], u: list[float]) -> None:
-        up = min((1 - out[i]) / d if d > 0 else out[i] / -d for i, d in zip(units, u, strict=True) if d)
-        down = min(out[i] / d if d > 0 else (1 - out[i]) / -d for i, d in zip(units, u, strict=True) if d)
-        step = up if next(draw) * (up + down) < down else -down
-        for i, d in zip(units, u, strict=True):
-            v = out[i] + step * d
-            out[i] = 0.0 if v < _EPS else 1.0 if v > 1 - _EPS else v
-
-    while True:
-        while len(live) < 3 and todo:
-            live.append(todo.pop())
-        if len(live) < 3:
+    """Move the probabilities p along the null space of the constraints (sum of p, sum of p * x) until two fractional
+    ones are left at most; with land, settle the last LANDING or fewer together.
+
+    A move goes along what the null space has of the first fractional row's own direction: it settles early, however long
+    it is, as all others make up for it a little."""
+    out, size = np.array(p, float), np.asarray(x, float)
+    sure = np.abs(out - np.round(out)) < _EPS
+    out[sure] = np.round(out[sure])
+    live = np.flatnonzero(~sure)
+    draw = iter(rng.random(len(out) + 8).tolist())
+    while len(live) > (LANDING if land else 2):
+        u = _direction(size[live])
+        if u is None:
             break
-        a, b, c = (size[i] for i in live)
-        u = [b - c, c - a, a - b]
-        scale = max(map(abs, u))
-        move(live, [v / scale for v in u] if scale else [1.0, -1.0, 0.0])
-        live = [i for i in live if 0.0 < out[i] < 1.0]
-    if land:
-        while len(live) == 2:  # keep the number of documents
-            move(live, [1.0, -1.0])
-            live = [i for i in live if 0.0 < out[i] < 1.0]
-        for i in live:
-            out[i] = 1.0 if next(draw) < out[i] else 0.0
-    return np.array(out)
+        v = out[live]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            up = np.where(u > 0, (1 - v) / u, np.where(u < 0, v / -u, np.inf)).min()
+            down = np.where(u > 0, v / u, np.where(u < 0, (1 - v) / -u, np.inf)).min()
+        v = v + (up if next(draw) * (up + down) < down else -down) * u
+        v[v < _EPS], v[v > 1 - _EPS] = 0.0, 1.0
+        out[live] = v
+        live = live[(v > 0) & (v < 1)]
+    if land and len(live):
+        out[live] = _landing(out[live], size[live], rng)
+    return out
+
+
+def _direction(x: np.ndarray) -> np.ndarray | None:
+    """A direction that leaves the sum and the sum by x as they are: what the first row's own has of it, or the next row's that
+    has any. Two rows of different x have none."""
+    c = x - x.mean()
+    square = float(c @ c)
+    c = c / np.sqrt(square) if square > 1e-9 else np.zeros(len(x))
+    own = 1 - 1 / len(x) - c * c  # squared length of what is left of each row's direction
+    i = int(np.argmax(own > 1e-6))
+    if own[i] <= 1e-6:
+        return None
+    u = -1 / len(x) - c[i] * c
+    u[i] += 1
+    u[np.abs(u) < 1e-12] = 0.0
+    return u / np.abs(u).max()
+
+
+def _landing(p: np.ndarray, x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """The choice of rows whose number is the nearest to the sum of p, and of these the one nearest to the sum of p * x;
+    equal ones by lot."""
+    every = (np.arange(1 << len(p))[:, None] >> np.arange(len(p))) & 1
+    off = np.abs(every @ x - p @ x)
+    off[np.abs(every.sum(axis=1) - p.sum()) >= 1 - 1e-9] = np.inf  # the number is rounded up or down
+    best = np.flatnonzero(off <= off.min() + 1e-6)
+    return every[best[rng.integers(len(best))]].astype(float)
 
 
 def _settle(seed: int):
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        # Long documents first: what is left to land is short.
+        # Long documents first: those that land are short.
         g = g.sort_values(["size", "h", "doc_id"], ascending=[False, True, True], na_position="last", kind="stable")
         rng = np.random.default_rng([seed, zlib.crc32(str(key[0]).encode()), int(key[1])])
         g["p"] = flight(g["p"].to_numpy(), g["size"].to_numpy(float), rng, bool(g["groups"].iloc[0] <= 1))
