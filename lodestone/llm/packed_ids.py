@@ -48,6 +48,7 @@ _BEFORE[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
 _AFTER[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = True
 #: Letters that every normal form and lower-casing leaves alone.
 _LETTERS = re.compile("[a-zà-öø-ÿ]+")
+_LETTER_BYTES = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+").fullmatch
 #: Texts that go to the library as they are: those that may hold a special token, and those in which a mark follows a capital,
 #: with which it may compose where it does not with the small letter, or the other way round.
 _WHOLE = r"<\||[A-Z]\pM"
@@ -169,14 +170,16 @@ class WordEncoder:
 
     def _add(self, words: list[bytes]) -> None:
         """Put new words into the table: those of letters alone first, as they need least of the library."""
-        read = [w.decode() for w in words]
-        letters = [self.bare is not None and _LETTERS.fullmatch(w) is not None for w in read]
-        easy, hard = [w for w, own in zip(read, letters, strict=True) if own], [w for w, own in zip(words, letters, strict=True) if not own]
-        flat = self._batch(self.bare, [" ".join(easy[i : i + 512]) for i in range(0, len(easy), 512)]) if easy else np.zeros(0, np.uint32)
+        easy, hard = [], []
+        for w in words:
+            (easy if self.bare is not None and (w.isalpha() and w.islower() or _LETTER_BYTES(w)) else hard).append(w)
+        flat = self._batch(self.bare, [b" ".join(easy[i : i + 512]).decode() for i in range(0, len(easy), 512)]) if easy else np.zeros(0, np.uint32)
         ends = np.flatnonzero(self.last[flat]) + 1 if easy else np.zeros(0, np.int64)
         rest, lens = self._marked(hard)
-        for w in (*(x.encode() for x in easy), *hard):
-            self.table[w] = len(self.table)
+        n = len(self.table)
+        self.table.update(zip(easy, range(n, n + len(easy)), strict=True))
+        n = len(self.table)
+        self.table.update(zip(hard, range(n, n + len(hard)), strict=True))
         self.at = np.concatenate([self.at, ends + self.at[-1], np.cumsum(lens) + len(flat) + self.at[-1]])
         self.ids = np.concatenate([self.ids, flat, rest])
 
@@ -206,7 +209,9 @@ class WordEncoder:
         if len(self.table) > TABLE_WORDS:
             self._trim(TABLE_WORDS // 2)
         words, at = self._words(texts)
-        distinct = words.dictionary.to_pylist()
+        _, ends, raw = words.dictionary.buffers()
+        ends, raw = np.frombuffer(ends, np.int64)[: len(words.dictionary) + 1].tolist(), raw.to_pybytes() if raw is not None else b""
+        distinct = [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
         place = np.fromiter(map(self.table.get, distinct, repeat(-1)), np.int64, len(distinct))
         missing = np.flatnonzero(place < 0)
         if len(missing):
