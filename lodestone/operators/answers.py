@@ -100,7 +100,12 @@ def frames(texts: Column) -> Column:
 
 def parsed_frames(bodies: DataFrame) -> DataFrame:
     """(body_id, seq, kind, payload) of (body_id, body) streams: text (0), finish (d), error (3); other lines are left out."""
-    lines = bodies.select("body_id", F.posexplode(F.split("body", "\n")).alias("seq", "line")).filter(F.length("line") > 0)
+    return frames_of_lines(bodies.select("body_id", F.posexplode(F.split("body", "\n")).alias("seq", "line")))
+
+
+def frames_of_lines(lines: DataFrame) -> DataFrame:
+    """(body_id, seq, kind, payload) of the lines (body_id, seq, line) of streams."""
+    lines = lines.filter(F.length("line") > 0)
     kind = F.regexp_extract("line", "^([0d3]):", 1)
     payload = F.when(kind == "0", F.from_json(F.concat(F.lit('{"t":'), F.substr("line", F.lit(3)), F.lit("}")), "struct<t:string>")["t"]).otherwise(F.substr("line", F.lit(3)))
     return lines.select("body_id", "seq", kind.alias("kind"), payload.alias("payload")).filter("kind <> ''")

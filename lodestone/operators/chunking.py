@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from lodestone.functions.text import chunk_id, content_hash
 
@@ -78,6 +79,29 @@ def chunk_recursive(docs: DataFrame, text: str = "text", size: int = 1000, overl
     return source.mapInArrow(run, schema)
 
 
+class _Split:
+    def eval(self, text: str | None, size: int, overlap: int) -> Iterator[tuple[int, str]]:
+        yield from enumerate(split_recursive(text, size, overlap))
+
+
+def register_splitter(spark: SparkSession, name: str = "split_text") -> None:
+    """Make the recursive splitter a table function of the session's SQL: name(text, size, overlap) gives
+    (chunk_index, chunk_text) rows, for LATERAL joins with any table."""
+    spark.udtf.register(name, udtf(_Split, returnType="chunk_index int, chunk_text string", useArrow=True))
+
+
+def preview(requests: DataFrame, documents: DataFrame, uploads: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
+    """(id, file_name, chunk_index, chunk_text) of the requested ids: the chunks that a document would have, or else the upload
+    of that id; neither ids nor a store. documents and uploads are (id, file_name, text); ids of neither give nothing."""
+    spark = requests.sparkSession
+    register_splitter(spark)
+    asked = requests.select("id").distinct()
+    found = asked.join(documents.select("id", "file_name", "text"), "id")
+    rest = asked.join(documents.select("id"), "id", "left_anti").join(uploads.select("id", "file_name", "text"), "id")
+    sql = "SELECT s.id, s.file_name, c.chunk_index, c.chunk_text FROM {sources} s, LATERAL split_text(s.text, {size}, {overlap}) c"
+    return spark.sql(sql, sources=found.unionByName(rest), size=int(size), overlap=int(overlap))
+
+
 def chunk_fixed(docs: DataFrame, text: str = "text", size: int = 1000, overlap: int = 200) -> DataFrame:
     """Windows of size characters that begin every size - overlap characters, while they hold new text."""
     stride, n = size - overlap, F.coalesce(F.length(text), F.lit(0))

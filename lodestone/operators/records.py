@@ -43,11 +43,15 @@ def document_or_upload(ids: DataFrame, documents: DataFrame, uploads: DataFrame)
     return found.join(ids.select("id").distinct(), "id", "left_semi").groupBy("id").agg(*[F.min_by(c, "n").alias(c) for c in ("file_name", "path", "origin")])
 
 
-def kb_tree(kbs: DataFrame, documents: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Knowledge bases with their documents, and these with their tasks, nested and ordered by id."""
+def kb_tree(kbs: DataFrame, documents: DataFrame, tasks: DataFrame, page: int = 1000) -> DataFrame:
+    """Knowledge bases with their documents, and these with their tasks, nested and ordered by id; a row for each page of
+    documents, whose ids have the same quotient by page, so that no row outgrows it. A knowledge base without documents has
+    one row, with page 0."""
     t = tasks.groupBy(F.col("document_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col("id").alias("task_id"), "status", "error_message"))).alias("processing_tasks"))
-    d = documents.join(t, "id", "left").groupBy(F.col("knowledge_base_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("id", "file_name", "file_size", "processing_tasks"))).alias("documents"))
-    return kbs.join(d, "id", "left").withColumn("documents", F.coalesce("documents", F.array().cast(d.schema["documents"].dataType)))
+    keys = [F.col("knowledge_base_id").alias("id"), F.floor(F.col("id") / page).alias("page")]
+    d = documents.join(t, "id", "left").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("id", "file_name", "file_size", "processing_tasks"))).alias("documents"))
+    tree = kbs.join(d, "id", "left").withColumn("documents", F.coalesce("documents", F.array().cast(d.schema["documents"].dataType)))
+    return tree.withColumn("page", F.coalesce("page", F.lit(0)))
 
 
 def kb_document_counts(kbs: DataFrame, documents: DataFrame) -> DataFrame:

@@ -207,3 +207,35 @@ SQL |= {
       SELECT document_id, CAST(chunk_index AS INTEGER) AS chunk_index, sha256(t) AS hash FROM c""",
     "upload_knowledge_bases": f"WITH {KBS}, {UPLOADS} SELECT u.id, u.file_name, k.name AS kb_name, k.user_id FROM uploads u JOIN kbs k ON k.id = u.knowledge_base_id WHERE k.user_id = 2",
 }
+
+
+def recursive_sql(table: str, size: int = 1000, overlap: int = 200) -> str:
+    """(doc_id, chunk_index, chunk) by recursive splitting: pieces level by level, then a fold that packs them."""
+    cell = max(1, min(size - overlap, overlap or size))
+    blank = " || ".join(f"chr({c})" for c in (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288))
+
+    def pieces(p: str, level: int) -> str:
+        if level == 3:
+            return f"list_transform(range(0, length({p}), {cell}), lambda c: {p}[c + 1:c + {cell}])"
+        sep, x, i = ("chr(10) || chr(10)", "chr(10)", "' '")[level], f"x{level}", f"i{level}"
+        q = f"q{level}"
+        parts = f"list_transform(string_split({p}, {sep}), lambda {x}, {i}: CASE WHEN {i} > 1 THEN {sep} || {x} ELSE {x} END)"
+        return f"CASE WHEN contains({p}, {sep}) THEN flatten(list_transform({parts}, lambda {q}: CASE WHEN length({q}) <= {size} THEN [{q}] ELSE {pieces(q, level + 1)} END)) ELSE {pieces(p, level + 1)} END"
+
+    strip = lambda s: f"trim({s}, {blank})"
+    joined = "array_to_string({}, '')".format
+    p = "x.held[1]"
+    over = f"len(a.held) > 0 AND length({joined('a.held')}) + length({p}) > {size}"
+    rest = f"a.held[list_filter(range(1, len(a.held) + 2), lambda k: length({joined('a.held[k:]')}) <= {overlap} AND length({joined('a.held[k:]')}) + length({p}) <= {size})[1]:]"
+    fold = f"CASE WHEN {over} THEN {{'held': list_append({rest}, {p}), 'out': list_append(a.out, {strip(joined('a.held'))})}} ELSE {{'held': list_append(a.held, {p}), 'out': a.out}} END"
+    return f"""
+WITH cut AS (SELECT doc_id, text, CASE WHEN length(text) > {size} THEN {pieces("text", 0)} END AS pieces FROM {table}),
+     packed AS (SELECT doc_id, text, CASE WHEN pieces IS NOT NULL THEN list_reduce(list_transform(pieces, lambda y: {{'held': [y], 'out': CAST([] AS VARCHAR[])}}), lambda a, x: {fold}) END AS f FROM cut),
+     chunks AS (SELECT doc_id, list_filter(CASE WHEN f IS NULL THEN [{strip("coalesce(text, '')")}] ELSE list_append(f.out, {strip(joined('f.held'))}) END, lambda c: c <> '') AS c FROM packed)
+SELECT doc_id, unnest(c) AS chunk, generate_subscripts(c, 1) - 1 AS chunk_index FROM chunks"""
+
+
+_HASHED = "chunk_index, length(chunk) AS n_chars, sha256(chunk) AS hash"
+SQL["chunk_recursive"] = f"SELECT doc_id AS document_id, {_HASHED} FROM ({recursive_sql('documents')})"
+_ASKED = "(SELECT doc_id, text FROM documents UNION ALL SELECT page_id + 1000000000, html FROM pages)"
+SQL["preview_chunks"] = f"SELECT doc_id AS id, {_HASHED} FROM ({recursive_sql(_ASKED, 500, 100)})"

@@ -383,7 +383,7 @@ def kb_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = docs.filter("id % 2 = 0").select(F.col("id").alias("document_id"), (F.col("id") * 10).alias("id"), F.lit("completed").alias("status"), F.lit(None).cast("string").alias("error_message"))
     t = records.kb_tree(S.knowledge_bases(spark, sf_dir), docs, tasks)
     with_task = F.filter("documents", lambda d: d["processing_tasks"].isNotNull())
-    return t.select("id", "name", F.size("documents").alias("documents"), F.size(with_task).alias("with_tasks"))
+    return t.groupBy("id", "name").agg(F.sum(F.size("documents")).cast("int").alias("documents"), F.sum(F.size(with_task)).cast("int").alias("with_tasks"))
 
 
 @query
@@ -413,7 +413,7 @@ def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = S.search_queries(spark, sf_dir)
     docs = S.items(spark, sf_dir)
     found = index(spark, sf_dir, vectors=False).search(q, scope_all(spark, sf_dir), Settings(dense_enabled=False, sparse_enabled=False))
-    texts = found.join(docs.groupBy("hash").agg(F.min("text").alias("text")), "hash").join(F.broadcast(q.select("query_id", F.col("text").alias("passage"))), "query_id")
+    texts = found.join(docs.groupBy("hash").agg(F.min("text").alias("text")), "hash").join(q.select("query_id", F.col("text").alias("passage")), "query_id")
     hit = texts.groupBy("query_id").agg(F.count("*").alias("results"), F.count_if(F.contains("text", F.col("passage"))).alias("holding"))
     return hit.agg(F.count("*").alias("queries"), F.sum("results").alias("results"), F.sum("holding").alias("holding"))
 
@@ -481,6 +481,16 @@ def chunk_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_fixed(d, size=500, overlap=100).select("document_id", "chunk_index", T.content_hash(F.col("chunk_text")).alias("hash"))
 
 
+@query
+def preview_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of 500 characters with an overlap of 100, by the recursive splitter as a table function, of all documents, and of
+    pages as uploads that aren't documents yet."""
+    docs = S.documents(spark, sf_dir).select("id", "file_name", "text")
+    uploads = S.table(spark, sf_dir, "pages").select((F.col("page_id") + 1_000_000_000).alias("id"), F.concat(F.lit("page_"), F.col("page_id").cast("string")).alias("file_name"), F.col("html").alias("text"))
+    found = chunking.preview(docs.select("id").unionByName(uploads.select("id")), docs, uploads, 500, 100)
+    return found.select("id", "chunk_index", F.length("chunk_text").alias("n_chars"), T.content_hash(F.col("chunk_text")).alias("hash"))
+
+
 @query
 def upload_knowledge_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uploads of one owner's knowledge bases."""

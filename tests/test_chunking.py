@@ -3,6 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lodestone.operators import chunking
 from lodestone.operators.chunking import chunk_fixed, chunk_recursive, split_recursive, with_ids
 
 texts = st.text(alphabet=st.sampled_from("ab é\n .  \n"), max_size=300)
@@ -59,3 +60,13 @@ def test_equal_chunks_become_one(spark):
     df = spark.createDataFrame([(1, "f", 0, "a"), (1, "f", 1, "a"), (1, "f", 2, "b"), (2, "f", 0, "a")], "kb_id int, file_name string, chunk_index int, chunk_text string")
     got = sorted((r.kb_id, r.chunk_text, r.chunk_index, r.dup_count) for r in with_ids(df).collect())
     assert got == [(1, "a", 0, 2), (1, "b", 2, 1), (2, "a", 0, 1)]
+
+
+def test_preview_takes_documents_before_uploads(spark):
+    table = lambda rows: spark.createDataFrame(rows, "id long, file_name string, text string")
+    docs, uploads = table([(1, "a", "one two three four"), (2, "b", None)]), table([(1, "x", "never"), (3, "c", "five six")])
+    asked = spark.createDataFrame([(1,), (1,), (2,), (3,), (4,)], "id long")
+    got = sorted(map(tuple, chunking.preview(asked, docs, uploads, 8, 0).collect()))
+    assert got == [(1, "a", 0, "one two"), (1, "a", 1, "three"), (1, "a", 2, "four"), (3, "c", 0, "five six")]
+    chunking.register_splitter(spark, "pieces")
+    assert spark.sql("SELECT count(*) n FROM VALUES ('a b c'), (NULL) t(x), LATERAL pieces(x, 1, 0)").head().n == 3
