@@ -182,6 +182,26 @@ WITH v AS (SELECT vec_id, row_number() OVER () AS n, list_transform(embedding, l
            FROM v q JOIN v d ON q.vec_id % 50 = 0 AND q.n <> d.n)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY q_n ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY rank <= 5""",
+    "op3_ngram_join": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+                                               WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+     n AS (SELECT d.doc_id, count(g) AS n FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id),
+     i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+     l AS (SELECT a, b FROM i JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= 90 * (p.n + q.n - k)),
+     e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+     r AS (SELECT doc_id AS v, doc_id AS m FROM d UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.v)
+SELECT n.doc_id, n.n AS n_shingles, min(r.m) AS component_id FROM n JOIN r ON r.v = n.doc_id GROUP BY n.doc_id, n.n""",
+    "op10_vector_neardup": """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings),
+     u AS (SELECT vec_id, label, x, sqrt(list_sum(list_transform(x, lambda y: y * y))) AS norm FROM v
+           WHERE label IS NOT NULL AND x IS NOT NULL AND len(list_filter(x, lambda y: y IS NULL OR isnan(y) OR isinf(y))) = 0),
+     l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+           WHERE a.norm > 0 AND b.norm > 0 AND list_sum(list_transform(list_zip(a.x, b.x), lambda p: p[1] * p[2])) / (a.norm * b.norm) >= 0.98),
+     r AS (SELECT vec_id AS v, vec_id AS m FROM v UNION SELECT l.b, r.m FROM r JOIN l ON l.a = r.v),
+     c AS (SELECT v, min(m) AS component_id FROM r GROUP BY v),
+     k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT c.v AS vec_id, coalesce(k.n, 0) AS n_links, c.component_id, c.v = c.component_id AS kept FROM c LEFT JOIN k ON k.a = c.v""",
     "op6_warc_archive": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
      q AS (SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha256(body) AS payload_digest FROM p),

@@ -12,7 +12,7 @@ def test_queries_and_stages_are_registered():
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(queries.QUERIES) | {"pipeline"} <= names
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram-jaccard-join", "mixing-sources", "sentencepiece"]
 
