@@ -327,6 +327,12 @@ class TextIndex:
         c = self.content
         return self._commit(c | {"tombs": [*c["tombs"], name], "items": c["items"] - gone[0], "tokens": c["tokens"] - gone[1]}) if gone[0] else self
 
+    def delete_kb(self, kb_id: int) -> TextIndex:
+        """Take out all items of a knowledge base."""
+        if not self.content["segments"]:
+            return self
+        return self.delete(reduce(DataFrame.unionByName, [self._forward(s) for s in self._names()]).filter(F.col("kb_id") == kb_id).select("item_id"))
+
     def merge(self, at_least: int = 4, all: bool = False) -> list[str]:
         """Merge at_least segments or more whose sizes differ by less than four times, or all; returns which. Their tombstones and
         what these took from document frequencies are merged with them."""
