@@ -58,7 +58,7 @@ def documents(n, sources, seed):
     return [(random.choice([None, k, k // 2, -k]), source(), random.choice(["en", None]), random.choice([None, 3]), random.choice(["Text", "", None, "Ä\n", "7:x"])) for k in range(n)]
 
 
-@pytest.mark.parametrize("n, sources, fanout, parts", [(700, 3, 16, 7), (300, 40, 2, 3), (90, 1, 3, 90), (17, 1, 16, 4), (1, 1, 16, 1)])
+@pytest.mark.parametrize("n, sources, fanout, parts", [(700, 3, 16, 7), (120, 30, 3, 40), (1, 1, 16, 1)])
 def test_equals_the_plain_version(spark, n, sources, fanout, parts):
     check(spark, documents(n, sources, n), fanout, parts)
 
