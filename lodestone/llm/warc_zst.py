@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import CHUNK_BYTES, shared_path, staged
+from lodestone.llm.sentencepiece_bpe import text_slices
 
 DICTIONARY_FRAME, SPARE_FRAME = 0x184D2A5D, 0x184D2A50
 ZSTD_MAGIC = 0xFD2FB528
@@ -111,7 +112,7 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
                     if rows == archive_rows:
                         packer, rows = None, 0
 
-        for b in batches:
+        for b in (part for whole in batches for part in text_slices(whole, 2)):
             for fields in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 held.append(_record(*fields, date, f"{task}-{number}"))
                 number += 1
