@@ -4,9 +4,11 @@ buffers, staging in the cluster's shared folder, joins that survive hot keys, co
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +55,34 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _slim() -> None:
+    """Give freed memory back to the system: a worker is kept between tasks, and the next ones may need little."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def slim(run: Callable) -> Callable:
+    """A function over batches that leaves its worker slim when it has ended."""
+
+    def over_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _slim()
+
+    return over_batches
+
+
+def slim_group(run: Callable[..., pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    def over_group(t: pa.Table) -> pa.Table:
+        out = run(t)
+        _slim()
+        return out
+
+    return over_group
+
+
 def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of slices of a string column with about limit bytes each;
     nulls count as empty."""

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import components, join_checked, join_heavy, local_forest, mix64, staged, text_chunks, word_hashes
+from lodestone.llm.common import components, join_checked, join_heavy, local_forest, mix64, slim, slim_group, staged, text_chunks, word_hashes
 
 #: Cells of the table of hashed counts (a byte each once it is broadcast), and of one of its blocks.
 CELLS_BITS, BLOCK_BITS = 21, 14
@@ -101,7 +101,7 @@ def _summed(t: pa.Table) -> pa.Table:
 def levels(texts: DataFrame, n: int) -> np.ndarray:
     """How frequent the n-grams of each cell are, on a logarithmic scale: 2 ** CELLS_BITS bytes, whatever the input."""
     out = np.zeros((1 << (CELLS_BITS - BLOCK_BITS), 1 << BLOCK_BITS), np.uint8)
-    for r in texts.mapInArrow(_counted(n), "block int, cells binary").groupBy("block").applyInArrow(_summed, "block int, cells binary").collect():
+    for r in texts.mapInArrow(slim(_counted(n)), "block int, cells binary").groupBy("block").applyInArrow(slim_group(_summed), "block int, cells binary").collect():
         out[r.block] = np.frombuffer(r.cells, np.uint8)
     return out.ravel()
 
@@ -273,13 +273,13 @@ def _candidates(first: DataFrame, num: int, den: int) -> DataFrame:
     each, are linked on the driver."""
     order = ["t", "n", "ck"]
     tokens = first.select(F.explode("first").alias("t"), "n", "ck").repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = staged(tokens.mapInArrow(_chained(num, den), "kind int, part int, t long, a long, b long"), "chains")
+    rows = staged(tokens.mapInArrow(slim(_chained(num, den)), "kind int, part int, t long, a long, b long"), "chains")
     ends = sorted((r.part, r.kind, r.t, r.a) for r in rows.filter("kind IN (1, 2)").collect())
     seams = [(x[3], y[3]) for x, y in zip(ends, ends[1:], strict=False) if x[1] == 2 and y[1] == 1 and x[2] == y[2] and x[3] != y[3]]
     links = rows.filter("kind = 0").select("a", "b")
     runs = rows.filter("kind = 3").select(F.col("t").alias("run"), F.col("a").alias("ck"))
     known = runs.join(first.select("ck", "n", "bins").hint("merge"), "ck").select("run", "n", "ck", "bins")
-    links = links.unionByName(known.repartition("run").sortWithinPartitions("run", "n", "ck").mapInArrow(_bounded(num, den), "a long, b long"))
+    links = links.unionByName(known.repartition("run").sortWithinPartitions("run", "n", "ck").mapInArrow(slim(_bounded(num, den)), "a long, b long"))
     return links.unionByName(rows.sparkSession.createDataFrame(seams, "a long, b long")) if seams else links
 
 
@@ -445,7 +445,7 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("h"), F.col(text).cast("string").alias("text"))
     table = spark.sparkContext.broadcast(levels(docs.select("text"), n).tobytes())
-    rows = staged(docs.mapInArrow(_signed(n, num, den, table), "id long, h long, n long, ck long, first array<long>, bins binary"), "ngram-rows")
+    rows = staged(docs.mapInArrow(slim(_signed(n, num, den, table)), "id long, h long, n long, ck long, first array<long>, bins binary"), "ngram-rows")
     live = rows.filter("ck IS NOT NULL AND id IS NOT NULL")
     classes = staged(live.groupBy("ck").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n")), "ngram-classes")
     first = staged(live.select("ck", "n", "first", "bins").dropDuplicates(["ck"]), "ngram-first")
@@ -460,8 +460,8 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n
     members = members.withColumn("bin", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(bins))).otherwise(F.col("comp")))
     members = staged(members.select(F.col("rep").alias("id"), "ck", "comp", "bin", "blocks", "pivot", "n"), "ngram-members")
     texts = join_checked(docs.select("id", "text"), members.drop("n"), "id", limit=300_000)
-    sets = staged(texts.mapInArrow(_sets(n, table), "ck long, comp long, bin long, block long, grams binary"), "ngram-sets")
-    edges = staged(sets.groupBy("bin", "block").applyInArrow(_within(num, den), _EDGES), "ngram-links")
+    sets = staged(texts.mapInArrow(slim(_sets(n, table)), "ck long, comp long, bin long, block long, grams binary"), "ngram-sets")
+    edges = staged(sets.groupBy("bin", "block").applyInArrow(slim_group(_within(num, den)), _EDGES), "ngram-links")
     roots = components(edges)
     roots, edges = _finish(members, sets, edges, roots, num, den)
     per = classes.join(roots.withColumnRenamed("id", "ck").hint("merge"), "ck", "left").select("ck", "rep", F.coalesce("component", "ck").alias("component"))
@@ -492,7 +492,7 @@ def _finish(members: DataFrame, sets: DataFrame, edges: DataFrame, roots: DataFr
     block, piece = F.pmod("ck", "blocks"), F.pmod(F.xxhash64("ck"), F.col("slices"))
     base = full.select("ck", "comp", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), "label", F.lit(False).alias("probe"), "grams")
     probes = full.filter("outside").select("ck", "comp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), piece.alias("slice"), "label", F.lit(True).alias("probe"), "grams")
-    more = staged(base.unionByName(probes).groupBy("comp", "block", "slice").applyInArrow(_across(num, den), _EDGES), "ngram-across")
+    more = staged(base.unionByName(probes).groupBy("comp", "block", "slice").applyInArrow(slim_group(_across(num, den)), _EDGES), "ngram-across")
     edges = edges.unionByName(more)
     return components(edges), edges
 

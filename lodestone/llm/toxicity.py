@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.llm.common import slim
 from lodestone.llm.sentencepiece_bpe import text_slices
 
 #: Words of a window, and bytes of the longest piece of a word.
@@ -273,7 +274,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
             for b in text_slices(whole, at):
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own.score(b.column(at).to_pylist()), pa.float64())], names=[*keep, into])
 
-    return rows.toDF(*[f"c{i}" for i in range(len(keep))]).mapInArrow(run, schema)
+    return rows.toDF(*[f"c{i}" for i in range(len(keep))]).mapInArrow(slim(run), schema)
 
 
 def model_state(model: Model) -> dict:
