@@ -12,7 +12,7 @@ Id i of a block stands at bit i * bits, so a range of ids is found by the footer
 A file has FILE_BLOCKS blocks at most; a partition begins new files as it needs them. Distinct words are encoded
 once by a worker and kept; each text's ids are put together from its words'.
 
-Contract: files hold documents in ascending order of doc_id (nulls last, equal ids by a hash of their texts), file after file
+Contract: files hold documents in ascending order of doc_id (nulls last, equal ids by the first 64 characters of their texts, null first, and then by a hash), file after file
 by the numbers in their names. Null texts count as empty; a repeated row is a document of its own; an empty table gives no document.
 Documents longer than a block get a block of their own. Other columns take no part.
 """
@@ -339,9 +339,9 @@ def write_ids(df: DataFrame, path: str, tokenizer_path: str, key: str = "doc_id"
         for x in out.close():
             yield row(x)
 
-    # Rows of one key are ordered by a hash of their texts; equal ones are split between ranges, too.
-    rows = df.select(F.col(key).cast("long").alias(key), F.col(text).alias(text), F.xxhash64(text).alias("h__"), F.monotonically_increasing_id().alias("n__"))
-    order = [F.col(key).asc_nulls_last(), F.col("h__"), F.col("n__")]
+    # Whole texts would be too large as bounds of ranges. Equal rows are split between ranges, too.
+    rows = df.select(F.col(key).cast("long").alias(key), F.col(text).alias(text), F.substring(text, 1, 64).alias("p__"), F.xxhash64(text).alias("h__"), F.monotonically_increasing_id().alias("n__"))
+    order = [F.col(key).asc_nulls_last(), F.col("p__").asc_nulls_first(), F.col("h__"), F.col("n__")]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(key, text)
     dealt.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("maxRecordsPerFile", file_blocks + 1).text(path)
 
