@@ -82,9 +82,10 @@ def _counted(n: int):
         for b in batches:
             for _, _, data, off in text_chunks(b.column(0)):
                 sets = shingle_sets(data, off, n)
-                cells += np.bincount((np.concatenate(sets) >> _M(64 - CELLS_BITS)).astype(np.int64), minlength=len(cells))
-        for k, part in enumerate(np.minimum(cells, 2**32 - 1).astype(np.uint32).reshape(-1, 1 << BLOCK_BITS)):
+                np.add.at(cells, (np.concatenate(sets) >> _M(64 - CELLS_BITS)).astype(np.int64), 1)
+        for k, part in enumerate(cells.reshape(-1, 1 << BLOCK_BITS)):
             if part.any():
+                part = np.minimum(part, 2**32 - 1).astype(np.uint32)
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["block", "cells"])
 
     return run
@@ -449,7 +450,8 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n
     live = rows.filter("ck IS NOT NULL AND id IS NOT NULL")
     classes = staged(live.groupBy("ck").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n")), "ngram-classes")
     first = staged(live.select("ck", "n", "first", "bins").dropDuplicates(["ck"]), "ngram-first")
-    found = components(_candidates(first, num, den))
+    # Staged, so that no task holds two workers at once: each executor would keep them all.
+    found = components(staged(_candidates(first, num, den), "ngram-candidates"))
     members = found.unionByName(found.select(F.col("component").alias("id"), "component").distinct()).select(F.col("id").alias("ck"), F.col("component").alias("comp"))
     members = staged(classes.join(members.hint("merge"), "ck"), "ngram-members")
     info = members.groupBy("comp").agg(F.sum("n").alias("tokens"), F.max_by("ck", F.struct("copies", "ck")).alias("top"))

@@ -25,13 +25,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lodestone.llm.common import CHUNK_BYTES
+from lodestone.llm.common import CHUNK_BYTES, slim
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _NONE = np.iinfo(np.int64).max
-#: Words kept between chunks by a worker; beyond it the table starts anew.
-TABLE_WORDS = 300_000
+#: Words kept between chunks of a task; beyond it the table starts anew. A word takes about 600 bytes, and most words
+#: beyond the frequent ones never come again.
+TABLE_WORDS = 80_000
 #: Symbols of a word that merge rounds take.
 LONG = 512
 
@@ -118,9 +119,10 @@ class Model:
         self.leads = np.array([kinds[i] == NORMAL and p[:1] == SPACE for i, p in enumerate(pieces)])
         self.silent = np.array([k == CONTROL for k in kinds])
         self._by_pair: dict[int, int] = {}
-        self._reset()
+        self.reset()
 
-    def _reset(self) -> None:
+    def reset(self) -> None:
+        """Forget the words met so far."""
         self.table: dict[str, int] = {}
         self.table_ids, self.table_at = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
@@ -245,7 +247,7 @@ class Model:
     def encode(self, texts: list[str | None], end: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, flat, and offsets of each text's ids; with end, the end id closes each."""
         if len(self.table) > TABLE_WORDS:
-            self._reset()
+            self.reset()
         table, new, rows, sizes = self.table, [], [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             if not text:
@@ -331,6 +333,24 @@ def text_slices(batch: pa.RecordBatch, column: int, limit: int = CHUNK_BYTES) ->
         at = to
 
 
+def _encoded(serialized: bytes, end: bool, decoded: bool, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = load(serialized)
+        item = pa.field("element", pa.int32(), False)
+        try:
+            for whole in batches:
+                for b in text_slices(whole, 0):
+                    flat, off = model.encode(b.column(0).to_pylist(), end)
+                    cols = [*b.columns[1:], pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat), type=pa.list_(item))]
+                    if decoded:
+                        cols.append(pa.array(model.decode(flat, off), pa.string()))
+                    yield pa.RecordBatch.from_arrays(cols, names=names)
+        finally:
+            model.reset()  # a worker is kept between tasks, and others wait beside those that have one
+
+    return run
+
+
 def encode_decode(df: DataFrame, model_path: str, text: str = "text", end: bool = True, decoded: str | None = "decoded", ids: str = "ids") -> DataFrame:
     """df with the text column replaced by ids (array<int>) and, if decoded is a name, the text that
     these ids decode to. An existing column with one of these names is replaced."""
@@ -340,15 +360,4 @@ def encode_decode(df: DataFrame, model_path: str, text: str = "text", end: bool
     source = df.select(text, *keep)
     fields = [*source.schema.fields[1:], T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)] + ([T.StructField(decoded, T.StringType(), False)] if decoded else [])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(serialized)
-        for whole in batches:
-            for b in text_slices(whole, 0):
-                flat, off = model.encode(b.column(0).to_pylist(), end)
-                item = pa.field("element", pa.int32(), False)
-                cols = [*b.columns[1:], pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat), type=pa.list_(item))]
-                if decoded:
-                    cols.append(pa.array(model.decode(flat, off), pa.string()))
-                yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
-
-    return source.mapInArrow(run, T.StructType(fields))
+    return source.mapInArrow(slim(_encoded(serialized, end, bool(decoded), [f.name for f in fields])), T.StructType(fields))

@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodestone.llm import html_text, mixing, packed_ids
+from lodestone.llm import html_text, mixing, ngram_join, packed_ids, sentencepiece_bpe
+from lodestone.llm.queries import PIECE_MODEL
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 
@@ -89,3 +90,28 @@ def test_one_hot_key_is_split_between_files(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert packed_ids.read_ids(spark, path, ids=False).groupBy("file").count().count() > 1
+
+
+def test_no_task_of_the_join_holds_two_workers(spark, monkeypatch):
+    """An executor keeps every worker that its tasks ever held at once."""
+    plans, components = [], ngram_join.components
+    monkeypatch.setattr(ngram_join, "components", lambda edges: plans.append(edges._jdf.queryExecution().executedPlan().toString()) or components(edges))
+    docs = spark.createDataFrame([(i, " ".join(f"w{i // 2 * 7 + k}" for k in range(40))) for i in range(20)], "doc_id long, text string")
+    assert ngram_join.ngram_components(docs).filter("component_id <> doc_id").count() == 10
+    assert plans and not any("InArrow" in p for p in plans)
+
+
+def test_piece_workers_keep_no_words_after_a_task(monkeypatch):
+    monkeypatch.setattr(sentencepiece_bpe, "TABLE_WORDS", 1000)
+    with open(PIECE_MODEL, "rb") as f:
+        model = sentencepiece_bpe.load(f.read())
+    held, whole = [], " ".join(f"word{i}" for i in range(500))
+    encode = model.encode
+    monkeypatch.setattr(model, "encode", lambda *a: held.append(len(model.table)) or encode(*a))
+    texts = [whole.replace("w", f"{i}w") for i in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(400))], names=["text", "doc_id"])
+    with open(PIECE_MODEL, "rb") as f:
+        run = sentencepiece_bpe._encoded(f.read(), True, True, ["doc_id", "ids", "decoded"])
+    out = pa.Table.from_batches(run(iter([batch])))
+    assert out["decoded"].to_pylist() == texts and max(held) > 1000 and len(held) > 2
+    assert not model.table and not len(model.table_ids)
