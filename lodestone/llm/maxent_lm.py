@@ -52,6 +52,9 @@ _M = np.uint64
 END, START = _M(0x5851F42D4C957F2D), _M(0x14057B7EF767814F)
 _SALT = [_M(x) for x in (0x2545F4914F6CDD1D, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 _LIMIT = np.float32(60)
+_ONES = np.ones(FAN, np.float32)
+#: Weight rows that one step works on: they stay in the processor's nearest caches.
+NEAR = 2048
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,12 +73,20 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     size = 0
 
-    def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        w, c, t = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.argsort(w, kind="stable")
-        w, c, t = w[order], c[order], t[order]
+    def distinct(w: np.ndarray, c: np.ndarray | None, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        # Sorted by their first bits, with the position in the last ones. Two words that are alike in the first bits may leave
+        # several rows of one word, which are summed later.
+        bits = _M(max(1, (len(w) - 1).bit_length()))
+        key = (w >> bits << bits) | np.arange(len(w), dtype=np.uint64)
+        key.sort()
+        order = (key & ((_M(1) << bits) - _M(1))).view(np.int64)
+        w = w[order]
         first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])) if len(w) else np.zeros(0, int)
-        return w[first], np.add.reduceat(c, first) if len(w) else c, t[first]
+        sums = np.diff(first, append=len(w)) if c is None else np.add.reduceat(c[order], first) if len(w) else c
+        return w[first], sums, t[order[first]]
+
+    def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return distinct(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     def rows() -> Iterator[pa.RecordBatch]:
         w, c, t = held[0]
@@ -85,8 +96,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for _, _, data, off in text_chunks(b.column(0)):
             h, cell, _ = tokens(data, off)
-            held.append((h, np.ones(len(h), np.int64), cell))
-            size += len(h)
+            held.append(distinct(h, None, cell))
+            size += len(held[-1][0])
             if size > 3_000_000:
                 held[:] = [merged()]
                 size = len(held[0][0])
@@ -146,6 +157,10 @@ class Model:
         self.total, self.types, self.cell_mass = total, types, cell_mass
         order = np.argsort(words)
         self.words, self.counts, self.rank = words[order], counts[order], order
+        #: Where the words of each bucket (the hash's first bits) begin; a last word, above all others, ends every search.
+        self.shift = _M(64 - max(1, len(words).bit_length()))
+        self.begin = np.searchsorted(self.words, np.arange(1 << int(64 - self.shift), dtype=np.uint64) << self.shift).astype(np.int32)
+        self.fence = np.append(self.words, _M(2**64 - 1))
         self.path_at, self.path_node, self.path_class, shares = class_tree(np.concatenate([counts + 0.5, cell_mass]))
         self.nodes = len(shares)
         self.bits = min(MAX_BITS, max(MIN_BITS, (total // 2).bit_length() - 1))
@@ -159,7 +174,12 @@ class Model:
         """Leaf of each token, and its count (-1: not among the known words)."""
         if not len(self.words):
             return cell, np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+        at = self.begin[(h >> self.shift).astype(np.int64)].astype(np.int64)
+        low = np.flatnonzero(self.fence[at] < h)
+        while len(low):
+            at[low] += 1
+            low = low[self.fence[at[low]] < h[low]]
+        at = np.minimum(at, len(self.words) - 1)
         found = self.words[at] == h
         return np.where(found, self.rank[at], len(self.words) + cell), np.where(found, self.counts[at], -1)
 
@@ -205,6 +225,15 @@ def context(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return np.stack([(mix64(f) >> _M(32)).astype(np.uint32) for f in features])
 
 
+def _table(weights: np.ndarray) -> np.ndarray:
+    """Weights in single precision. A row fills a line of the processor's cache, and begins with one."""
+    raw = np.empty(weights.size * 4 + 64, np.uint8)
+    at = -raw.ctypes.data % 64
+    out = raw[at : at + weights.size * 4].view(np.float32).reshape(weights.shape)
+    out[:] = weights
+    return out
+
+
 def _whole(table: np.ndarray) -> np.ndarray:
     """The rows of a table as single items: numpy takes and puts these several times faster than rows."""
     return table.view(f"V{table.itemsize * FAN}")[:, 0]
@@ -216,24 +245,40 @@ def _take(table: np.ndarray, rows: np.ndarray, out: np.ndarray | None = None) ->
     return out
 
 
-def _exp_sums(table: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class _Scratch:
+    """Arrays of weight rows that batches use one after another: new ones would cost more than what is done in them."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, rows: int) -> np.ndarray:
+        if name not in self.held or len(self.held[name]) < rows:
+            self.held[name] = np.empty((rows + rows // 4, FAN), np.float32)
+        return self.held[name][:rows]
+
+
+def _exp_sums(table: np.ndarray, rows: np.ndarray, scratch: _Scratch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Summed weights of each instance's classes, their exponentials, and the sums of these."""
-    z = _take(table, rows[0])
-    part = np.empty_like(z)
-    for r in rows[1:]:
-        z += _take(table, r, part)
-    np.clip(z, -_LIMIT, _LIMIT, out=z)
-    np.exp(z, out=part)
-    return z, part, part @ np.ones(FAN, np.float32)
+    n = rows.shape[1]
+    z, e, sums = scratch("z", n), scratch("exp", n), np.empty(n, np.float32)
+    for i in range(0, n, NEAR):
+        now, part = z[i : i + NEAR], e[i : i + NEAR]
+        _take(table, rows[0, i : i + NEAR], now)
+        for r in rows[1:]:
+            now += _take(table, r[i : i + NEAR], part)
+        np.clip(now, -_LIMIT, _LIMIT, out=now)
+        np.exp(now, out=part)
+        np.matmul(part, _ONES, out=sums[i : i + NEAR])
+    return z, e, sums
 
 
 def log_probability(model: Model, table: np.ndarray, features: np.ndarray, leaf: np.ndarray) -> np.ndarray:
     """log10 of the probability of each token's leaf; table: the model's weights in single precision."""
-    out = np.zeros(len(leaf))
+    out, scratch = np.zeros(len(leaf)), _Scratch()
     for i in range(0, len(leaf), BATCH):
         part = leaf[i : i + BATCH]
         token, node, cls = model.paths(part)
-        z, _, sums = _exp_sums(table, model.rows(features[:, i : i + BATCH], token, node))
+        z, _, sums = _exp_sums(table, model.rows(features[:, i : i + BATCH], token, node), scratch)
         lp = z.ravel()[np.arange(len(cls)) * FAN + cls].astype(np.float64) - np.log(sums.astype(np.float64))
         out[i : i + BATCH] = np.bincount(token, weights=lp, minlength=len(part)) / math.log(10)
     return out
@@ -243,49 +288,61 @@ def _wide(x: np.ndarray) -> np.ndarray:
     return np.repeat(x.astype(np.float32), FAN).reshape(-1, FAN)
 
 
-def _sums_by_row(g: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct rows, how often each occurs, and the sum of g over its instances."""
-    n = len(g)
+def _grouped(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows (features, instances): the distinct ones in order, where each begins in the sorted rows and how often
+    it occurs, and the instance of every sorted row."""
+    n = rows.shape[1]
     bits = _M(max(1, (n - 1).bit_length()))
-    key = ((rows.astype(np.uint64) << bits) | np.arange(n, dtype=np.uint64)).ravel()
+    key = rows.astype(np.uint64)
+    key <<= bits
+    key |= np.arange(n, dtype=np.uint64)
+    key = key.ravel()
     key.sort()
-    row, at = (key >> bits).astype(np.int64), (key & ((_M(1) << bits) - _M(1))).astype(np.int64)
+    row, at = (key >> bits).view(np.int64), (key & ((_M(1) << bits) - _M(1))).view(np.int64)
     first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-    count = np.diff(first, append=len(row))
-    total = _take(g, at[first])
-    many = np.flatnonzero(count > 1)
-    if len(many):
-        many = many[np.argsort(-count[many], kind="stable")]  # those with more than k instances come first
-        begin, left = first[many], count[many]
-        held = _take(g, at[begin])
-        for k in range(1, 6):  # most rows have few instances: these are added one by one, for all rows at once
-            m = np.searchsorted(-left, -k)
-            held[:m] += _take(g, at[begin[:m] + k])
-        m = np.searchsorted(-left, -6)
-        if m:
-            more = left[:m] - 6
-            ends = np.cumsum(more)
-            rest = np.arange(ends[-1]) + np.repeat(begin[:m] + 6 - ends + more, more)
-            held[:m] += np.add.reduceat(_take(g, at[rest]), ends - more, axis=0)
-        np.put(_whole(total), many, _whole(held), mode="clip")
-    return row[first], count, total
+    return row[first], first, np.diff(first, append=len(row)), at
+
+
+def _sums(g: np.ndarray, begin: np.ndarray, left: np.ndarray, at: np.ndarray, scratch: _Scratch) -> np.ndarray:
+    """The sum of g over the instances at[begin : begin + left] of each row; rows come by falling left, all above 1."""
+    held = _take(g, at[begin], scratch("held", len(begin)))
+    for k in range(1, 6):  # most rows have few instances: these are added one by one, for all rows at once
+        m = np.searchsorted(-left, -k)
+        held[:m] += _take(g, at[begin[:m] + k], scratch("part", m))
+    m = np.searchsorted(-left, -6)
+    if m:
+        more = left[:m] - 6
+        ends = np.cumsum(more)
+        rest = np.arange(ends[-1]) + np.repeat(begin[:m] + 6 - ends + more, more)
+        held[:m] += np.add.reduceat(_take(g, at[rest], scratch("part", len(rest))), ends - more, axis=0)
+    return held
 
 
 def learn(model: Model, table: np.ndarray, met: np.ndarray, h: np.ndarray, cell: np.ndarray, offsets: np.ndarray, step: float = STEP) -> None:
     """Gradient steps over batches of tokens: table and met (uses of each row) change."""
     leaf, _ = model.look_up(h, cell)
-    features = context(h, offsets)
+    features, scratch = context(h, offsets), _Scratch()
     for i in range(0, len(h), BATCH):
         token, node, cls = model.paths(leaf[i : i + BATCH])
         rows = model.rows(features[:, i : i + BATCH], token, node)
-        _, g, sums = _exp_sums(table, rows)
+        _, g, sums = _exp_sums(table, rows, scratch)
         g *= _wide(1 / sums)
         g.ravel()[np.arange(len(cls)) * FAN + cls] -= 1
-        row, count, change = _sums_by_row(g, rows)
+        row, first, count, at = _grouped(rows)
         before = met[row]
-        change *= _wide(step / (count + DAMP + HOLD * before))
-        np.put(_whole(table), row, _whole(_take(table, row) - change), mode="clip")
         met[row] = before + count
+        rate = (step / (count + DAMP + HOLD * before)).astype(np.float32)[:, None]
+        one, many = np.flatnonzero(count == 1), np.flatnonzero(count > 1)
+        many = many[np.argsort(-count[many], kind="stable")]
+        held = _sums(g, first[many], count[many], at, scratch)
+        for rows_at, change in ((one, None), (many, held)):
+            for k in range(0, len(rows_at), NEAR):
+                pick = rows_at[k : k + NEAR]
+                move = _take(g, at[first[pick]], scratch("move", len(pick))) if change is None else change[k : k + NEAR]
+                move *= rate[pick]
+                own = _take(table, row[pick], scratch("own", len(pick)))
+                own -= move
+                np.put(_whole(table), row[pick], _whole(own), mode="clip")
 
 
 _CHANGES = "block int, part int, change binary, scale binary, met binary"
@@ -308,7 +365,7 @@ def _worker(shared):
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        table, met = model.weights.astype(np.float32), model.met.copy()
+        table, met = _table(model.weights), model.met.copy()
         for b in batches:
             for _, _, data, off in text_chunks(b.column(0)):
                 learn(model, table, met, *tokens(data, off))
@@ -386,7 +443,7 @@ def _scored(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        table = model.weights.astype(np.float32)
+        table = _table(model.weights)
         below, rid = model.total + 0.5 * (model.types + 1), TaskContext.get().partitionId() << 33
         for batch in batches:
             for lo, hi, data, off in text_chunks(batch.column(2)):

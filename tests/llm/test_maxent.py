@@ -54,3 +54,53 @@ def test_context_helps_on_held_out_texts(sentences):
 def test_scores_do_not_depend_on_partitions(sentences):
     pick = lambda df: sorted(((r.doc_id is None, r.doc_id or 0, round(r.score, 6)) for r in maxent_lm.scored(df).collect()), key=str)
     assert pick(sentences) == pick(sentences.repartition(7))
+
+
+def small_model(words=3000, seed=2):
+    rng = np.random.default_rng(seed)
+    h = rng.integers(1 << 63, size=words, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    counts = np.sort(rng.zipf(1.4, words).clip(1, 10_000))[::-1]
+    return maxent_lm.Model(h, counts, int(counts.sum()), words, np.full(maxent_lm.CELLS, 2.0)), h, counts
+
+
+def test_words_are_found_by_buckets():
+    model, h, counts = small_model()
+    other = h ^ np.uint64(1)
+    asked = np.concatenate([h, other, np.array([0, 2**64 - 1], np.uint64)])
+    leaf, count = model.look_up(asked, np.arange(len(asked)) % maxent_lm.CELLS)
+    assert leaf[:3000].tolist() == list(range(3000)) and count[:3000].tolist() == counts.tolist()
+    assert (count[3000:] == -1).all() and (leaf[3000:] >= 3000).all()
+    assert len(model.begin) <= 2 * 4096
+    assert maxent_lm.Model(h[:0], counts[:0], 0, 0, np.full(maxent_lm.CELLS, 2.0)).look_up(h[:2], np.array([3, 4]))[0].tolist() == [3, 4]
+
+
+def test_a_step_equals_plain_sums():
+    """Rows begin with a cache line, and a batch moves every row by the sum over its instances."""
+    model, h, _ = small_model()
+    tokens = h[np.random.default_rng(5).zipf(1.3, 1500).clip(1, 3000) - 1]
+    cell, at = np.zeros(1500, np.int64), np.array([0, 1, 700, 1500])
+    table, met = maxent_lm._table(model.weights), model.met.copy()
+    assert table.ctypes.data % 64 == 0 and np.array_equal(table, model.weights.astype(np.float32))
+    want = table.astype(np.float64)
+    leaf, _ = model.look_up(tokens, cell)
+    token, node, cls = model.paths(leaf)
+    rows = model.rows(maxent_lm.context(tokens, at), token, node)
+    g = np.exp(want[rows].sum(axis=0))
+    g /= g.sum(axis=1, keepdims=True)
+    g[np.arange(len(cls)), cls] -= 1
+    total, uses = np.zeros_like(want), np.zeros(len(want))
+    np.add.at(uses, rows.ravel(), 1)
+    np.add.at(total, rows.ravel(), np.tile(g, (len(rows), 1)))
+    want -= total * (maxent_lm.STEP / (uses + maxent_lm.DAMP))[:, None]
+    maxent_lm.learn(model, table, met, tokens, cell, at)
+    assert np.array_equal(met, uses) and uses.max() > 100
+    assert np.allclose(table, want, atol=1e-4)
+    once, again = maxent_lm._table(model.weights), model.met.copy()
+    maxent_lm.learn(model, once, again, tokens[:1], cell[:1], np.array([0, 1]))  # rows that occur once alone
+    assert again.sum() > 0
+
+
+def test_words_are_counted_once():
+    texts = pa.array(["a B b", None, "", "c " * 1000 + "a"])
+    got = pa.Table.from_batches(maxent_lm._counted(iter([pa.RecordBatch.from_arrays([texts], names=["text"])])))
+    assert sorted(got["c"].to_pylist()) == [2, 2, 4, 1000]
