@@ -9,8 +9,9 @@ Spark output and reach every store that Spark reaches)::
 
 Id i of a block stands at bit i * bits, so a range of ids is found by the footer and unpacked by numpy alone.
 
-A file has FILE_BLOCKS blocks at most; a partition begins new files as it needs them. Distinct words are encoded
-once by a worker and kept; each text's ids are put together from its words'.
+A file has FILE_BLOCKS blocks at most; a partition begins new files as it needs them. Distinct words of a slice are
+encoded once, and a worker keeps a bounded number of them, fewer between tasks; each text's ids are put together from
+its words'.
 
 Contract: files hold documents in ascending order of doc_id (nulls last, equal ids by the first 64 characters of their texts, null first, and then by a hash), file after file
 by the numbers in their names. Null texts count as empty; a repeated row is a document of its own; an empty table gives no document.
@@ -24,7 +25,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import islice, repeat
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import LOWER, SPACE, join_checked, shared_path, staged, word_spans
+from lodestone.llm.common import LOWER, SPACE, join_checked, shared_path, slim, staged, word_spans
 from lodestone.llm.sentencepiece_bpe import text_slices
 
 #: Ids in a block, but for a single longer document.
@@ -41,8 +42,8 @@ BLOCK_IDS = 1 << 18
 ENCODE_BYTES = 1 << 20
 #: Blocks of a file: about 64 MB at 16 bits, so that a file can be read as one row.
 FILE_BLOCKS = 127
-#: Words kept between chunks by a worker; beyond it the table starts anew.
-TABLE_WORDS = 500_000
+#: Words kept between slices by a worker; beyond them, and after a task, those met in most slices stay.
+TABLE_WORDS, KEPT_WORDS = 250_000, 100_000
 _BEFORE, _AFTER = np.zeros(256, bool), np.zeros(256, bool)
 _BEFORE[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
 _AFTER[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = True
@@ -138,12 +139,19 @@ class WordEncoder:
     def _reset(self) -> None:
         self.table: dict[bytes, int] = {}
         self.ids, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.met = np.zeros(0, np.uint32)  # slices that each word was met in
 
-    def _trim(self, n: int) -> None:
-        """Keep the n words that were met first: the frequent ones are among them."""
-        self.table = dict(islice(self.table.items(), n))
-        self.at = self.at[: n + 1]
-        self.ids = self.ids[: self.at[-1]]
+    def trim(self, n: int = KEPT_WORDS) -> None:
+        """Keep the n words that were met in most slices; what was met lately counts twice as much as what was before."""
+        if len(self.table) <= n:
+            return
+        keep = np.zeros(len(self.met), bool)
+        keep[np.argpartition(self.met, len(self.met) - n)[len(self.met) - n :]] = True
+        lens = np.diff(self.at)
+        self.ids = self.ids[np.repeat(keep, lens)]
+        self.at = np.concatenate([[0], np.cumsum(lens[keep])])
+        self.met = self.met[keep] >> 1
+        self.table = dict(zip(compress(self.table, keep.tolist()), range(n), strict=True))
 
     def _marked(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words, flat, and each word's number of ids. Words go to the library many at a time, with a
@@ -182,6 +190,7 @@ class WordEncoder:
         self.table.update(zip(hard, range(n, n + len(hard)), strict=True))
         self.at = np.concatenate([self.at, ends + self.at[-1], np.cumsum(lens) + len(flat) + self.at[-1]])
         self.ids = np.concatenate([self.ids, flat, rest])
+        self.met = np.concatenate([self.met, np.zeros(len(words), np.uint32)])
 
     def _words(self, texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
         """Words of all texts, and offsets of each text's words. A-Z are lower-cased (as the tokenizer does)
@@ -207,7 +216,7 @@ class WordEncoder:
         if whole:
             texts = pc.if_else(odd, "", texts)
         if len(self.table) > TABLE_WORDS:
-            self._trim(TABLE_WORDS // 2)
+            self.trim()
         words, at = self._words(texts)
         _, ends, raw = words.dictionary.buffers()
         ends, raw = np.frombuffer(ends, np.int64)[: len(words.dictionary) + 1].tolist(), raw.to_pybytes() if raw is not None else b""
@@ -218,6 +227,7 @@ class WordEncoder:
             new = [distinct[i] for i in missing.tolist()]
             self._add(new)
             place[missing] = np.fromiter(map(self.table.__getitem__, new), np.int64, len(new))
+        self.met[place] += 1
         word = place[words.indices.to_numpy()]
         begin, lens = self.at[word], self.at[word + 1] - self.at[word]
         ends = np.concatenate([[0], np.cumsum(lens)])
@@ -238,6 +248,14 @@ class WordEncoder:
 _encoders: dict[str, WordEncoder] = {}
 
 
+def _encoder(path: str) -> WordEncoder:
+    """The worker's own encoder. A function that is sent to tasks takes the globals that it names along by value, so
+    that _encoders, named there, would be empty in each task."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 def _block(bits: int, docs: list[int | None], lens: np.ndarray, ids: np.ndarray) -> bytes:
     null = np.array([d is None for d in docs], np.uint8)
     keys = np.array([d or 0 for d in docs], "<i8")
@@ -284,7 +302,7 @@ class _FileWriter:
             yield self._footer()
 
 
-def footer(content: bytes) -> tuple[np.ndarray, np.ndarray]:
+def footer(content: bytes | memoryview) -> tuple[np.ndarray, np.ndarray]:
     """Byte offsets and first ids of a file's blocks."""
     (n,) = struct.unpack("<I", content[-5:-1])
     body = content[-1 - n : -5]
@@ -294,7 +312,7 @@ def footer(content: bytes) -> tuple[np.ndarray, np.ndarray]:
     return index[:, 0], index[:, 1]
 
 
-def _read_block(content: bytes, at: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+def _read_block(content: bytes | memoryview, at: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
     magic, bits, n, ids = _HEAD.unpack_from(content, at)
     if magic != b"TIDB":
         raise ValueError("no block of packed ids")
@@ -327,9 +345,7 @@ def write_ids(df: DataFrame, path: str, tokenizer_path: str, key: str = "doc_id"
     del spec
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer_path not in _encoders:
-            _encoders[tokenizer_path] = WordEncoder(tokenizer_path)
-        encoder, out = _encoders[tokenizer_path], _FileWriter(bits, file_blocks)
+        encoder, out = _encoder(tokenizer_path), _FileWriter(bits, file_blocks)
         row = lambda b: pa.RecordBatch.from_arrays([pa.array([b], pa.binary())], names=["value"])
         for whole in batches:
             for b in text_slices(whole, 1, ENCODE_BYTES):
@@ -338,12 +354,13 @@ def write_ids(df: DataFrame, path: str, tokenizer_path: str, key: str = "doc_id"
                     yield row(x)
         for x in out.close():
             yield row(x)
+        encoder.trim()
 
     # Whole texts would be too large as bounds of ranges. Equal rows are split between ranges, too.
     rows = df.select(F.col(key).cast("long").alias(key), F.col(text).alias(text), F.substring(text, 1, 64).alias("p__"), F.xxhash64(text).alias("h__"), F.monotonically_increasing_id().alias("n__"))
     order = [F.col(key).asc_nulls_last(), F.col("p__").asc_nulls_first(), F.col("h__"), F.col("n__")]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(key, text)
-    dealt.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("maxRecordsPerFile", file_blocks + 1).text(path)
+    dealt.mapInArrow(slim(run), "value binary").select(F.col("value").cast("string")).write.option("maxRecordsPerFile", file_blocks + 1).text(path)
 
 
 def read_ids(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
@@ -354,7 +371,7 @@ def read_ids(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                content = content.as_py()
+                content = memoryview(content.as_buffer())
                 for at, first in zip(*footer(content), strict=True):
                     bits, keys, null, lens, raw, n = _read_block(content, int(at))
                     flat = unpack(raw, bits, 0, n)
@@ -366,7 +383,7 @@ def read_ids(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(cols, names=names)
 
     schema = "file string, doc_id long, local_start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(slim(run), schema)
 
 
 def with_starts(docs: DataFrame) -> DataFrame:

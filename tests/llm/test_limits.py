@@ -115,3 +115,29 @@ def test_piece_workers_keep_no_words_after_a_task(monkeypatch):
     out = pa.Table.from_batches(run(iter([batch])))
     assert out["decoded"].to_pylist() == texts and max(held) > 1000 and len(held) > 2
     assert not model.table and not len(model.table_ids)
+
+
+def test_word_table_keeps_what_was_met_most():
+    encoder, library = packed_ids.WordEncoder(WORDS), Tokenizer.from_file(WORDS)
+    slices = [" ".join(f"q{i}x{k} zebra{'' if i < 3 else 's'}" for k in range(50)) for i in range(9)]
+    for text in slices:
+        encoder.encode(pa.array([text]), None)
+    encoder.trim(2)
+    assert set(encoder.table) == {b"zebra", b"zebras"} and len(encoder.at) == 3 and len(encoder.ids) == encoder.at[-1]
+    for text in slices:
+        assert encoder.encode(pa.array([text]), None)[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_workers_of_packed_ids_keep_few_words_after_a_task(spark):
+    """Words that differ from task to task don't pile up in the workers, which executors keep."""
+    texts = [" ".join(f"{a}{b:x}" for b in range(k * 2000, k * 2000 + 2000)) for k in range(20) for a in ("ka", "zu", "mo", "ti")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert packed_ids.round_trip(df, WORDS).count() == len(texts)
+
+    def held(batches):
+        list(batches)
+        yield pa.RecordBatch.from_arrays([pa.array([sum(len(e.table) for e in packed_ids._encoders.values())])], names=["n"])
+
+    most = max(r.n for r in spark.range(0, 8, 1, 8).mapInArrow(held, "n long").collect())
+    assert most > 0  # the encoder is kept
+    assert most <= packed_ids.KEPT_WORDS
